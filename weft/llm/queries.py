@@ -1,0 +1,235 @@
+"""The queries of this subpackage and their SQL."""
+
+from __future__ import annotations
+
+import hashlib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import chat, extract, jaccard, lm, mixing, packing, quality, substring, topk, urlfilter
+
+TOKENIZER = "byte_bpe_50k.json"
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    back = chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", extract.extract(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(_read(spark, sf_dir, "embeddings"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_read(spark, sf_dir, "documents"), keep_text=False)
+    return mixed.select(
+        "doc_id", "source", F.col("_weft_round").alias("round"), F.col("_weft_block").alias("block"),
+        F.col("_weft_rank").alias("rank"), F.col("_weft_tokens").alias("n_tokens"),
+    )
+
+
+def _words_digest(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        words = (b" ".join((t or "").encode().split()) for t in texts)
+        return pd.Series([hashlib.sha256(w).hexdigest() for w in words], dtype=object)
+
+    return digest(text)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", F.col("_weft_words").alias("n_words"), F.col("_weft_removed").alias("n_removed"),
+        _words_digest(F.col("text")).alias("kept_sha256"),
+    )
+
+
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(_read(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(_read(spark, sf_dir, "documents"))
+
+
+def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_read(spark, sf_dir, "documents"))
+
+
+def queries() -> dict:
+    own = (
+        op1_chat_format, op2_html_extract, op3_sum_of_squares_packing, op4_exact_topk, op5_url_filter,
+        op6_temperature_mixing, op7_substring_dedup, op8_host_rules, op9_jaccard_join, op10_backoff_scores,
+    )
+    return {f.__name__: f for f in own}
+
+
+_CHAT = r"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked as (
+  select *, coalesce(lag(role) over w <> role, true) as begins,
+    length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|ROLE\]|AND\])', '\1\\\2\3', 'g')) as n,
+    length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|ROLE\]|AND\])', '\1\\\2\3', 'g')) as r
+  from said window w as (partition by conv_id order by turn, role, text)
+)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(n + case when not begins then 5 when role = 'assistant' then 7 else 19 + r end)::bigint as formatted_chars
+from marked group by conv_id
+"""
+
+_TOPK = """
+with v as (
+  select vec_id, list_transform(embedding, lambda c: floor(64 * c::double)::bigint) as x from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0
+), pairs as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.x::double[], c.x::double[])::bigint as score
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from pairs
+)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
+_URLS = r"""
+with cut as (
+  select page_id, url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest
+  from pages
+), parts as (
+  select page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut
+), rules as (
+  select * from (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+    ('org', '/fr/', 'allow')) t(h, p, verdict)
+), fits as (
+  select page_id, h || p as rule, verdict,
+    row_number() over (partition by page_id order by length(h || p) desc, length(h) desc) as k
+  from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+)
+select p.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
+from parts p left join fits f on f.page_id = p.page_id and k = 1
+"""
+
+_SUBSTRING = r"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), starts as (
+  select doc_id, unnest(range(1, len(ws) - 48)) as i, ws from w where len(ws) >= 50
+), hashed as (
+  select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as h from starts
+), first as (
+  select h, min(doc_id) as low from hashed group by h having min(doc_id) < max(doc_id)
+), gone as (
+  select distinct doc_id, i + unnest(range(0, 50)) as at
+  from hashed join first using (h) where doc_id > low
+), removed as (
+  select doc_id, list(at) as ats from gone group by doc_id
+)
+select doc_id, len(ws)::bigint as n_words, coalesce(len(ats), 0)::bigint as n_removed,
+  sha256(array_to_string(list_filter(ws, lambda x, i: ats is null or not list_contains(ats, i)), ' ')) as kept_sha256
+from w left join removed using (doc_id)
+"""
+
+_QUALITY = r"""
+with w as (
+  select doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws
+  from documents
+), starts as (
+  select doc_id, i, md5(array_to_string(ws[i:i + 7], ' ')) as h
+  from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w where len(ws) >= 8)
+), twice as (
+  select doc_id, h from starts group by doc_id, h having count(*) > 1
+), covered as (
+  select doc_id, count(distinct at) as n
+  from (select doc_id, i + unnest(range(0, 8)) as at from starts join twice using (doc_id, h)) group by doc_id
+), m as (
+  select doc_id, source, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))))
+    )::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words
+  from w left join covered using (doc_id)
+), judged as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m
+), hosts as (
+  select source, count(*) as docs, sum(base_failed::int) as failed from judged group by source
+), prior as (
+  select sum(failed) / sum(docs) as mean, case when var_samp(failed / docs) > 0 then
+    greatest(1.0, avg(failed / docs) * (1 - avg(failed / docs)) / var_samp(failed / docs) - 1) else 1.0 end as strength
+  from hosts
+), bad as (
+  select source from hosts, prior where (failed + mean * strength) / (docs + strength) > 0.9
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and source not in (select source from bad where source is not null)
+    and not (source is null and exists (select 1 from bad where source is null)) as kept
+from judged
+"""
+
+_JACCARD = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), grams as (
+  select distinct doc_id, md5(array_to_string(ws[i:i + 4], ' ') || (case when len(ws) < 5 then len(ws)::varchar else '' end)) as g
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from w where len(ws) > 0)
+), sizes as (
+  select doc_id, count(*) as n from grams group by doc_id
+), pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as o from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id
+  group by 1, 2
+), links as (
+  select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 180 * o >= 80 * (x.n + y.n)
+), reach as (
+  select doc_id, doc_id as c from w union select r.doc_id, l.b from reach r join links l on l.a = r.c
+)
+select w.doc_id, coalesce(any_value(s.n), 0)::bigint as n_shingles, min(r.c) as component_id
+from w join reach r using (doc_id) left join sizes s using (doc_id) group by w.doc_id
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "op1_chat_format": _CHAT, "op4_exact_topk": _TOPK, "op5_url_filter": _URLS, "op7_substring_dedup": _SUBSTRING,
+        "op8_host_rules": _QUALITY, "op9_jaccard_join": _JACCARD,
+    }
