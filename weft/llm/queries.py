@@ -160,10 +160,10 @@ with w as (
 ), first as (
   select h, min(doc_id) as low from hashed group by h having min(doc_id) < max(doc_id)
 ), gone as (
-  select distinct doc_id, i + unnest(range(0, 50)) as at
+  select distinct doc_id, i + unnest(range(0, 50)) as pos
   from hashed join first using (h) where doc_id > low
 ), removed as (
-  select doc_id, list(at) as ats from gone group by doc_id
+  select doc_id, list(pos) as ats from gone group by doc_id
 )
 select doc_id, len(ws)::bigint as n_words, coalesce(len(ats), 0)::bigint as n_removed,
   sha256(array_to_string(list_filter(ws, lambda x, i: ats is null or not list_contains(ats, i)), ' ')) as kept_sha256
@@ -180,8 +180,8 @@ with w as (
 ), twice as (
   select doc_id, h from starts group by doc_id, h having count(*) > 1
 ), covered as (
-  select doc_id, count(distinct at) as n
-  from (select doc_id, i + unnest(range(0, 8)) as at from starts join twice using (doc_id, h)) group by doc_id
+  select doc_id, count(distinct pos) as n
+  from (select doc_id, i + unnest(range(0, 8)) as pos from starts join twice using (doc_id, h)) group by doc_id
 ), m as (
   select doc_id, source, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
