@@ -37,7 +37,9 @@ from .common import Rolling, WordHashes, renamed, shared_table, slices, small_si
 from .graph import components
 
 PERCENT = 80
-CHUNK_TOKENS, CHUNK_DOCS = 200_000, 512
+CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 4096
+#: Bytes of the chunk's membership matrix up to which it is kept dense.
+DENSE = 1 << 26
 
 
 def shingles(text: str | None, k: int, memo: WordHashes, rolling: Rolling) -> np.ndarray:
@@ -194,6 +196,25 @@ class Groups:
             self.label[self.label == max(x, y)] = min(x, y)
 
 
+def _holders(rank: np.ndarray, owner: np.ndarray, shared: int, sets: int):
+    """A function from tokens to how many of them each set holds."""
+    of = rank < shared
+    if shared * sets <= DENSE:
+        has = np.zeros((shared, sets), np.uint8)
+        has[rank[of], owner[of]] = 1
+        return lambda tokens: has[tokens].sum(0, dtype=np.int64)
+    order = np.argsort(rank[of], kind="stable")
+    posting = owner[of][order]
+    start = np.r_[0, np.cumsum(np.bincount(rank[of], minlength=shared))]
+
+    def count(tokens: np.ndarray) -> np.ndarray:
+        n = start[tokens + 1] - start[tokens]
+        at = np.arange(n.sum()) + np.repeat(start[tokens] - np.cumsum(n) + n, n)
+        return np.bincount(posting[at], minlength=sets)
+
+    return count
+
+
 def tree_join(sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """New labels: the sets' groups after all links between sets of different groups."""
     groups = Groups(labels)
@@ -205,8 +226,7 @@ def tree_join(sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCENT
     shared = int((count > 1).sum())
     owner = np.repeat(np.arange(len(sets)), size)
     rank = rank[inverse]
-    has = np.zeros((shared, len(sets)), np.uint8)
-    has[rank[rank < shared], owner[rank < shared]] = 1
+    holders = _holders(rank, owner, shared, len(sets))
     cuts = np.cumsum(size)[:-1]
     paths = [np.sort(p[p < shared]) for p in np.split(rank, cuts)]
     walk = sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes())
@@ -235,7 +255,7 @@ def tree_join(sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCENT
         for end in sorted({branch, *range(depth + 256, len(path), 256), len(path)}):
             if end <= depth:
                 continue
-            overlap = overlap + has[path[depth:end]].sum(0, dtype=np.int64)
+            overlap = overlap + holders(path[depth:end])
             depth = end
             if end == branch:
                 stack.append((depth, overlap))
@@ -255,7 +275,10 @@ def _join_chunks(percent: int):
         new = tree_join([r[1] for r in rows], labels, percent)
         least = np.full(new.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, new, labels)
-        pairs = np.unique(np.stack([labels, least[new]], 1), axis=0)
+        changed = labels != least[new]
+        if not changed.any():
+            return None
+        pairs = np.unique(np.stack([labels, least[new]], 1)[changed], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,18 +288,19 @@ def _join_chunks(percent: int):
             tokens = batch.column("tokens")
             for i, (canopy, chunk, label) in enumerate(keys):
                 if (canopy, chunk) != now and rows:
-                    yield joined(rows)
+                    if (found := joined(rows)) is not None:
+                        yield found
                     rows = []
                 now = canopy, chunk
                 rows.append((label, tokens[i].values.to_numpy(zero_copy_only=False).view(np.uint64)))
-        if rows:
-            yield joined(rows)
+        if rows and (found := joined(rows)) is not None:
+            yield found
 
     return read
 
 
 def _in_chunks(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges of label, smallest label from rows of canopy, chunk (a string), label, tokens."""
+    """Edges from labels to the smaller label that they join, from rows of canopy, chunk (a string), label, tokens."""
     dealt = sets.select("canopy", "chunk", "label", "tokens").repartition("canopy", "chunk")
     return dealt.sortWithinPartitions("canopy", "chunk").mapInArrow(_join_chunks(percent), "a long, b long")
 
@@ -354,7 +378,8 @@ def _across(many: DataFrame, edges: DataFrame, percent: int, chunk_tokens: int,
     """Edges between chunks of the canopies that have several."""
     root = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "label")
     rows = many.drop("chunk", "of").withColumnRenamed("label", "own")
-    rows = rows.join(root.withColumnRenamed("label", "own"), "own").withColumnRenamed("root", "label")
+    rows = rows.join(root.withColumnRenamed("label", "own"), "own", "left")
+    rows = rows.withColumn("label", F.coalesce("root", "own")).drop("root")
     # representatives: the root and three more of each component of a chunk
     pick = Window.partitionBy("canopy", "label").orderBy(F.col("own") != F.col("label"), F.xxhash64("own"), "n")
     few = rows.withColumn("at", F.row_number().over(pick)).where("at <= 4")

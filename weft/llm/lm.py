@@ -179,17 +179,21 @@ def _score(model):
                 cut = np.cumsum(lengths) - lengths
                 total = lambda x, cut=cut: np.add.reduceat(x, cut)
                 docs = len(ids)
-                owner = np.repeat(np.arange(docs), lengths)[rare]
-                pair, tf = np.unique(np.stack([owner.astype(np.uint64), h[rare]], 1), axis=0, return_counts=True)
+                owner, word = np.repeat(np.arange(docs), lengths)[rare], h[rare]
+                order = np.lexsort((word, owner))
+                owner, word = owner[order], word[order]
+                first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])][: len(word)])
+                tf = np.diff(np.r_[first, len(word)])
                 none = np.zeros(len(tf))
+                padded = lambda x, t, k=len(tf): pa.concat_arrays([pa.array(x, t), pa.nulls(k, t)])
                 # a document's own row meets no word: its tf is 0 and its key spreads rows over tasks
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.r_[rows, rows[pair[:, 0].astype(np.int64)]]),
-                        pa.array(np.r_[mixed(rows.view(np.uint64)), pair[:, 1]].view(np.int64)),
+                        pa.array(np.r_[rows, rows[owner[first]]]),
+                        pa.array(np.r_[mixed(rows.view(np.uint64)), word[first]].view(np.int64)),
                         pa.array(np.r_[np.zeros(docs, np.int64), tf]),
-                        pa.array([*ids, *[None] * len(tf)], pa.int64()),
-                        pa.array([*map(held_out, ids), *[None] * len(tf)], pa.bool_()),
+                        padded(ids, pa.int64()),
+                        padded([held_out(i) for i in ids], pa.bool_()),
                         pa.array(np.r_[lengths, none.astype(np.int64)]),
                         pa.array(np.r_[total((~rare).astype(np.int64)), none.astype(np.int64)]),
                         pa.array(np.r_[total(base), none]),
@@ -202,7 +206,7 @@ def _score(model):
 
 
 def score_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 2e-6, chunk: int = 4_000_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 2e-6, chunk: int = 2_000_000,
     delta: float = 0.1, discount: float = 0.75,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
