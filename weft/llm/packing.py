@@ -27,16 +27,26 @@ from pyspark.sql import DataFrame
 
 from .common import renamed, slices
 
-_ODD = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+_OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
 _UNLIKE = re.compile(r"[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 
 
+class _Memo(dict):
+    def __init__(self, short):
+        super().__init__()
+        self.short = short
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = ids = array("I", self.short(chunk)).tobytes()
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, from remembered ids of their space-separated chunks.
 
-    A byte-level BPE of this family never merges across a blank before a word, so a text's ids are its chunks' ids;
-    chunks that aren't remembered go to the tokenizer in batches.
+    A byte-level BPE of this family never merges across a blank before a word, so a text's ids are its chunks' ids.
     """
 
     def __init__(self, path: str, limit: int = 300_000):
@@ -45,8 +55,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.short = self._same_merges(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self._same_merges(path))
         self.limit = limit
 
     def _same_merges(self, path: str):
@@ -76,20 +85,18 @@ class Encoder:
     def chunks(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special):
             return None
-        if not _ODD.search(text):
+        ends = text[:1] + text[-1:]
+        if " " not in ends and "\n" not in ends and not any(d in text for d in _DOUBLE) and not _OTHER_SPACE.search(text):
             parts = text.replace("\n", " \n").split(" ")
             return [parts[0], *[p if p[0] == "\n" else " " + p for p in parts[1:]]] if text else []
         return None if _UNLIKE.search(text) else _CHUNK.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.memo) > self.limit:
+            self.memo.clear()
         parts = [self.chunks(t) for t in texts]
-        memo, short = self.memo, self.short
-        if len(memo) > self.limit:
-            memo.clear()
-        for p in {p for ps in parts if ps for p in ps}.difference(memo):
-            memo[p] = array("I", short(p)).tobytes()
         apart = iter(self.whole([t for t, ps in zip(texts, parts, strict=True) if ps is None]))
-        get = memo.__getitem__
+        get = self.memo.__getitem__
         return [next(apart) if ps is None else b"".join(map(get, ps)) for ps in parts]
 
 
