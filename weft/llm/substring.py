@@ -118,12 +118,15 @@ def covered_windows(docs: DataFrame, window: int = 50, anchor: int = 16) -> Data
     docs = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).withColumn("id", F.col("id").cast("long"))
     paths = shared_table(docs.mapInArrow(_paths(window, anchor), _PATHS))
     repeated = paths.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    paths = shared_table(paths.join(repeated.select("anchor"), "anchor"))
+    # written, so that the join has plain exchanges on both sides and hot anchors can be split
+    repeated = shared_table(repeated.select("anchor"))
+    paths = shared_table(paths.join(repeated, "anchor"))
     first = F.min(F.struct("id", "tag", "start", "n")).alias("first")
     kinds = shared_table(paths.groupBy("anchor", "digest").agg(first, F.max("id").alias("last")))
-    again = kinds.where("first.id < last").select("anchor", "digest", F.col("first.id").alias("low"))
+    again = shared_table(kinds.where("first.id < last").select("anchor", "digest", F.col("first.id").alias("low")))
     whole = paths.join(again, ["anchor", "digest"]).where("id > low")
     branching = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("anchor")
+    branching = shared_table(branching)
     split = kinds.join(branching, "anchor").select("anchor", "first.*")
     split = split.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("paths"))
     split = shared_table(split)
@@ -134,7 +137,8 @@ def covered_windows(docs: DataFrame, window: int = 50, anchor: int = 16) -> Data
     edges = found.mapInArrow(_edges(window), "anchor long, edge long, id long, tag long, start int, bit int")
     edges = shared_table(edges)
     seen = edges.groupBy("anchor", "edge").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    hit = edges.join(seen.select("anchor", "edge", "low"), ["anchor", "edge"]).where("id > low")
+    seen = shared_table(seen.select("anchor", "edge", "low"))
+    hit = edges.join(seen, ["anchor", "edge"]).where("id > low")
     part = hit.groupBy("id", "tag", "start").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
     whole = whole.select("id", "tag", "start", F.expr("shiftleft(1L, n) - 1L").alias("mask"))
     return whole.unionByName(part)
