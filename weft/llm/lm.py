@@ -1,9 +1,10 @@
 """Language-model scores from a weighted backoff automaton of smoothed n-grams.
 
 Counting. Every training text is read in chunks of about `chunk` tokens. A chunk reports all its words, and its longer
-n-grams with at least half the share `share` of its tokens. N-grams whose reports add up to half of share * N are
-candidates (at most 2 / share by order; no n-gram with share * N occurrences is missed), which a second pass
-counts exactly; those with at least share * N stay, at most 1 / share by order, whatever the size of the corpus.
+n-grams with at least half the share `gram_share` of its tokens. What goes
+unreported of an n-gram is less than half of gram_share * N, so those whose reports add up to the rest are candidates
+(at most 2 / gram_share by order), which a second pass counts exactly; n-grams with at least gram_share * N, and two,
+occurrences stay: at most 1 / gram_share by order, whatever the size of the corpus.
 
 Automaton. States are the kept contexts. An arc (state, word) carries the interpolated, absolutely discounted
 log-probability (c(hw) - D) / c(h) + f(h) p(w | shorter h); a failure arc leads to the next shorter context and
@@ -12,7 +13,7 @@ log((c + delta) / (N + delta (V + 1))), c = 0 for unknown words. So probabilitie
 
 Traversal. From left to right, a token takes its arc or failure arcs until it has one. As the state is always the longest
 kept suffix, it is known from the last two tokens, and a batch of documents is traversed at once. Frequent words
-(share * N or more; at most 1 / share) are broadcast; for others only the empty context has arcs, and those weights,
+(word_share * N or more; at most 1 / word_share) are broadcast; for others only the empty context has arcs, and those weights,
 the only table that grows with the vocabulary, are joined to the (word, document) pairs that need them.
 
 Word identity is a 64-bit hash. Defined results: null text: the end token alone; null id: held out (text ''); repeated
@@ -106,7 +107,7 @@ def _report(share: float, chunk: int):
             yield _batch(1, key, zero, zero, n)
             for order, keys in enumerate(grams(h, lengths), 2):
                 key, n = np.unique(keys[keys != 0], return_counts=True)
-                key, n = key[n >= share * len(h) / 2], n[n >= share * len(h) / 2]
+                key, n = key[(often := n >= share * len(h) / 2)], n[often]
                 zero = np.zeros(len(key), np.uint64)
                 yield _batch(order, key, zero, zero, n)
 
@@ -206,24 +207,26 @@ def _score(model):
 
 
 def score_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 2e-6, chunk: int = 2_000_000,
-    delta: float = 0.1, discount: float = 0.75,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = 2e-6,
+    gram_share: float = 5e-6, chunk: int = 2_000_000, delta: float = 0.1, discount: float = 0.75,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = renamed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     context = docs.sparkSession.sparkContext
-    sums = docs.mapInArrow(_report(share, chunk), _REPORT).groupBy("order", "key").agg(F.sum("n").alias("n"))
+    sums = docs.mapInArrow(_report(gram_share, chunk), _REPORT).groupBy("order", "key").agg(F.sum("n").alias("n"))
     counts = shared_table(sums)
     words = counts.where("order = 1").select(F.col("key").alias("word"), "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).collect()[0]
-    likely = counts.where((F.col("order") > 1) & (F.col("n") >= share * total / 2)).select("order", "key")
-    likely = likely.toPandas()  # at most 4 / share keys
+    least = max(gram_share * total, 2)
+    likely = counts.where((F.col("order") > 1) & (F.col("n") >= least - gram_share * total / 2))
+    likely = likely.select("order", "key")
+    likely = likely.toPandas()  # at most 4 / gram_share keys
     sorted_keys = lambda frame: np.sort(frame["key"].to_numpy().astype(np.int64).view(np.uint64))
     candidates = context.broadcast({o: sorted_keys(likely[likely["order"] == o]) for o in (2, 3)})
     exact = docs.mapInArrow(_recount(candidates, chunk), _REPORT).groupBy("order", "key")
     exact = exact.agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix"))
-    kept = exact.where(F.col("n") >= share * total).toPandas()  # at most 2 / share rows
-    often = words.where(F.col("n") >= share * total).toPandas()  # at most 1 / share rows
+    kept = exact.where(F.col("n") >= least).toPandas()  # at most 2 / gram_share rows
+    often = words.where(F.col("n") >= word_share * total).toPandas()  # at most 1 / word_share rows
 
     def ascending(frame, *names):
         columns = [frame[c].to_numpy().astype(np.int64).view(np.uint64) for c in names]
@@ -239,7 +242,7 @@ def score_documents(
         "row long, word long, tf long, id long, held_out boolean, n_tokens long, n_known long, base double, score double"
     )
     rows = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(model), schema)
-    seldom = words.where(F.col("n") < share * total)
+    seldom = words.where(F.col("n") < word_share * total)
     joined = rows.join(seldom, "word", "left")
     n = F.coalesce("n", F.lit(0))
     weight = F.col("tf") * F.log10((n + F.lit(delta)) / F.lit(automaton.floor or 1.0))
