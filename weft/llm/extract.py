@@ -4,7 +4,7 @@
    one space. Text in page furniture (navigation, site header and footer, asides, forms, notices, adverts, reader
    comments, hidden parts) or in scripts, styles and the head stays out of the lines, and each such part leaves a
    barrier: an empty line.
-2. Weigh lines: the characters outside links. Inside the page's own main container (article, main) a line weighs at
+2. Weigh lines: the letters and digits outside links less those inside. Inside the page's own main container (article, main) a line weighs at
    least the threshold, as the author says that it belongs to the text; if there is such a container with text, lines
    outside weigh nothing.
 3. Sum weights over sliding windows of `window` lines. A surge is a line where the windowed sum reaches the threshold
@@ -56,10 +56,10 @@ _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Line:
-    __slots__ = ("text", "links", "main", "heading")
+    __slots__ = ("text", "prose", "main", "heading")
 
-    def __init__(self, text: str, links: int, main: bool, heading: bool):
-        self.text, self.links, self.main, self.heading = text, links, main, heading
+    def __init__(self, text: str, prose: int, main: bool, heading: bool):
+        self.text, self.prose, self.main, self.heading = text, prose, main, heading
 
 
 class _Lines(HTMLParser):
@@ -76,8 +76,8 @@ class _Lines(HTMLParser):
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(t for t, _ in self.parts)).strip()
         if text:
-            links = sum(len(_SPACE.sub(" ", t).strip()) for t, linked in self.parts if linked)
-            self.lines.append(Line(text, links, self.main > 0, self.head > 0))
+            prose = sum((1 - 2 * linked) * sum(map(str.isalnum, t)) for t, linked in self.parts)
+            self.lines.append(Line(text, prose, self.main > 0, self.head > 0))
         self.parts = []
 
     def furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -186,7 +186,7 @@ def main_text(html: str | None, window: int = 3, threshold: int = 80) -> str:
     weights = np.zeros(len(lines), np.int64)
     for i, x in enumerate(lines):
         if x is not None and (x.main or not declared):
-            weights[i] = max(len(x.text), threshold) if x.main else max(0, len(x.text) - 2 * x.links)
+            weights[i] = max(len(x.text), threshold) if x.main else max(0, x.prose)
     keep = between_surge_and_dive(weights, window, threshold)
     for i in np.flatnonzero(keep[1:] & ~keep[:-1]):  # headings before a surge
         while i >= 0 and lines[i] is not None and lines[i].heading and weights[i]:
