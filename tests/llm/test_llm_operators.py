@@ -237,15 +237,14 @@ def test_scores_equal_a_sequential_automaton(spark):
     docs = [(i, " ".join(rnd.choice(vocab[: int(2 + rnd.random() * 10)]) for _ in range(rnd.randrange(60)))) for i in range(120)]
     docs += [(500, None), (501, ""), (502, "unseen words only W1"), (503, "w1 w2"), (None, "w1")]
     df = documents(spark, docs).repartition(3)
-    got = {r["doc_id"]: r for r in lm.score_documents(df, word_share=0.02, gram_share=0.004, chunk=300).collect()}
+    got = {r["doc_id"]: r for r in lm.score_documents(df, block_tokens=300, buckets=5).collect()}
     tokens = {i: (t or "").lower().split() + ["\n"] for i, t in docs}
     train = [t for i, t in tokens.items() if not lm.held_out(i)]
     uni = collections.Counter(w for t in train for w in t)
     n, v = sum(uni.values()), len(uni)
-    least = max(0.004 * n, 2)
-    grams = [{g: c for g, c in collections.Counter(x for t in train for x in zip(*[t[j:] for j in range(k)], strict=False)).items() if c >= least} for k in (2, 3)]
-    assert all(grams)
-    count = {(w,): c for w, c in uni.items()} | grams[0] | grams[1]
+    pairs = {g: c for g, c in collections.Counter(x for t in train for x in zip(t, t[1:], strict=False)).items() if c >= 2}
+    assert len(pairs) > 50 and max(uni.values()) > n / 20  # so that a word's pairs are dealt by their second word
+    count = {(w,): c for w, c in uni.items()} | pairs
 
     def p(context, word):
         if not context:
@@ -258,7 +257,7 @@ def test_scores_equal_a_sequential_automaton(spark):
 
     assert abs(sum(p(("w0",), w) for w in [*uni, "other"]) - 1) < 1e-9
     for i, t in tokens.items():
-        score = sum(math.log10(p(tuple(t[max(0, k - 2) : k]), w)) for k, w in enumerate(t))
+        score = sum(math.log10(p(tuple(t[max(0, k - 1) : k]), w)) for k, w in enumerate(t))
         base = sum(math.log10(p((), w)) for w in t)
         assert abs(got[i]["score"] - score) < 1e-6 and abs(got[i]["base_score"] - base) < 1e-6
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(t), sum(uni[w] > 0 for w in t), n)

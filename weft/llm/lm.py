@@ -1,24 +1,25 @@
 """Language-model scores from a weighted backoff automaton of smoothed n-grams.
 
-Counting. Every training text is read in chunks of about `chunk` tokens. A chunk reports all its words, and its longer
-n-grams with at least half the share `gram_share` of its tokens. What goes
-unreported of an n-gram is less than half of gram_share * N, so those whose reports add up to the rest are candidates
-(at most 2 / gram_share by order), which a second pass counts exactly; n-grams with at least gram_share * N, and two,
-occurrences stay: at most 1 / gram_share by order, whatever the size of the corpus.
-
-Automaton. States are the kept contexts. An arc (state, word) carries the interpolated, absolutely discounted
-log-probability (c(hw) - D) / c(h) + f(h) p(w | shorter h); a failure arc leads to the next shorter context and
-carries log f(h), f(h) = 1 - sum of (c(hw) - D) / c(h) over kept words. The empty context has an arc for every word,
-log((c + delta) / (N + delta (V + 1))), c = 0 for unknown words. So probabilities add up to one in every state.
-
-Traversal. From left to right, a token takes its arc or failure arcs until it has one. As the state is always the longest
-kept suffix, it is known from the last two tokens, and a batch of documents is traversed at once. Frequent words
-(word_share * N or more; at most 1 / word_share) are broadcast; for others only the empty context has arcs, and those weights,
-the only table that grows with the vocabulary, are joined to the (word, document) pairs that need them.
-
-Word identity is a 64-bit hash. Defined results: null text: the end token alone; null id: held out (text ''); repeated
-rows count and are scored each; without training rows counts are 0 and every token has probability 1; an empty table
-gives no rows; other columns are ignored.
+Blocks. Documents are read once, into blocks of about `block_tokens` tokens: local word numbers, most frequent first, and the
+words' 64-bit hashes. Blocks are a written table, so that all later steps see the same ones.
+
+Counting. Each block deals its distinct words, and its distinct pairs of consecutive words under their first word, to
+buckets by the first word's hash; pairs of words that make `1 / (4 * buckets)` of all tokens or more (at most 8 * buckets
+words) are dealt by the second word instead. A bucket adds up the counts of training documents and returns to each block
+what is known of its words and pairs. All pairs with at least `least` occurrences in training are in the model, so that
+it grows with the corpus; no process ever holds more of it than one block or one bucket needs.
+
+Automaton. States are the empty context and the words met in training. An arc (h, w) carries the interpolated, absolutely
+discounted log-probability of (c(hw) - D) / c(h) + f(h) p(w); h's failure arc leads to the empty context and carries log
+f(h), f(h) = 1 - sum of (c(hw) - D) / c(h) over kept pairs. The empty context has an arc for every word, p(w) =
+(c + delta) / (N + delta (V + 1)), c = 0 for unknown words. So probabilities add up to one in every state.
+
+Traversal. From left to right, a token takes its arc, or the failure arc and the empty context's arc. The state after a
+token is its word if that has a state, else the empty context, so a block's traversal is one pass over its arrays.
+
+Words are identified by 64-bit hashes, pairs by the first word and 48 bits of the second's. Defined results: null text:
+the end token alone; null id: held out (text ''); repeated rows count and are scored each; without training rows counts
+are 0 and every token has probability 1; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, WordHashes, mixed, renamed, shared_table, slices
 
 END = b"\n"  # no word holds white space
-ORDER = 3
+#: Buckets hold about this many tokens' pairs.
+BUCKET_TOKENS, LEAST_BUCKETS = 8_000_000, 64
+#: Bytes of a dealt pair's key.
+KEY_BYTES = 6
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -47,210 +53,302 @@ def tokens_of(texts: list[str | None], memo: WordHashes) -> tuple[np.ndarray, np
     return memo.of([w for ws in words for w in ws]), np.array([len(ws) for ws in words], np.int64)
 
 
-def grams(h: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For orders 2 and 3: keys (0 where a text has no such n-gram ending there)."""
-    at = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    keys = []
-    two = np.zeros(len(h), np.uint64)
-    two[1:] = mixed(h[:-1] * np.uint64(BASE) + h[1:])
-    two[at < 1] = 0
-    three = np.zeros(len(h), np.uint64)
-    three[2:] = mixed(two[1:-1] * np.uint64(BASE) + h[2:] + np.uint64(3)) if len(h) > 2 else 0
-    three[at < 2] = 0
-    keys += [two, three]
-    return keys
-
-
-def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Positions in the ascending table, or -1."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    return np.where(table[at] == keys, at, -1)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    memo, hashes, lengths, size = WordHashes(), [], [], 0
-    for batch in batches:
-        for part in slices(batch):
-            rows = zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True)
-            if not (texts := [t for i, t in rows if not held_out(i)]):
-                continue
-            h, n = tokens_of(texts, memo)
-            hashes.append(h)
-            lengths.append(n)
-            size += len(h)
-            if size >= chunk:
-                yield np.concatenate(hashes), np.concatenate(lengths)
-                hashes, lengths, size = [], [], 0
-    if hashes:
-        yield np.concatenate(hashes), np.concatenate(lengths)
-
-
-def _batch(order: int, key: np.ndarray, context: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(x.view(np.int64)) for x in (key, context, suffix)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(n), order, np.int32)), *columns, pa.array(n.astype(np.int64))],
-        ["order", "key", "context", "suffix", "n"],
-    )
-
-
-_REPORT = "order int, key long, context long, suffix long, n long"
-
-
-def _report(share: float, chunk: int):
-    def read(batches):
-        for h, lengths in _chunks(batches, chunk):
-            key, n = np.unique(h, return_counts=True)
-            zero = np.zeros(len(key), np.uint64)
-            yield _batch(1, key, zero, zero, n)
-            for order, keys in enumerate(grams(h, lengths), 2):
-                key, n = np.unique(keys[keys != 0], return_counts=True)
-                key, n = key[(often := n >= share * len(h) / 2)], n[often]
-                zero = np.zeros(len(key), np.uint64)
-                yield _batch(order, key, zero, zero, n)
+def pack(x: np.ndarray, width: int | None = None) -> bytes:
+    """The lowest `width` bytes of all values, byte by byte, compressed."""
+    if not len(x):
+        return b""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :width]
+    return zstandard.ZstdCompressor(level=1).compress(planes.T.tobytes())
+
+
+def unpack(data: bytes, dtype, width: int | None = None) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    if not data:
+        return np.empty(0, dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width or size, -1)
+    out = np.zeros((planes.shape[1], size), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view(dtype).ravel()
+
+
+def pack_ascending(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.zeros(1, x.dtype)))
+
+
+def unpack_ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where values that differ from the one before begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
+
+
+_BLOCKS = "block long, size long, ids array<long>, lengths binary, tokens binary, counts binary, words binary"
+
+
+def _encode(size: int):
+    def row(block: int, ids: list, hashes: list, lengths: list) -> pa.RecordBatch:
+        words, tokens, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        place = np.empty(len(words), np.uint32)
+        place[np.argsort(-counts, kind="stable")] = np.arange(len(words))
+        blobs = (
+            pack(np.concatenate(lengths).astype(np.uint32)), pack(place[tokens]), pack(counts.astype(np.uint32)),
+            pack_ascending(words),
+        )
+        columns = [pa.array([block]), pa.array([len(tokens)]), pa.array([ids], pa.list_(pa.int64()))]
+        names = ["block", "size", "ids", "lengths", "tokens", "counts", "words"]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array([b], pa.binary()) for b in blobs)], names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, block = WordHashes(), TaskContext.get().partitionId() << 32
+        ids, hashes, lengths, held = [], [], [], 0
+        for batch in batches:
+            for part in slices(batch):
+                h, n = tokens_of(part.column("text").to_pylist(), memo)
+                ids += part.column("id").to_pylist()
+                hashes.append(h)
+                lengths.append(n)
+                held += len(h)
+                if held >= size:
+                    yield row(block, ids, hashes, lengths)
+                    block, ids, hashes, lengths, held = block + 1, [], [], [], 0
+        if ids:
+            yield row(block, ids, hashes, lengths)
 
     return read
 
 
-def _recount(candidates, chunk: int):
+class Block:
+    """A decoded block; tokens are positions in words, which ascend."""
+
+    def __init__(self, ids: list, lengths: bytes, tokens: bytes, counts: bytes, words: bytes):
+        self.ids = ids
+        self.lengths = unpack(lengths, np.uint32).astype(np.int64)
+        self.words = unpack_ascending(words)
+        self.counts = unpack(counts, np.uint32).astype(np.int64)
+        self.tokens = np.argsort(-self.counts, kind="stable")[unpack(tokens, np.uint32)]
+        self.held = np.array([held_out(i) for i in ids])
+        starts = np.cumsum(self.lengths) - self.lengths
+        inner = np.ones(len(self.tokens), bool)
+        inner[starts] = False
+        self.starts, self.later = starts, np.flatnonzero(inner)
+        self.pair = self.tokens[self.later - 1] * len(self.words) + self.tokens[self.later]
+
+    def deal(self, buckets: int, hot: np.ndarray) -> None:
+        """Sets distinct pairs and the order in which words and pairs are dealt."""
+        held = np.repeat(self.held, self.lengths)
+        self.word_n = np.bincount(self.tokens[~held], minlength=len(self.words))
+        marked = np.sort(2 * self.pair + held[self.later])
+        first = runs(marked >> 1)
+        self.pairs = marked[first] >> 1
+        self.pair_n = np.add.reduceat(1 - (marked & 1), first) if len(first) else first
+        self.home = (self.words % np.uint64(buckets)).astype(np.int64)
+        a, b = np.divmod(self.pairs, len(self.words))
+        place = np.searchsorted(hot, self.words)
+        place[place == len(hot)] = 0
+        is_hot = hot[place] == self.words if len(hot) else np.zeros(len(self.words), bool)
+        self.place = np.where(is_hot, place, -1)
+        apart = is_hot[a]
+        self.bucket = np.where(apart, self.home[b], self.home[a])
+        self.word_order = np.argsort(self.home, kind="stable")
+        self.pair_order = np.argsort(2 * self.bucket + apart, kind="stable")
+
+
+def _hot(share: float):
     def read(batches):
-        for h, lengths in _chunks(batches, chunk):
-            two, three = grams(h, lengths)
-            for order, keys, context, suffix in (
-                (2, two, np.r_[h[:1], h[:-1]], h), (3, three, np.r_[two[:1], two[:-1]], two)
-            ):
-                key, first, n = np.unique(keys, return_index=True, return_counts=True)
-                hit = (find(candidates.value[order], key) >= 0) & (key != 0)
-                first = first[hit]
-                yield _batch(order, key[hit], context[first], suffix[first], n[hit])
+        for batch in batches:
+            for words, counts, n in zip(*(batch.column(c).to_pylist() for c in ("words", "counts", "size")), strict=True):
+                counts = unpack(counts, np.uint32).astype(np.int64)
+                often = counts >= share * n / 2
+                word = unpack_ascending(words)[often].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(counts[often])], ["word", "n"])
+
+    return read
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
+    for i in range(batch.num_rows):
+        block, *parts = (batch.column(c)[i].as_py() for c in ("block", "ids", "lengths", "tokens", "counts", "words"))
+        yield block, Block(*parts)
+
+
+_DEALT = "bucket long, block long, words binary, word_n binary, degree binary, keys binary, pair_n binary, place binary"
+
+
+def _deal(buckets: int, hot: np.ndarray):
+    names = [c.split()[0] for c in _DEALT.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, x in _blocks(batch):
+                x.deal(buckets, hot)
+                a, b = np.divmod(x.pairs, len(x.words))
+                place, spread = x.place[a], mixed(x.words)[b]
+                degree = np.bincount(a[place < 0], minlength=len(x.words)).astype(np.uint32)
+                edges = np.arange(buckets + 1)
+                w_cut = np.searchsorted(x.home[x.word_order], edges)
+                p_cut = np.searchsorted(x.bucket[x.pair_order], edges)
+                rows = []
+                for q in range(buckets):
+                    w = x.word_order[w_cut[q] : w_cut[q + 1]]
+                    p = x.pair_order[p_cut[q] : p_cut[q + 1]]
+                    if len(w) or len(p):
+                        apart = place[p]
+                        rows.append((
+                            q, number, pack_ascending(x.words[w]), pack(x.word_n[w].astype(np.uint32)), pack(degree[w]),
+                            pack(spread[p], KEY_BYTES), pack(x.pair_n[p].astype(np.uint32)),
+                            pack(apart[apart >= 0].astype(np.uint32)),
+                        ))
+                types = [pa.int64()] * 2 + [pa.binary()] * 6
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return read
+
+
+_KNOWN = "block long, bucket long, totals binary, mass binary, pair_totals binary, hot long, value double, v long, n long"
+
+
+def _count(hot: int, least: int, discount: float):
+    """Rows sorted by bucket to what is known of each block's words and pairs, and, without block, the bucket's sums."""
+    names = [c.split()[0] for c in _KNOWN.split(", ")]
+    types = [pa.int64()] * 2 + [pa.binary()] * 3 + [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    def settled(bucket: int, parts: list[tuple]) -> pa.RecordBatch:
+        words = [unpack_ascending(p[1]) for p in parts]
+        word, inverse = np.unique(np.concatenate(words), return_inverse=True)
+        totals = np.bincount(inverse, np.concatenate([unpack(p[2], np.uint32) for p in parts]), len(word)).astype(np.int64)
+        inverse = np.split(inverse, np.cumsum([len(w) for w in words])[:-1])
+        first_word = [
+            np.r_[np.repeat(i, unpack(p[3], np.uint32)), len(word) + unpack(p[6], np.uint32).astype(np.int64)]
+            for i, p in zip(inverse, parts, strict=True)
+        ]
+        cuts = np.cumsum([len(c) for c in first_word])[:-1]
+        first_word = np.concatenate(first_word)
+        keys = np.concatenate([unpack(p[4], np.uint64, KEY_BYTES) for p in parts])
+        keys = mixed(keys + mixed(first_word.astype(np.uint64) * np.uint64(BASE)))
+        n = np.concatenate([unpack(p[5], np.uint32) for p in parts]).astype(np.int64)
+        order = np.argsort(keys)
+        first = runs(keys[order])
+        sums = np.add.reduceat(n[order], first) if len(first) else first
+        kept = np.where(sums >= least, sums, 0)
+        mass = np.bincount(first_word[order[first]], np.maximum(kept - discount, 0), len(word) + hot)
+        known = np.empty(len(n), np.int64)
+        known[order] = np.repeat(kept, np.diff(np.r_[first, len(n)]))
+        rows = [
+            (p[0], bucket, pack(totals[i].astype(np.uint64)), pack(mass[i]), pack(t.astype(np.uint64)), None, None, None, None)
+            for p, i, t in zip(parts, inverse, np.split(known, cuts), strict=True)
+        ]
+        rows.append((None, bucket, None, None, None, None, None, int((totals > 0).sum()), int(totals.sum())))
+        partial = mass[len(word) :]
+        rows += [(None, bucket, None, None, None, int(j), float(partial[j]), None, None) for j in np.flatnonzero(partial)]
+        return batch_of(rows)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            columns = [c.split()[0] for c in _DEALT.split(", ")]
+            for bucket, *part in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if bucket != now and parts:
+                    yield settled(now, parts)
+                    parts = []
+                now = bucket
+                parts.append(tuple(part))
+        if parts:
+            yield settled(now, parts)
 
     return read
 
 
 class Automaton:
-    def __init__(self, total: int, distinct: int, uni: tuple, two: tuple, three: tuple, delta: float, discount: float):
-        """uni: key, n; two, three: key, context, suffix, n; keys ascend."""
-        self.floor = total + delta * (distinct + 1)
-        self.delta = delta
-        self.keys = [uni[0], two[0], three[0]]
-        self.uni = np.log10((uni[1] + delta) / self.floor) if len(uni[1]) else np.zeros(0)
-        shorter, below, counts = self.keys[0], 10.0**self.uni, uni[1]
-        self.arcs, self.fail = [], []
-        for key, context, suffix, n in (two, three):
-            c = find(shorter, context)
-            own = np.maximum(n - discount, 0) / np.maximum(counts[c], 1)
-            fail = 1 - np.bincount(c, own, len(shorter)) if len(c) else np.ones(len(shorter))
-            p = own + fail[c] * below[find(shorter, suffix)]
-            self.arcs.append(np.log10(p))
-            self.fail.append(np.log10(np.maximum(fail, 1e-12)))
-            shorter, below, counts = key, p, n
-
-    def unigram(self, n: np.ndarray) -> np.ndarray:
-        return np.log10((n + self.delta) / self.floor)
-
-    def traverse(self, h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Weights collected at each token, base weights, and which tokens' empty-context arcs are elsewhere."""
-        word = find(self.keys[0], h)
-        two, three = (find(t, k) for t, k in zip(self.keys[1:], grams(h, lengths), strict=True))
-        start = np.zeros(len(h), bool)
-        start[np.cumsum(lengths)[:-1]] = True
-        start[:1] = True
-        was_word = np.where(start, -1, np.r_[-1, word[:-1]])
-        was_two = np.where(start, -1, np.r_[-1, two[:-1]])
-        rare = word < 0
-        base = np.where(rare, 0.0, self.uni[word] if len(self.uni) else 0.0)
-        at = lambda table, i: np.where(i >= 0, table[i], 0.0) if len(table) else np.zeros(len(i))
-        low = np.where(two >= 0, at(self.arcs[0], two), at(self.fail[0], was_word) + base)
-        return np.where(three >= 0, at(self.arcs[1], three), at(self.fail[1], was_two) + low), base, rare
-
-
-def _score(model):
-    names = ["row", "word", "tf", "id", "held_out", "n_tokens", "n_known", "base", "score"]
+    """The part of the automaton that a block's words and pairs reach."""
+
+    def __init__(self, block: Block, totals: np.ndarray, mass: np.ndarray, pair_totals: np.ndarray, n: int, v: int, delta: float, discount: float):
+        self.block = block
+        self.empty = (totals + delta) / (n + delta * (v + 1))
+        self.known = totals > 0
+        c = np.maximum(totals, 1)
+        self.fail = np.where(self.known, 1 - mass / c, 1.0)
+        a, b = np.divmod(block.pairs, len(block.words))
+        own = np.where(pair_totals > 0, np.maximum(pair_totals - discount, 0), 0) / c[a]
+        self.arc = np.log10(own + self.fail[a] * self.empty[b])
+
+    def traverse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, base weights and collected weights of each document."""
+        x = self.block
+        base = np.log10(self.empty)[x.tokens]
+        weights = base.copy()
+        weights[x.later] = self.arc[np.searchsorted(x.pairs, x.pair)]
+        total = lambda y: np.add.reduceat(y, x.starts)
+        return total(self.known[x.tokens].astype(np.int64)), total(base), total(weights)
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(buckets: int, hot: np.ndarray, hot_mass: np.ndarray, n: int, v: int, delta: float, discount: float):
+    names = [c.split()[0] for c in _SCORES.split(", ")]
+
+    def scored(x: Block, known: list[tuple]) -> pa.RecordBatch:
+        x.deal(buckets, hot)
+        totals, mass, pair_totals = np.zeros(len(x.words), np.int64), np.zeros(len(x.words)), np.zeros(len(x.pairs), np.int64)
+        for i, (target, order, dtype) in enumerate((
+            (totals, x.word_order, np.uint64), (mass, x.word_order, np.float64), (pair_totals, x.pair_order, np.uint64)
+        )):
+            target[order] = np.concatenate([unpack(k[i], dtype) for k in known])
+        is_hot = x.place >= 0
+        mass[is_hot] = hot_mass[x.place[is_hot]]
+        found, base, score = Automaton(x, totals, mass, pair_totals, n, v, delta, discount).traverse()
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(x.ids, pa.int64()), pa.array(x.held), pa.array(x.lengths), pa.array(found),
+                pa.array(np.full(len(x.ids), n, np.int64)), pa.array(base), pa.array(score),
+            ],
+            names,
+        )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, automaton = WordHashes(), model.value
+        now, known = None, []
         for batch in batches:
-            for part in slices(batch):
-                ids = part.column("id").to_pylist()
-                rows = np.array(part.column("row").to_pylist(), np.int64)
-                h, lengths = tokens_of(part.column("text").to_pylist(), memo)
-                score, base, rare = automaton.traverse(h, lengths)
-                cut = np.cumsum(lengths) - lengths
-                total = lambda x, cut=cut: np.add.reduceat(x, cut)
-                docs = len(ids)
-                owner, word = np.repeat(np.arange(docs), lengths)[rare], h[rare]
-                order = np.lexsort((word, owner))
-                owner, word = owner[order], word[order]
-                first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])][: len(word)])
-                tf = np.diff(np.r_[first, len(word)])
-                none = np.zeros(len(tf))
-                padded = lambda x, t, k=len(tf): pa.concat_arrays([pa.array(x, t), pa.nulls(k, t)])
-                # a document's own row meets no word: its tf is 0 and its key spreads rows over tasks
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.r_[rows, rows[owner[first]]]),
-                        pa.array(np.r_[mixed(rows.view(np.uint64)), word[first]].view(np.int64)),
-                        pa.array(np.r_[np.zeros(docs, np.int64), tf]),
-                        padded(ids, pa.int64()),
-                        padded([held_out(i) for i in ids], pa.bool_()),
-                        pa.array(np.r_[lengths, none.astype(np.int64)]),
-                        pa.array(np.r_[total((~rare).astype(np.int64)), none.astype(np.int64)]),
-                        pa.array(np.r_[total(base), none]),
-                        pa.array(np.r_[total(score), none]),
-                    ],
-                    names,
-                )
+            for i in range(batch.num_rows):
+                get = lambda c, i=i, batch=batch: batch.column(c)[i].as_py()
+                if get("bucket") >= 0:
+                    known.append(tuple(map(get, ("totals", "mass", "pair_totals"))))
+                    continue
+                if now is not None:
+                    yield scored(now, known)
+                now, known = Block(*map(get, ("ids", "lengths", "tokens", "counts", "words"))), []
+        if now is not None:
+            yield scored(now, known)
 
     return read
 
 
 def score_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = 2e-6,
-    gram_share: float = 5e-6, chunk: int = 2_000_000, delta: float = 0.1, discount: float = 0.75,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, block_tokens: int = 2_000_000,
+    buckets: int | None = None, delta: float = 0.1, discount: float = 0.75,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = renamed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    context = docs.sparkSession.sparkContext
-    sums = docs.mapInArrow(_report(gram_share, chunk), _REPORT).groupBy("order", "key").agg(F.sum("n").alias("n"))
-    counts = shared_table(sums)
-    words = counts.where("order = 1").select(F.col("key").alias("word"), "n")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).collect()[0]
-    least = max(gram_share * total, 2)
-    likely = counts.where((F.col("order") > 1) & (F.col("n") >= least - gram_share * total / 2))
-    likely = likely.select("order", "key")
-    likely = likely.toPandas()  # at most 4 / gram_share keys
-    sorted_keys = lambda frame: np.sort(frame["key"].to_numpy().astype(np.int64).view(np.uint64))
-    candidates = context.broadcast({o: sorted_keys(likely[likely["order"] == o]) for o in (2, 3)})
-    exact = docs.mapInArrow(_recount(candidates, chunk), _REPORT).groupBy("order", "key")
-    exact = exact.agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix"))
-    kept = exact.where(F.col("n") >= least).toPandas()  # at most 2 / gram_share rows
-    often = words.where(F.col("n") >= word_share * total).toPandas()  # at most 1 / word_share rows
-
-    def ascending(frame, *names):
-        columns = [frame[c].to_numpy().astype(np.int64).view(np.uint64) for c in names]
-        order = np.argsort(columns[0])
-        return (*[c[order] for c in columns], frame["n"].to_numpy().astype(np.int64)[order])
-
-    by_order = lambda o: ascending(kept[kept["order"] == o], "key", "context", "suffix")
-    automaton = Automaton(
-        total, distinct, ascending(often.rename(columns={"word": "key"}), "key"), by_order(2), by_order(3), delta, discount
-    )
-    model = context.broadcast(automaton)
-    schema = (
-        "row long, word long, tf long, id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-    )
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(model), schema)
-    seldom = words.where(F.col("n") < word_share * total)
-    joined = rows.join(seldom, "word", "left")
-    n = F.coalesce("n", F.lit(0))
-    weight = F.col("tf") * F.log10((n + F.lit(delta)) / F.lit(automaton.floor or 1.0))
-    weight = weight if total else F.lit(0.0)
-    out = joined.groupBy("row").agg(
-        F.max("id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(n > 0, F.col("tf")).otherwise(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), F.sum(F.col("base") + weight).alias("base_score"),
-        F.sum(F.col("score") + weight).alias("score"),
-    )
-    return out.drop("row")
+    blocks = shared_table(docs.mapInArrow(_encode(block_tokens), _BLOCKS))
+    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]
+    buckets = buckets or max(LEAST_BUCKETS, size // BUCKET_TOKENS)
+    share = 1 / (4 * buckets)
+    reported = blocks.select("words", "counts", "size").mapInArrow(_hot(share), "word long, n long")
+    often = reported.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= share * size / 2)
+    often = often.select("word").toPandas()  # at most 8 * buckets rows
+    hot = np.sort(often["word"].to_numpy().astype(np.int64).view(np.uint64))
+    dealt = blocks.mapInArrow(_deal(buckets, hot), _DEALT).repartition("bucket").sortWithinPartitions("bucket")
+    known = shared_table(dealt.mapInArrow(_count(len(hot), least, discount), _KNOWN))
+    v, n = known.where("v is not null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in "vn")).collect()[0]
+    sums = known.where("hot is not null").groupBy("hot").agg(F.sum("value").alias("mass")).toPandas()
+    hot_mass = np.zeros(len(hot))
+    hot_mass[sums["hot"].to_numpy().astype(np.int64)] = sums["mass"].to_numpy().astype(np.float64)
+    own = blocks.drop("size").withColumn("bucket", F.lit(-1).cast("long"))
+    back = known.where("block is not null").select("block", "bucket", "totals", "mass", "pair_totals")
+    rows = own.unionByName(back, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "bucket")
+    return rows.mapInArrow(_score(buckets, hot, hot_mass, n, v, delta, discount), _SCORES)
