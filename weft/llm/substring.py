@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Rolling, WordHashes, renamed, shared_table, slices
 
+#: Windows whose k-mers are compared at once; numpy copies them, 8 * (window - anchor + 1) bytes each.
+STEP = 1 << 15
 _PATHS = "anchor long, id long, tag long, start int, n int, digest long"
 
 
@@ -42,7 +44,8 @@ def anchors_of(h: np.ndarray, rolling: Rolling, window: int, anchor: int) -> tup
     """First window, number of windows and anchor hash of each path."""
     grams = rolling.windows(h, anchor)
     width, n = window - anchor + 1, len(h) - window + 1
-    at = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(1) + np.arange(n)
+    view = np.lib.stride_tricks.sliding_window_view(grams, width)
+    at = np.concatenate([view[i : i + STEP].argmin(1) for i in range(0, n, STEP)]) + np.arange(n)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     return first, np.diff(np.r_[first, n]), grams[at[first]]
 
