@@ -14,7 +14,8 @@ coordinates (document, first window, number of windows). Equal windows have equa
 
 A window is covered if its word sequence also starts in a document with a smaller id; covered words are cut out.
 The number of rows is a small share of the words (two anchors for every window - anchor + 2 words), and no group is
-ever gathered: first documents are partial minima.
+ever gathered: first documents are partial minima. Lists of paths and covers grow with the corpus, so texts always meet
+them by sort-merge joins.
 
 Defined results: a null text has no words and stays null; a row with a null id is returned as it is and is no source;
 rows that repeat an id never remove each other; texts shorter than a window are returned as they are; ties go to
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Rolling, WordHashes, renamed, shared_table, slices
+from .common import Rolling, WordHashes, renamed, shared_table, slices
 
 #: Windows whose k-mers are compared at once; numpy copies them, 8 * (window - anchor + 1) bytes each.
 STEP = 1 << 15
@@ -133,10 +134,8 @@ def covered_windows(docs: DataFrame, window: int = 50, anchor: int = 16) -> Data
     split = kinds.join(branching, "anchor").select("anchor", "first.*")
     split = split.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("paths"))
     split = shared_table(split)
-    size = split.agg(F.coalesce(F.sum(F.size("paths")), F.lit(0)).alias("n")).collect()[0]["n"]
-    split = F.broadcast(split) if size <= 2 * BROADCAST_ROWS else split
     text = docs.withColumn("tag", F.crc32(F.col("text")))
-    found = text.join(split, ["id", "tag"]).select("id", "tag", "text", "paths")
+    found = text.join(split.hint("merge"), ["id", "tag"]).select("id", "tag", "text", "paths")
     edges = found.mapInArrow(_edges(window), "anchor long, edge long, id long, tag long, start int, bit int")
     edges = shared_table(edges)
     seen = edges.groupBy("anchor", "edge").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
@@ -187,8 +186,6 @@ def remove_repeats(
     covers = covered_windows(renamed(docs, id=id_col, text=text_col), window, anchor)
     covers = covers.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "mask")).alias("_weft_covers"))
     covers = shared_table(covers.toDF("_weft_id", "_weft_tag", "_weft_covers"))
-    size = covers.agg(F.coalesce(F.sum(F.size("_weft_covers")), F.lit(0)).alias("n")).collect()[0]["n"]
-    covers = F.broadcast(covers) if size <= 2 * BROADCAST_ROWS else covers
     text = F.col(f"`{text_col}`")
 
     @F.pandas_udf("text string, words long, removed long")
@@ -197,7 +194,7 @@ def remove_repeats(
         return pd.DataFrame(rows, columns=["text", "words", "removed"])
 
     keys = (F.col(f"`{id_col}`") == F.col("_weft_id")) & (F.crc32(text) == F.col("_weft_tag"))
-    out = docs.join(covers, keys, "left").withColumn("_weft_cut", cut(text, F.col("_weft_covers")))
+    out = docs.join(covers.hint("merge"), keys, "left").withColumn("_weft_cut", cut(text, F.col("_weft_covers")))
     columns = [
         F.col("_weft_cut.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns
     ]
