@@ -35,6 +35,7 @@ def source_weights(
 ) -> DataFrame:
     """source, docs, tokens, weight, repeats from rows of source, tokens."""
     sources = counted.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
+    sources = shared_table(sources)  # read twice; texts are counted once
     # the bisection sees only the numbers of tokens by source: two columns of one row
     total = sources.where(F.col("tokens") > 0).agg(F.collect_list(F.col("tokens").cast("double")).alias("all"))
     total = total.withColumn("shares", F.transform("all", lambda t: t / F.aggregate("all", F.lit(0.0), _add)))
