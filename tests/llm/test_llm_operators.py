@@ -176,6 +176,20 @@ def test_spans_equal_brute_force(spark, seed):
     assert substring.remove_repeats(documents(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [13, 16, 40])
+def test_spans_repeated_within_their_first_document(spark, n):
+    a, b, p, q, s = (words(n if k == 2 else 30, 50 + k, 10**6) for k in range(5))
+    twice = [*q, *p, *s, *q, *p, *s]
+    texts = [(1, " ".join([*a, *p, *b])), (2, " ".join(twice)), (3, " ".join([*s, *q])), (3, " ".join([*b, *twice]))]
+    texts += [(4, " ".join(twice)), (4, " ".join([*a, *twice]))]
+    rows = substring.remove_repeats(documents(spark, texts), window=12, anchor=5).collect()
+    kept = brute_spans(texts[:2], 12)
+    assert [r["text"].split() for r in rows if r["doc_id"] == 2] == [[w.decode() for w in kept[2]]]
+    assert len(kept[2]) == 120
+    rows = substring.remove_repeats(documents(spark, [texts[0], (2, texts[1][1]), (2, texts[1][1] + " end")]), window=12, anchor=5)
+    assert sorted(len(r["text"].split()) for r in rows.collect() if r["doc_id"] == 2) == [120, 121]
+
+
 def brute_links(texts, k):
     sets = {}
     for i, t in texts:

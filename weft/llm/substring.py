@@ -10,7 +10,7 @@ coordinates (document, first window, number of windows). Equal windows have equa
    and in any later document all their windows are covered.
 3. Anchors with several digests branch. One path of each digest (its first document) is read again at its source
    coordinates and split into its edges, which are verified one by one by a second hash and joined to their first
-   document.
+   document. Other occurrences of that path under the same id take over its covered edges.
 
 A window is covered if its word sequence also starts in a document with a smaller id; covered words are cut out.
 The number of rows is a small share of the words (two anchors for every window - anchor + 2 words), and no group is
@@ -126,7 +126,8 @@ def covered_windows(docs: DataFrame, window: int = 50, anchor: int = 16) -> Data
     repeated = shared_table(repeated.select("anchor"))
     paths = shared_table(paths.join(repeated, "anchor"))
     first = F.min(F.struct("id", "tag", "start", "n")).alias("first")
-    kinds = shared_table(paths.groupBy("anchor", "digest").agg(first, F.max("id").alias("last")))
+    kinds = paths.groupBy("anchor", "digest").agg(first, F.max("id").alias("last"), F.count(F.lit(1)).alias("times"))
+    kinds = shared_table(kinds)
     again = shared_table(kinds.where("first.id < last").select("anchor", "digest", F.col("first.id").alias("low")))
     whole = paths.join(again, ["anchor", "digest"]).where("id > low")
     branching = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("anchor")
@@ -141,9 +142,13 @@ def covered_windows(docs: DataFrame, window: int = 50, anchor: int = 16) -> Data
     seen = edges.groupBy("anchor", "edge").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     seen = shared_table(seen.select("anchor", "edge", "low"))
     hit = edges.join(seen, ["anchor", "edge"]).where("id > low")
-    part = hit.groupBy("id", "tag", "start").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    part = shared_table(hit.groupBy("id", "tag", "start").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))
+    # a path that its first document holds again: equal words, so equal masks
+    met = kinds.where("times > 1").select("anchor", "digest", "first.id", "first.tag", "first.start")
+    met = shared_table(met.join(part, ["id", "tag", "start"]).withColumnsRenamed({"tag": "own", "start": "at"}))
+    same = paths.join(met, ["anchor", "digest", "id"]).where("tag <> own or start <> at")
     whole = whole.select("id", "tag", "start", F.expr("shiftleft(1L, n) - 1L").alias("mask"))
-    return whole.unionByName(part)
+    return whole.unionByName(part).unionByName(same.select("id", "tag", "start", "mask"))
 
 
 def cut_words(text: str | None, covers: list | None, window: int) -> tuple[str | None, int, int]:
