@@ -56,6 +56,16 @@ def test_extract_keeps_the_article_only():
     assert extract.main_text(plain).startswith("Head\nword") and " | " not in extract.main_text(plain)
 
 
+def test_extract_weighs_containers_by_their_text():
+    long = ("word " * 40).strip()
+    cards = "".join(f"<article><h3><a href=/{i}>Other story</a></h3><p>Short.</p></article>" for i in range(3))
+    body = f"<body><div><h1>Head</h1><p>{long}</p><p>{long}</p></div><div>{cards}</div></body>"
+    assert extract.main_text(body) == f"Head\n{long}\n{long}"
+    links = "".join(f"<li><a href=/{i}>Some other page {i}</a></li>" for i in range(5))
+    main = f"<main><h1><a href=/>Head</a></h1><p>{long}</p><p><a href=/s>See the source</a>.</p><p>Short.</p><ul>{links}</ul></main>"
+    assert extract.main_text(f"<body>{main}<div>Made by us</div></body>") == f"Head\n{long}\nSee the source.\nShort."
+
+
 def test_packing_covers_every_id_once_without_padding(spark):
     texts = [(i, " ".join(words(random.Random(i).randrange(0, 900), i))) for i in range(60)]
     texts += [(100, None), (101, ""), (102, "a<|endoftext|>b \t c"), (103, "big " * 9000), (7, "again"), (None, "no id")]

@@ -4,12 +4,12 @@
    one space. Text in page furniture (navigation, site header and footer, asides, forms, notices, adverts, reader
    comments, hidden parts) or in scripts, styles and the head stays out of the lines, and each such part leaves a
    barrier: an empty line.
-2. Weigh lines: the letters and digits outside links less those inside. Inside the page's own main container (article, main) a line weighs at
-   least the threshold, as the author says that it belongs to the text; if there is such a container with text, lines
-   outside weigh nothing.
-3. Sum weights over sliding windows of `window` lines. A surge is a line where the windowed sum reaches the threshold
-   from below, a dive the line where it falls to nothing again. The lines with weight between a surge and its dive are
-   the text, with the headings that lead up to the surge.
+2. Weigh lines: the letters and digits outside links less those inside, at least 0. If the page's main containers
+   (article, main) hold at least as much of that as the rest of the page, each line in them that isn't mostly links
+   weighs `threshold` more, as the author says that it belongs to the text.
+3. Sum weights over sliding windows of `window` lines, inside containers and outside them apart. A surge is a line where
+   the windowed sum reaches the threshold from below, a dive the line where it falls to nothing again. The lines between
+   a surge and its dive are the text (outside containers those with weight), with the headings that lead up to it.
 
 Defined results: a null or empty html gives an empty text; nothing is cut by length; repeated rows give equal rows; an
 empty table gives no rows. Elements left open are closed as browsers do for p, li, dt, dd, tr, td, th and option.
@@ -176,20 +176,28 @@ def between_surge_and_dive(weights: np.ndarray, window: int, threshold: int) ->
             inside = True
         elif inside and not sums[i]:
             inside = False
-        keep[i] = inside and weights[i] > 0
+        keep[i] = inside
     return keep
 
 
 def main_text(html: str | None, window: int = 3, threshold: int = 80) -> str:
     lines = page_lines(html or "")
-    declared = any(x is not None and x.main for x in lines)
-    weights = np.zeros(len(lines), np.int64)
+    prose = [0 if x is None else max(0, x.prose) for x in lines]
+    held = sum(w for x, w in zip(lines, prose, strict=True) if x is not None and x.main)
+    bonus = threshold if 2 * held >= sum(prose) else 0
+    weights, main = np.array(prose, np.int64), np.zeros(len(lines), bool)
     for i, x in enumerate(lines):
-        if x is not None and (x.main or not declared):
-            weights[i] = max(len(x.text), threshold) if x.main else max(0, x.prose)
-    keep = between_surge_and_dive(weights, window, threshold)
+        main[i] = x.main if x is not None else i and main[i - 1]
+        if x is not None and x.main and x.prose >= 0:
+            weights[i] += bonus
+    keep = np.zeros(len(lines), bool)
+    cuts = [0, *(np.flatnonzero(main[1:] != main[:-1]) + 1).tolist(), len(lines)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        keep[i:j] = between_surge_and_dive(weights[i:j], window, threshold)
+    keep &= (weights > 0) | main
+    keep &= np.array([x is not None for x in lines], bool)
     for i in np.flatnonzero(keep[1:] & ~keep[:-1]):  # headings before a surge
-        while i >= 0 and lines[i] is not None and lines[i].heading and weights[i]:
+        while i >= 0 and lines[i] is not None and lines[i].heading and (weights[i] or main[i]):
             keep[i] = True
             i -= 1
     return "\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
