@@ -54,6 +54,16 @@ def test_text_functions(spark):
     assert tuple(row) == ("AB-12-C", "elan-vital", "review")
 
 
+def test_canonical_text_has_no_length_limit(spark, tmp_path):
+    import hashlib
+
+    from weft import registry
+
+    spark.createDataFrame([(1, "x" * 300 + "ÉTÉ", "a")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["text_canonical_whole"](spark, str(tmp_path)).collect()
+    assert [r["plain_md5"] for r in got] == [hashlib.md5(("x" * 300 + "ete").encode()).hexdigest()]
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'say "x", y\nz', "2024-02-29"), (2, None, "2024-02-31")], "id int, t string, d string")
     io.write_csv(df, str(tmp_path / "out"))

@@ -156,6 +156,14 @@ def text_canonical(spark, sf_dir):
     return d.select("doc_id", T.strip_accents(F.substring("text", 1, 200)).alias("plain"), T.norm_code(F.col("source")).alias("code"))
 
 
+@query(rf"""
+select doc_id, md5(translate(lower(text), '{T.MARKED}', '{T.PLAIN}')) as plain_md5,
+  regexp_replace(regexp_replace(upper(source), '[^A-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as code from documents""")
+def text_canonical_whole(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(T.strip_accents(F.col("text"))).alias("plain_md5"), T.norm_code(F.col("source")).alias("code"))
+
+
 @query(rf"""
 select doc_id, regexp_matches(text, '{T.EMAIL}') as email, regexp_matches(text, '{T.IP}') as ip,
   regexp_matches(text, '{T.PHONE}') as phone from documents""")
