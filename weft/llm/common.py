@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,10 +21,15 @@ _INVERSE = pow(BASE, -1, 2**64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir)."""
+    """The folder that the driver and all executors share (spark.checkpoint.dir).
+
+    Where it is unset, a session on one machine (a local master) gets a folder of its own; on a cluster that's an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:  # tests on one machine
-        found = tempfile.mkdtemp(prefix="weft-shared-")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="weft-one-machine-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -29,7 +38,37 @@ def shared_table(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._weft_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes shared tables that nothing reads any more: all that was made of them is itself written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._weft_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_batches(df: DataFrame, read: Callable[[Iterator], Iterator], schema: str, size: str = "4m") -> DataFrame:
+    """df.mapInArrow(read) over batches of bounded bytes; a worker gives free memory back when its partition ends."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from read(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns this process' free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes.CDLL(None), "malloc_trim"):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -42,7 +81,7 @@ def small_side(df: DataFrame) -> DataFrame:
 class WordHashes(dict):
     """Word bytes to 8-byte digest; remembers a bounded number of words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
@@ -86,10 +125,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def slices(batch, rows: int = 256):
-    """A record batch in short slices, so that few texts are Python objects at a time."""
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+def slices(batch: pa.RecordBatch, rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A record batch in slices of at most so many rows and bytes of text (or one row), so that few texts are objects."""
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    i = 0
+    while i < batch.num_rows:
+        room = int(ends[i] - lengths[i]) + size
+        j = max(i + 1, min(i + rows, int(np.searchsorted(ends, room, "right"))))
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def renamed(df: DataFrame, **columns: str) -> DataFrame:
