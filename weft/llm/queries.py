@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, extract, jaccard, lm, mixing, packing, quality, substring, topk, urlfilter
@@ -60,20 +57,12 @@ def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _words_digest(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def digest(texts: pd.Series) -> pd.Series:
-        words = (b" ".join((t or "").encode().split()) for t in texts)
-        return pd.Series([hashlib.sha256(w).hexdigest() for w in words], dtype=object)
-
-    return digest(text)
-
-
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
     return out.select(
         "doc_id", F.col("_weft_words").alias("n_words"), F.col("_weft_removed").alias("n_removed"),
-        _words_digest(F.col("text")).alias("kept_sha256"),
+        F.sha2(kept.cast("binary"), 256).alias("kept_sha256"),
     )
 
 
