@@ -266,23 +266,42 @@ def test_scores_equal_a_sequential_automaton(spark):
     train = [t for i, t in tokens.items() if not lm.held_out(i)]
     uni = collections.Counter(w for t in train for w in t)
     n, v = sum(uni.values()), len(uni)
-    pairs = {g: c for g, c in collections.Counter(x for t in train for x in zip(t, t[1:], strict=False)).items() if c >= 2}
-    assert len(pairs) > 50 and max(uni.values()) > n / 20  # so that a word's pairs are dealt by their second word
-    count = {(w,): c for w, c in uni.items()} | pairs
+    count = {(w,): c for w, c in uni.items()}
+    for k in (2, 3):
+        count |= collections.Counter(tuple(x[i : i + k]) for x in train for i in range(len(x) - k + 1))
 
     def p(context, word):
         if not context:
             return (uni[word] + 0.1) / (n + 0.1 * (v + 1))
         if context not in count:  # no such state
             return p(context[1:], word)
-        left = 1 - sum((c - 0.75) / count[context] for g, c in count.items() if g[:-1] == context)
-        own = (count[(*context, word)] - 0.75) / count[context] if (*context, word) in count else 0
-        return own + left * p(context[1:], word)
+        s = (50.0, 5.0)[len(context) - 1]
+        return (count.get((*context, word), 0) + s * p(context[1:], word)) / (count[context] + s)
+
+    arcs = {}  # of each state: arcs by word, and the failure arc
+    for g in count:
+        arcs.setdefault(g[:-1], {})[g[-1]] = math.log10(p(g[:-1], g[-1]))
+    fails = {h: math.log10((50.0, 5.0)[len(h) - 1] / (count[h] + (50.0, 5.0)[len(h) - 1])) for h in arcs if h}
+    assert len([h for h in arcs if len(h) == 2]) > 100
+    for h in [("w0",), ("w0", "w1"), ("w1", "w0")]:
+        assert abs(sum(p(h, w) for w in [*uni, "other"]) - 1) < 1e-9
+
+    def traversed(ws):
+        state, total = (), 0.0
+        for w in ws:
+            while state and w not in arcs[state]:
+                total += fails[state]
+                state = state[1:]
+            total += arcs[state][w] if w in arcs[state] else math.log10(p((), w))
+            state = next((h for h in ((*state[-1:], w), (w,)) if len(h) < 3 and h in arcs), ())
+        return total
 
-    assert abs(sum(p(("w0",), w) for w in [*uni, "other"]) - 1) < 1e-9
     for i, t in tokens.items():
-        score = sum(math.log10(p(tuple(t[max(0, k - 1) : k]), w)) for k, w in enumerate(t))
+        score = sum(math.log10(p(tuple(t[max(0, k - 2) : k]), w)) for k, w in enumerate(t))
         base = sum(math.log10(p((), w)) for w in t)
+        assert abs(score - traversed(t)) < 1e-6
         assert abs(got[i]["score"] - score) < 1e-6 and abs(got[i]["base_score"] - base) < 1e-6
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(t), sum(uni[w] > 0 for w in t), n)
+    out = {r["doc_id"]: r for r in lm.score_documents(documents(spark, [d for d in docs if lm.held_out(d[0])])).collect()}
+    assert all(r["train_tokens"] == 0 and r["score"] == r["base_score"] == 0 for r in out.values())
     assert lm.score_documents(df.limit(0)).count() == 0

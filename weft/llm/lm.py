@@ -1,25 +1,28 @@
-"""Language-model scores from a weighted backoff automaton of smoothed n-grams.
+"""Language-model scores from a weighted backoff automaton of smoothed n-grams up to three words.
 
 Blocks. Documents are read once, into blocks of about `block_tokens` tokens: local word numbers, most frequent first, and the
 words' 64-bit hashes. Blocks are a written table, so that all later steps see the same ones.
 
-Counting. Each block deals its distinct words, and its distinct pairs of consecutive words under their first word, to
-buckets by the first word's hash; pairs of words that make `1 / (4 * buckets)` of all tokens or more (at most 8 * buckets
-words) are dealt by the second word instead. A bucket adds up the counts of training documents and returns to each block
-what is known of its words and pairs. All pairs with at least `least` occurrences in training are in the model, so that
-it grows with the corpus; no process ever holds more of it than one block or one bucket needs.
-
-Automaton. States are the empty context and the words met in training. An arc (h, w) carries the interpolated, absolutely
-discounted log-probability of (c(hw) - D) / c(h) + f(h) p(w); h's failure arc leads to the empty context and carries log
-f(h), f(h) = 1 - sum of (c(hw) - D) / c(h) over kept pairs. The empty context has an arc for every word, p(w) =
-(c + delta) / (N + delta (V + 1)), c = 0 for unknown words. So probabilities add up to one in every state.
-
-Traversal. From left to right, a token takes its arc, or the failure arc and the empty context's arc. The state after a
-token is its word if that has a state, else the empty context, so a block's traversal is one pass over its arrays.
-
-Words are identified by 64-bit hashes, pairs by the first word and 48 bits of the second's. Defined results: null text:
-the end token alone; null id: held out (text ''); repeated rows count and are scored each; without training rows counts
-are 0 and every token has probability 1; an empty table gives no rows; other columns are ignored.
+Counting. Each block deals its distinct words, and its distinct pairs and triples of consecutive words, to buckets: words
+by their hash, pairs and triples by their own hash, whatever words they hold, so that a frequent word or pair fills no
+bucket. Lists are sorted and sent as differences. A bucket adds up the counts in training documents and returns to each
+block the totals of what it sent. Every n-gram met in training is in the model, once or more, so it grows with the
+corpus; no process ever holds more of it than one block or one bucket needs, and the driver only sees N and V.
+
+Automaton. States are the empty context and the words and pairs met in training. The probability of w in state h, with
+the shorter context h', is (c(hw) + s p(w | h')) / (c(h) + s), s = `strength` of h's length (Dirichlet smoothing). So an
+arc (h, w) carries the log of that for each n-gram hw that was met, h's failure arc carries log s / (c(h) + s) and leads
+to h', and the empty context has an arc for every word, p(w) = (c + delta) / (N + delta (V + 1)), c = 0 for unknown
+words. Probabilities add up to one in every state.
+
+Traversal. From left to right, a token takes its state's arc, or failure arcs until a state has one. The state after a
+token is the longest of its pair with the token before and the token alone that is a state, else the empty context; a
+document begins in the empty context. As two tokens fix a state, all positions of a block take each step at once.
+
+Words are identified by 64-bit hashes, pairs and triples by as many bits as make a clash improbable (one in 2**20 for
+each, by the number of tokens; whole bytes, at most 64). Defined results: null text: the end token alone; null id: held
+out (text ''); repeated rows count and are scored each; without training rows counts are 0 and every token has
+probability 1; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +37,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, WordHashes, mixed, renamed, shared_table, slices
+from .common import BASE, WordHashes, in_batches, mixed, renamed, shared_table, slices
 
 END = b"\n"  # no word holds white space
-#: Buckets hold about this many tokens' pairs.
-BUCKET_TOKENS, LEAST_BUCKETS = 8_000_000, 64
-#: Bytes of a dealt pair's key.
-KEY_BYTES = 6
+#: Buckets hold about this many tokens' n-grams.
+BUCKET_TOKENS, LEAST_BUCKETS = 4_000_000, 64
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -79,11 +80,6 @@ def unpack_ascending(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
-def runs(x: np.ndarray) -> np.ndarray:
-    """Where values that differ from the one before begin."""
-    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
-
-
 _BLOCKS = "block long, size long, ids array<long>, lengths binary, tokens binary, counts binary, words binary"
 
 
@@ -127,44 +123,31 @@ class Block:
         self.lengths = unpack(lengths, np.uint32).astype(np.int64)
         self.words = unpack_ascending(words)
         self.counts = unpack(counts, np.uint32).astype(np.int64)
-        self.tokens = np.argsort(-self.counts, kind="stable")[unpack(tokens, np.uint32)]
-        self.held = np.array([held_out(i) for i in ids])
-        starts = np.cumsum(self.lengths) - self.lengths
-        inner = np.ones(len(self.tokens), bool)
-        inner[starts] = False
-        self.starts, self.later = starts, np.flatnonzero(inner)
-        self.pair = self.tokens[self.later - 1] * len(self.words) + self.tokens[self.later]
-
-    def deal(self, buckets: int, hot: np.ndarray) -> None:
-        """Sets distinct pairs and the order in which words and pairs are dealt."""
+        self.tokens = np.argsort(-self.counts, kind="stable").astype(np.int32)[unpack(tokens, np.uint32)]
+        self.held = np.array([held_out(i) for i in ids], bool)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)
+        #: positions that have one, and two, tokens of their document before them
+        self.second, self.third = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+
+    def grams(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of pairs and triples, ascending, and the place of those at `second`, then at `third`."""
+        h, drop = self.words[self.tokens], np.uint64(64 - bits)
+        pair = mixed(mixed(h[:-1]) * np.uint64(BASE) + h[1:])
+        triple = mixed(pair[:-1] * np.uint64(BASE) + h[2:] + np.uint64(3))
+        keys = np.concatenate([pair[self.second - 1], triple[self.third - 2]]) >> drop
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
+        at = np.empty(len(keys), np.int32)
+        at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        return keys[new], at
+
+    def trained(self, at: np.ndarray, n: int) -> np.ndarray:
+        """How often each of n keys occurs in training documents."""
         held = np.repeat(self.held, self.lengths)
-        self.word_n = np.bincount(self.tokens[~held], minlength=len(self.words))
-        marked = np.sort(2 * self.pair + held[self.later])
-        first = runs(marked >> 1)
-        self.pairs = marked[first] >> 1
-        self.pair_n = np.add.reduceat(1 - (marked & 1), first) if len(first) else first
-        self.home = (self.words % np.uint64(buckets)).astype(np.int64)
-        a, b = np.divmod(self.pairs, len(self.words))
-        place = np.searchsorted(hot, self.words)
-        place[place == len(hot)] = 0
-        is_hot = hot[place] == self.words if len(hot) else np.zeros(len(self.words), bool)
-        self.place = np.where(is_hot, place, -1)
-        apart = is_hot[a]
-        self.bucket = np.where(apart, self.home[b], self.home[a])
-        self.word_order = np.argsort(self.home, kind="stable")
-        self.pair_order = np.argsort(2 * self.bucket + apart, kind="stable")
-
-
-def _hot(share: float):
-    def read(batches):
-        for batch in batches:
-            for words, counts, n in zip(*(batch.column(c).to_pylist() for c in ("words", "counts", "size")), strict=True):
-                counts = unpack(counts, np.uint32).astype(np.int64)
-                often = counts >= share * n / 2
-                word = unpack_ascending(words)[often].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(counts[often])], ["word", "n"])
-
-    return read
+        train = np.concatenate([~held[self.second], ~held[self.third]])
+        return np.bincount(at[train], minlength=n)
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
@@ -173,136 +156,132 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
         yield block, Block(*parts)
 
 
-_DEALT = "bucket long, block long, words binary, word_n binary, degree binary, keys binary, pair_n binary, place binary"
+def cuts(ascending: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Where each bucket's equal share of the key range begins among ascending keys, and the end."""
+    edges = [np.uint64((q << bits) // buckets) for q in range(buckets)]
+    return np.r_[np.searchsorted(ascending, np.array(edges, np.uint64)), len(ascending)]
+
+
+_DEALT = "bucket long, block long, words binary, word_n binary, keys binary, key_n binary"
 
 
-def _deal(buckets: int, hot: np.ndarray):
+def _deal(buckets: int, bits: int):
     names = [c.split()[0] for c in _DEALT.split(", ")]
+    types = [pa.int64()] * 2 + [pa.binary()] * 4
+
+    def dealt(number: int, x: Block) -> pa.RecordBatch:
+        keys, at = x.grams(bits)
+        key_n = x.trained(at, len(keys)).astype(np.uint32)
+        del at
+        word_n = np.bincount(x.tokens[~np.repeat(x.held, x.lengths)], minlength=len(x.words)).astype(np.uint32)
+        w, k = cuts(x.words, buckets), cuts(keys, buckets, bits)
+        rows = [
+            (
+                q, number, pack_ascending(x.words[w[q] : w[q + 1]]), pack(word_n[w[q] : w[q + 1]]),
+                pack_ascending(keys[k[q] : k[q + 1]]), pack(key_n[k[q] : k[q + 1]]),
+            )
+            for q in np.flatnonzero(np.diff(w) + np.diff(k)).tolist()
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, x in _blocks(batch):
-                x.deal(buckets, hot)
-                a, b = np.divmod(x.pairs, len(x.words))
-                place, spread = x.place[a], mixed(x.words)[b]
-                degree = np.bincount(a[place < 0], minlength=len(x.words)).astype(np.uint32)
-                edges = np.arange(buckets + 1)
-                w_cut = np.searchsorted(x.home[x.word_order], edges)
-                p_cut = np.searchsorted(x.bucket[x.pair_order], edges)
-                rows = []
-                for q in range(buckets):
-                    w = x.word_order[w_cut[q] : w_cut[q + 1]]
-                    p = x.pair_order[p_cut[q] : p_cut[q + 1]]
-                    if len(w) or len(p):
-                        apart = place[p]
-                        rows.append((
-                            q, number, pack_ascending(x.words[w]), pack(x.word_n[w].astype(np.uint32)), pack(degree[w]),
-                            pack(spread[p], KEY_BYTES), pack(x.pair_n[p].astype(np.uint32)),
-                            pack(apart[apart >= 0].astype(np.uint32)),
-                        ))
-                types = [pa.int64()] * 2 + [pa.binary()] * 6
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield dealt(number, x)
 
     return read
 
 
-_KNOWN = "block long, bucket long, totals binary, mass binary, pair_totals binary, hot long, value double, v long, n long"
+_KNOWN = "block long, bucket long, words binary, keys binary, v long, n long"
 
 
-def _count(hot: int, least: int, discount: float):
-    """Rows sorted by bucket to what is known of each block's words and pairs, and, without block, the bucket's sums."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket to the totals of each block's words and keys, and, without block, the bucket's V and N."""
     names = [c.split()[0] for c in _KNOWN.split(", ")]
-    types = [pa.int64()] * 2 + [pa.binary()] * 3 + [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    types = [pa.int64()] * 2 + [pa.binary()] * 2 + [pa.int64()] * 2
+
+    def totals(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        keys = [unpack_ascending(k) for k in keys]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        joined = np.concatenate(keys)
+        del keys
+        order = np.argsort(joined, kind="stable")
+        joined = joined[order]
+        new = np.r_[True, joined[1:] != joined[:-1]] if len(joined) else np.empty(0, bool)
+        del joined
+        n = np.concatenate([unpack(c, np.uint32) for c in counts]).astype(np.int64)[order]
+        sums = np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n
+        back = np.empty(len(n), np.uint32 if sums.max(initial=0) < 2**32 else np.uint64)
+        back[order] = sums[np.cumsum(new) - 1] if len(n) else n
+        return sums, np.split(back.astype(np.uint64), ends)
 
     def settled(bucket: int, parts: list[tuple]) -> pa.RecordBatch:
-        words = [unpack_ascending(p[1]) for p in parts]
-        word, inverse = np.unique(np.concatenate(words), return_inverse=True)
-        totals = np.bincount(inverse, np.concatenate([unpack(p[2], np.uint32) for p in parts]), len(word)).astype(np.int64)
-        inverse = np.split(inverse, np.cumsum([len(w) for w in words])[:-1])
-        first_word = [
-            np.r_[np.repeat(i, unpack(p[3], np.uint32)), len(word) + unpack(p[6], np.uint32).astype(np.int64)]
-            for i, p in zip(inverse, parts, strict=True)
-        ]
-        cuts = np.cumsum([len(c) for c in first_word])[:-1]
-        first_word = np.concatenate(first_word)
-        keys = np.concatenate([unpack(p[4], np.uint64, KEY_BYTES) for p in parts])
-        keys = mixed(keys + mixed(first_word.astype(np.uint64) * np.uint64(BASE)))
-        n = np.concatenate([unpack(p[5], np.uint32) for p in parts]).astype(np.int64)
-        order = np.argsort(keys)
-        first = runs(keys[order])
-        sums = np.add.reduceat(n[order], first) if len(first) else first
-        kept = np.where(sums >= least, sums, 0)
-        mass = np.bincount(first_word[order[first]], np.maximum(kept - discount, 0), len(word) + hot)
-        known = np.empty(len(n), np.int64)
-        known[order] = np.repeat(kept, np.diff(np.r_[first, len(n)]))
-        rows = [
-            (p[0], bucket, pack(totals[i].astype(np.uint64)), pack(mass[i]), pack(t.astype(np.uint64)), None, None, None, None)
-            for p, i, t in zip(parts, inverse, np.split(known, cuts), strict=True)
-        ]
-        rows.append((None, bucket, None, None, None, None, None, int((totals > 0).sum()), int(totals.sum())))
-        partial = mass[len(word) :]
-        rows += [(None, bucket, None, None, None, int(j), float(partial[j]), None, None) for j in np.flatnonzero(partial)]
-        return batch_of(rows)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-        for batch in batches:
-            columns = [c.split()[0] for c in _DEALT.split(", ")]
-            for bucket, *part in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if bucket != now and parts:
-                    yield settled(now, parts)
-                    parts = []
-                now = bucket
-                parts.append(tuple(part))
-        if parts:
-            yield settled(now, parts)
+        block, words, word_n, keys, key_n = zip(*parts, strict=True)
+        sums, own = totals(words, word_n)
+        grams = totals(keys, key_n)[1]
+        rows = [(b, bucket, pack(w), pack(k), None, None) for b, w, k in zip(block, own, grams, strict=True)]
+        rows.append((None, bucket, None, None, int((sums > 0).sum()), int(sums.sum())))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return read
+    now, parts = None, []
+    for batch in batches:
+        columns = [c.split()[0] for c in _DEALT.split(", ")]
+        for bucket, *part in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if bucket != now and parts:
+                yield settled(now, parts)
+                parts = []
+            now = bucket
+            parts.append(tuple(part))
+    if parts:
+        yield settled(now, parts)
 
 
 class Automaton:
-    """The part of the automaton that a block's words and pairs reach."""
-
-    def __init__(self, block: Block, totals: np.ndarray, mass: np.ndarray, pair_totals: np.ndarray, n: int, v: int, delta: float, discount: float):
-        self.block = block
-        self.empty = (totals + delta) / (n + delta * (v + 1))
-        self.known = totals > 0
-        c = np.maximum(totals, 1)
-        self.fail = np.where(self.known, 1 - mass / c, 1.0)
-        a, b = np.divmod(block.pairs, len(block.words))
-        own = np.where(pair_totals > 0, np.maximum(pair_totals - discount, 0), 0) / c[a]
-        self.arc = np.log10(own + self.fail[a] * self.empty[b])
+    """The part of the automaton that a block's tokens reach, by position."""
+
+    def __init__(self, x: Block, word_n: np.ndarray, key_n: np.ndarray, at: np.ndarray, n: int, v: int, delta: float, strength: tuple[float, float]):
+        self.block, size = x, len(x.tokens)
+        count = word_n[x.tokens].astype(np.float64)
+        self.known = count > 0
+        empty = (count + delta) / (n + delta * (v + 1))
+        pair, triple = np.zeros(size), np.zeros(size)  # counts of the n-grams that end here
+        pair[x.second], triple[x.third] = key_n[at[: len(x.second)]], key_n[at[len(x.second) :]]
+        one, two = np.zeros(size), np.zeros(size)  # counts of the contexts of one and two tokens before
+        one[x.second], two[x.third] = count[x.second - 1], pair[x.third - 1]
+        #: order of the state before each token: 2 and 1 where such contexts were met in training, else 0
+        self.state = np.where(two > 0, 2, np.where(one > 0, 1, 0)).astype(np.int8)
+        arcs, fails, below = [np.log10(empty)], [np.zeros(size)], empty
+        self.has = [np.ones(size, bool), pair > 0, triple > 0]
+        for c, met, s in ((one, pair, strength[0]), (two, triple, strength[1])):
+            below = np.where(c > 0, (met + s * below) / (c + s), below)
+            arcs.append(np.log10(below))
+            fails.append(np.log10(s / (c + s)))
+        self.arcs, self.fails = arcs, fails
 
     def traverse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base weights and collected weights of each document."""
-        x = self.block
-        base = np.log10(self.empty)[x.tokens]
-        weights = base.copy()
-        weights[x.later] = self.arc[np.searchsorted(x.pairs, x.pair)]
-        total = lambda y: np.add.reduceat(y, x.starts)
-        return total(self.known[x.tokens].astype(np.int64)), total(base), total(weights)
+        state, weight = self.state.copy(), np.zeros(len(self.state))
+        for order in (2, 1, 0):
+            here = np.flatnonzero(state == order)
+            takes = self.has[order][here]
+            arc, fail = here[takes], here[~takes]
+            weight[arc] += self.arcs[order][arc]
+            weight[fail] += self.fails[order][fail]
+            state[arc], state[fail] = -1, order - 1
+        total = lambda y: np.add.reduceat(y, self.block.starts)
+        return total(self.known.astype(np.int64)), total(self.arcs[0]), total(weight)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(buckets: int, hot: np.ndarray, hot_mass: np.ndarray, n: int, v: int, delta: float, discount: float):
+def _score(bits: int, n: int, v: int, delta: float, strength: tuple[float, float]):
     names = [c.split()[0] for c in _SCORES.split(", ")]
 
     def scored(x: Block, known: list[tuple]) -> pa.RecordBatch:
-        x.deal(buckets, hot)
-        totals, mass, pair_totals = np.zeros(len(x.words), np.int64), np.zeros(len(x.words)), np.zeros(len(x.pairs), np.int64)
-        for i, (target, order, dtype) in enumerate((
-            (totals, x.word_order, np.uint64), (mass, x.word_order, np.float64), (pair_totals, x.pair_order, np.uint64)
-        )):
-            target[order] = np.concatenate([unpack(k[i], dtype) for k in known])
-        is_hot = x.place >= 0
-        mass[is_hot] = hot_mass[x.place[is_hot]]
-        found, base, score = Automaton(x, totals, mass, pair_totals, n, v, delta, discount).traverse()
+        word_n, key_n = (np.concatenate([unpack(k[i], np.uint64) for k in known]).astype(np.int64) for i in (0, 1))
+        at = x.grams(bits)[1]
+        found, base, score = Automaton(x, word_n, key_n, at, n, v, delta, strength).traverse()
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(x.ids, pa.int64()), pa.array(x.held), pa.array(x.lengths), pa.array(found),
@@ -317,38 +296,32 @@ def _score(buckets: int, hot: np.ndarray, hot_mass: np.ndarray, n: int, v: int,
             for i in range(batch.num_rows):
                 get = lambda c, i=i, batch=batch: batch.column(c)[i].as_py()
                 if get("bucket") >= 0:
-                    known.append(tuple(map(get, ("totals", "mass", "pair_totals"))))
+                    known.append((get("words"), get("keys")))
                     continue
                 if now is not None:
-                    yield scored(now, known)
-                now, known = Block(*map(get, ("ids", "lengths", "tokens", "counts", "words"))), []
+                    yield scored(Block(*now), known)
+                now, known = tuple(map(get, ("ids", "lengths", "tokens", "counts", "words"))), []
         if now is not None:
-            yield scored(now, known)
+            yield scored(Block(*now), known)
 
     return read
 
 
 def score_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, block_tokens: int = 2_000_000,
-    buckets: int | None = None, delta: float = 0.1, discount: float = 0.75,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 2_000_000,
+    buckets: int | None = None, delta: float = 0.1, strength: tuple[float, float] = (50.0, 5.0),
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = renamed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    blocks = shared_table(docs.mapInArrow(_encode(block_tokens), _BLOCKS))
+    blocks = shared_table(in_batches(docs, _encode(block_tokens), _BLOCKS))
     size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]
     buckets = buckets or max(LEAST_BUCKETS, size // BUCKET_TOKENS)
-    share = 1 / (4 * buckets)
-    reported = blocks.select("words", "counts", "size").mapInArrow(_hot(share), "word long, n long")
-    often = reported.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= share * size / 2)
-    often = often.select("word").toPandas()  # at most 8 * buckets rows
-    hot = np.sort(often["word"].to_numpy().astype(np.int64).view(np.uint64))
-    dealt = blocks.mapInArrow(_deal(buckets, hot), _DEALT).repartition("bucket").sortWithinPartitions("bucket")
-    known = shared_table(dealt.mapInArrow(_count(len(hot), least, discount), _KNOWN))
+    bits = min(64, -(-(int(size).bit_length() + 21) // 8) * 8)
+    dealt = in_batches(blocks, _deal(buckets, bits), _DEALT).repartition("bucket").sortWithinPartitions("bucket")
+    known = shared_table(in_batches(dealt, _count, _KNOWN))
     v, n = known.where("v is not null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in "vn")).collect()[0]
-    sums = known.where("hot is not null").groupBy("hot").agg(F.sum("value").alias("mass")).toPandas()
-    hot_mass = np.zeros(len(hot))
-    hot_mass[sums["hot"].to_numpy().astype(np.int64)] = sums["mass"].to_numpy().astype(np.float64)
     own = blocks.drop("size").withColumn("bucket", F.lit(-1).cast("long"))
-    back = known.where("block is not null").select("block", "bucket", "totals", "mass", "pair_totals")
+    # the blocks' lists of words are `words` in both
+    back = known.where("block is not null").select("block", "bucket", "words", "keys")
     rows = own.unionByName(back, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "bucket")
-    return rows.mapInArrow(_score(buckets, hot, hot_mass, n, v, delta, discount), _SCORES)
+    return in_batches(rows, _score(bits, n, v, delta, strength), _SCORES)

@@ -217,8 +217,46 @@ from w join reach r using (doc_id) left join sizes s using (doc_id) group by w.d
 """
 
 
+_SCORES = r"""
+with crc_table as (
+  select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)
+    order by i) as t from (select unnest(range(256)) as i)
+), d as (
+  select row_number() over () as r, doc_id, coalesce(xor(list_reduce(list_transform(string_split(doc_id::varchar, ''),
+      lambda ch: ascii(ch)::bigint), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295), 0)
+      % 10 = 0 as held_out,
+    list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [chr(10)]) as ws from documents, crc_table
+), tok as (
+  select r, held_out, w, lag(w) over o as b, lag(w, 2) over o as a
+  from (select r, held_out, unnest(ws) as w, unnest(range(len(ws))) as pos from d) window o as (partition by r order by pos)
+), one as (
+  select w, count(*) as c from tok where not held_out group by w
+), two as (
+  select b, w, count(*) as c from tok where not held_out and b is not null group by b, w
+), three as (
+  select a, b, w, count(*) as c from tok where not held_out and a is not null group by a, b, w
+), train as (
+  select coalesce(sum(c), 0)::bigint as n, count(*) as v from one
+), counted as (
+  select tok.r, n, coalesce(one.c, 0) as c1, h1.c as ch1, coalesce(two.c, 0) as c2, h2.c as ch2, coalesce(three.c, 0) as c3,
+    (coalesce(one.c, 0) + 0.1::double) / (n + 0.1::double * (v + 1)) as p1
+  from tok cross join train left join one on one.w = tok.w left join one h1 on h1.w = tok.b
+    left join two on two.b = tok.b and two.w = tok.w left join two h2 on h2.b = tok.a and h2.w = tok.b
+    left join three on three.a = tok.a and three.b = tok.b and three.w = tok.w
+), smoothed as (
+  select *, case when ch1 is null then p1 else (c2 + 50 * p1) / (ch1 + 50) end as p2 from counted
+), scored as (
+  select r, any_value(n) as n, count(*) as n_tokens, count(*) filter (where c1 > 0) as n_known, sum(log10(p1)) as base_score,
+    sum(log10(case when ch2 is null then p2 else (c3 + 5 * p2) / (ch2 + 5) end)) as score
+  from smoothed group by r
+)
+select doc_id, held_out, n_tokens, n_known, n as train_tokens, base_score, score from d join scored using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": _CHAT, "op4_exact_topk": _TOPK, "op5_url_filter": _URLS, "op7_substring_dedup": _SUBSTRING,
-        "op8_host_rules": _QUALITY, "op9_jaccard_join": _JACCARD,
+        "op8_host_rules": _QUALITY, "op9_jaccard_join": _JACCARD, "op10_backoff_scores": _SCORES,
     }
