@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import chat, extract, jaccard, lm, mixing, packing, quality, substring, topk, urlfilter
+from weft.llm import chat, extract, graph, jaccard, lm, mixing, packing, quality, substring, topk, urlfilter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -237,6 +237,50 @@ def test_links_equal_brute_force(spark, limits):
     assert kept == {*label.values(), None}
 
 
+def test_tree_leaves_subtrees_without_open_sets():
+    rng = np.random.default_rng(1)
+    base = [np.unique(rng.integers(0, 2**63, 40).astype(np.uint64)) for _ in range(12)]
+    sets = []
+    for i in range(240):
+        own = base[i % 12].copy()
+        own[: rng.integers(0, 9)] = i
+        sets.append(np.unique(own))
+    expected = np.arange(240)
+    for i in range(240):
+        for j in range(i):
+            o = len(np.intersect1d(sets[i], sets[j]))
+            if 180 * o >= 80 * (len(sets[i]) + len(sets[j])):
+                expected[expected == expected[i]] = expected[j]
+    visited = []
+    got = jaccard.tree_join(sets, np.arange(240), visited=visited)
+    same = lambda x: np.unique(x, return_inverse=True)[1]
+    first = lambda x: [int(np.flatnonzero(x == v)[0]) for v in x]
+    assert first(same(got)) == first(same(expected))
+    bounded = jaccard.tree_join(sets, np.arange(240), step=3)
+    assert first(same(bounded)) == first(same(expected))
+    singles = sum(high - low == 1 for low, high in visited)
+    assert singles < 240  # sets in subtrees that were left, or whose pairs were closed above
+    every = []
+    jaccard.tree_join(sets, np.zeros(240, int), visited=every)
+    assert not every  # one group: nothing is open
+
+
+def test_chain_of_links(spark):
+    n = 2000
+    chain = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["component"] for r in graph.components(chain).collect()} == {0}
+    calls = []
+    hooks = graph._hooks
+    graph._hooks = lambda *a: calls.append(1) or hooks(*a)
+    try:
+        mixed = spark.range(n).select((F.col("id") * 7919 % 5003).alias("a"), ((F.col("id") + 1) * 7919 % 5003).alias("b"))
+        out = graph.components(mixed.unionByName(spark.createDataFrame([(9000, 9001), (None, 1)], "a long, b long")))
+    finally:
+        graph._hooks = hooks
+    assert {r["component"]: r["count"] for r in out.groupBy("component").count().collect()} == {0: n + 1, 9000: 2}
+    assert len(calls) <= 15
+
+
 def test_links_of_an_empty_table(spark):
     assert jaccard.link_components(documents(spark, [(1, "x")]).limit(0)).count() == 0
 

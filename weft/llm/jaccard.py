@@ -12,9 +12,10 @@ least `percent` / 100. Every link counts, but links are not listed: the result i
    so nodes with fewer repeated ones have no link. Of a node with a repeated ones, the a - c + 1 rarest in the global
    order are keys; linked nodes share a key. Common passages and lines, being frequent, are keys of no one.
 4. Nodes that keys connect form a canopy. A canopy's sets go to chunks of bounded size, in which the prefix-tree join
-   runs: sets, ordered globally, are a trie (as sorted neighbours with their common prefix); one traversal carries the
-   overlaps with all other sets of the chunk, so that a shared path is counted once for all of them, and leaves a
-   subtree when its remaining length can't bring any open pair to a link. Pairs already in one component are closed.
+   runs: sets, ordered globally, are a trie. One traversal carries the overlaps of the path so far with the open sets,
+   so that a shared path is counted once for all sets below it. At each node of the trie the overlap and the greatest
+   length that remains in its subtree bound what any set below can share with an open set; sets out of reach are
+   closed for the whole subtree, and a subtree without open sets is left. Pairs already in one component are closed.
 5. Canopies of several chunks: the chunks' components meet by representatives first; then all nodes outside a canopy's
    largest component meet all its chunks. This misses no link, as pairs within a component need no test.
 
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHashes, renamed, shared_table, slices, small_side
+from .common import Rolling, WordHashes, forget, in_batches, renamed, shared_table, slices, small_side
 from .graph import components
 
 PERCENT = 80
@@ -75,18 +76,23 @@ def _each(batches, make):
                 yield rows
 
 
+_LIGHT = "id long, n long, sig binary, p long, c long, tokens binary"
+
+
 def _signatures(k: int, reach: float, percent: int):
+    """One row per text; `tokens` are the prefix's, so that no later step but the join itself makes shingles again."""
+
     def make(i, text, memo, rolling):
         tokens = shingles(text, k, memo, rolling)
         p, c = prefix(tokens, reach, percent) if len(tokens) else (0, 0)
-        return i, len(tokens), xxhash.xxh3_128_digest(tokens.tobytes()), p, c
+        return i, len(tokens), xxhash.xxh3_128_digest(tokens.tobytes()), p, c, tokens[:p].tobytes()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["id", "n", "sig", "p", "c"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        names, kinds = zip(*(c.split() for c in _LIGHT.split(", ")), strict=True)
+        types = [pa.int64() if kind == "long" else pa.binary() for kind in kinds]
         for rows in _each(batches, make):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names
-            )
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, list(names))
 
     return read
 
@@ -94,8 +100,8 @@ def _signatures(k: int, reach: float, percent: int):
 _LISTS = pa.list_(pa.int64())
 
 
-def _deal(k: int, reach: float, percent: int, buckets: int, chunk: int = 1_000_000):
-    """Prefix tokens to buckets; rows of local repeats go through with bucket -1 - b."""
+def _deal(buckets: int, chunk: int = 1_000_000):
+    """Rows of id, tokens to buckets; rows of local repeats go through with bucket -1 - b."""
 
     def merged(tokens: list, ids: list) -> list[pa.RecordBatch]:
         s, d = np.concatenate(tokens), np.concatenate(ids)
@@ -118,21 +124,17 @@ def _deal(k: int, reach: float, percent: int, buckets: int, chunk: int = 1_000_0
         return [pa.RecordBatch.from_arrays(list(x), ["bucket", "s", "d"]) for x in out if len(x[0])]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, rolling, tokens, ids, size = WordHashes(), Rolling(), [], [], 0
+        tokens, ids, size = [], [], 0
         for batch in batches:
-            for part in slices(batch):
-                for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    own = shingles(text, k, memo, rolling)
-                    if not len(own):
-                        continue
-                    own = own[: prefix(own, reach, percent)[0]]
-                    tokens.append(own)
-                    ids.append(np.full(len(own), i, np.int64))
-                    size += len(own)
+            for i, own in zip(batch.column("id").to_pylist(), batch.column("tokens"), strict=True):
+                own = np.frombuffer(own.as_py(), np.uint64)
+                tokens.append(own)
+                ids.append(np.full(len(own), i, np.int64))
+                size += len(own)
                 if size >= chunk:
                     yield from merged(tokens, ids)
                     tokens, ids, size = [], [], 0
-        if tokens:
+        if size:
             yield from merged(tokens, ids)
 
     return read
@@ -197,74 +199,112 @@ class Groups:
 
 
 def _holders(rank: np.ndarray, owner: np.ndarray, shared: int, sets: int):
-    """A function from tokens to how many of them each set holds."""
+    """A function from tokens and positions of sets to how many of the tokens each of these sets holds."""
     of = rank < shared
     if shared * sets <= DENSE:
         has = np.zeros((shared, sets), np.uint8)
         has[rank[of], owner[of]] = 1
-        return lambda tokens: has[tokens].sum(0, dtype=np.int64)
+
+        def dense(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+            if 4 * len(at) < sets:
+                return has[np.ix_(tokens, at)].sum(0, dtype=np.int64)
+            return has[tokens].sum(0, dtype=np.int64)[at]
+
+        return dense
     order = np.argsort(rank[of], kind="stable")
     posting = owner[of][order]
     start = np.r_[0, np.cumsum(np.bincount(rank[of], minlength=shared))]
 
-    def count(tokens: np.ndarray) -> np.ndarray:
+    def count(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         n = start[tokens + 1] - start[tokens]
-        at = np.arange(n.sum()) + np.repeat(start[tokens] - np.cumsum(n) + n, n)
-        return np.bincount(posting[at], minlength=sets)
+        place = np.arange(n.sum()) + np.repeat(start[tokens] - np.cumsum(n) + n, n)
+        return np.bincount(posting[place], minlength=sets)[at]
 
     return count
 
 
-def tree_join(sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """New labels: the sets' groups after all links between sets of different groups."""
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+class Trie:
+    """Sets as sorted paths; a node is a range of them, with the length of the path that they share."""
+
+    def __init__(self, paths: list[np.ndarray]):
+        self.walk = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes())
+        self.paths = [paths[i] for i in self.walk]
+        self.shares = np.array([_common(a, b) for a, b in zip(self.paths, self.paths[1:], strict=False)], np.int64)
+
+    def depth(self, low: int, high: int) -> int:
+        """The path that the sets low to high - 1 share."""
+        return int(self.shares[low : high - 1].min()) if high - low > 1 else len(self.paths[low])
+
+    def children(self, low: int, high: int, depth: int) -> Iterator[tuple[int, int]]:
+        """Ranges of the sets that go on in the same way after depth."""
+        ends = (np.flatnonzero(self.shares[low : high - 1] == depth) + low + 1).tolist()
+        yield from zip([low, *ends], [*ends, high], strict=True)
+
+
+def tree_join(
+    sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCENT, visited: list | None = None, step: int = 256
+) -> np.ndarray:
+    """New labels: the sets' groups after all links between sets of different groups.
+
+    `visited` gathers the ranges of the trie's nodes that were entered (for tests)."""
     groups = Groups(labels)
-    size = np.array([len(s) for s in sets], np.int64)
     token, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(-count, kind="stable")  # the global order: frequent first, so that paths are shared
     rank = np.empty(len(token), np.int64)
     rank[order] = np.arange(len(token))
     shared = int((count > 1).sum())
-    owner = np.repeat(np.arange(len(sets)), size)
+    lengths = np.array([len(s) for s in sets], np.int64)
     rank = rank[inverse]
-    holders = _holders(rank, owner, shared, len(sets))
-    cuts = np.cumsum(size)[:-1]
-    paths = [np.sort(p[p < shared]) for p in np.split(rank, cuts)]
-    walk = sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes())
-    stack: list[tuple[int, np.ndarray]] = [(0, np.zeros(len(sets), np.int64))]
-    before = np.empty(0, np.int64)
-    pct = 100 + percent
-    for at, i in enumerate(walk):
-        path = paths[i]
-        n = min(len(path), len(before))
-        differ = np.flatnonzero(path[:n] != before[:n])
-        common = int(differ[0]) if len(differ) else n
-        before = path
-        while stack[-1][0] > common:
-            stack.pop()
-        open_ = np.flatnonzero(
-            (groups.label != groups.label[i]) & (100 * size >= percent * size[i]) & (percent * size <= 100 * size[i])
-        )
+    trie = Trie([np.sort(p[p < shared]) for p in np.split(rank, np.cumsum(lengths)[:-1])])
+    place = np.empty(len(sets), np.int64)
+    place[trie.walk] = np.arange(len(sets))
+    holders = _holders(rank, place[np.repeat(np.arange(len(sets)), lengths)], shared, len(sets))
+    size, groups.label = lengths[trie.walk], groups.label[trie.walk]
+    path = np.array([len(p) for p in trie.paths], np.int64)
+
+    def reach(low: int, high: int, depth: int, open_: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+        """Which open sets a set of the subtree may still link with."""
+        own = size[low:high]
+        remains = int(path[low:high].max()) - depth
+        may = (100 + percent) * (overlap + remains) >= percent * (size[open_] + own.min())
+        may &= (100 * size[open_] >= percent * own.min()) & (percent * size[open_] <= 100 * own.max())
+        label = groups.label[low]
+        if (groups.label[low:high] == label).all():
+            may &= groups.label[open_] != label
+        return may
+
+    stack = [(0, len(sets), 0, np.arange(len(sets)), np.zeros(len(sets), np.int64))]
+    while stack:
+        low, high, depth, open_, overlap = stack.pop()
+        later = open_ > low  # a link is found from its first set
+        open_, overlap = open_[later], overlap[later]
+        may = reach(low, high, depth, open_, overlap)
+        open_, overlap = open_[may], overlap[may]
+        if visited is not None and len(open_):
+            visited.append((low, high))
+        end, tokens = trie.depth(low, high), trie.paths[low]
+        while depth < end and len(open_):
+            to = min(end, depth + step)
+            overlap = overlap + holders(tokens[depth:to], open_)
+            depth = to
+            may = reach(low, high, depth, open_, overlap)
+            open_, overlap = open_[may], overlap[may]
         if not len(open_):
             continue
-        depth, overlap = stack[-1]
-        following = paths[walk[at + 1]] if at + 1 < len(walk) else path[:0]
-        n = min(len(path), len(following))
-        differ = np.flatnonzero(path[:n] != following[:n])
-        branch = int(differ[0]) if len(differ) else n
-        least = percent * (size[open_] + size[i])
-        for end in sorted({branch, *range(depth + 256, len(path), 256), len(path)}):
-            if end <= depth:
-                continue
-            overlap = overlap + holders(path[depth:end])
-            depth = end
-            if end == branch:
-                stack.append((depth, overlap))
-            if (pct * (overlap[open_] + len(path) - depth) < least).all():
-                break
-        if depth == len(path):
-            for j in open_[pct * overlap[open_] >= least]:
-                groups.join(i, int(j))
-    return groups.label
+        if high - low == 1:
+            for j in open_[(100 + percent) * overlap >= percent * (size[open_] + size[low])].tolist():
+                groups.join(low, j)
+            continue
+        stack += [(i, j, depth, open_, overlap) for i, j in reversed(list(trie.children(low, high, depth)))]
+    out = np.empty(len(sets), np.int64)
+    out[trie.walk] = groups.label
+    return out
 
 
 def _join_chunks(percent: int):
@@ -302,7 +342,7 @@ def _join_chunks(percent: int):
 def _in_chunks(sets: DataFrame, percent: int) -> DataFrame:
     """Edges from labels to the smaller label that they join, from rows of canopy, chunk (a string), label, tokens."""
     dealt = sets.select("canopy", "chunk", "label", "tokens").repartition("canopy", "chunk")
-    return dealt.sortWithinPartitions("canopy", "chunk").mapInArrow(_join_chunks(percent), "a long, b long")
+    return in_batches(dealt.sortWithinPartitions("canopy", "chunk"), _join_chunks(percent), "a long, b long")
 
 
 def _chunked(rows: DataFrame, by: str, tokens: int = CHUNK_TOKENS, docs: int = CHUNK_DOCS) -> DataFrame:
@@ -334,7 +374,8 @@ def link_components(
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
     docs = renamed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    light = shared_table(docs.mapInArrow(_signatures(k, reach, percent), "id long, n long, sig binary, p long, c long"))
+    seen = shared_table(in_batches(docs, _signatures(k, reach, percent), _LIGHT))
+    light = seen.drop("tokens")
     whole = light.where("n > 0 and id is not null")
     by_set = whole.groupBy("sig").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("c").alias("c"))
     by_set = shared_table(by_set)
@@ -343,11 +384,12 @@ def link_components(
     copies = named.groupBy("id").agg(F.min(F.col("node") < F.col("id")).alias("copy")).where("copy").select("id")
     nodes = by_set.groupBy("node").agg(F.min("c").alias("c"))
     total = whole.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p")).collect()[0]["p"]
-    own = docs.where("id is not null").join(small_side(shared_table(copies)), "id", "left_anti")
+    own = seen.where("n > 0 and id is not null").select("id", "tokens")
+    own = own.join(small_side(shared_table(copies)), "id", "left_anti")
     buckets = max(64, int(total) // 500_000)
-    dealt = own.mapInArrow(_deal(k, reach, percent, buckets), "bucket long, s array<long>, d array<long>")
+    dealt = in_batches(own, _deal(buckets), "bucket long, s array<long>, d array<long>")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    pairs = dealt.mapInArrow(_repeats, "s long, d long").withColumnRenamed("d", "node")
+    pairs = in_batches(dealt, _repeats, "s long, d long").withColumnRenamed("d", "node")
     keys = shared_table(_keys(shared_table(pairs), nodes))
     hubs = keys.groupBy("s").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1")
     stars = keys.join(hubs.select("s", "hub"), "s").where("node <> hub")
@@ -359,7 +401,7 @@ def link_components(
     members = _chunked(members.withColumnRenamed("node", "label"), "label", chunk_tokens, chunk_docs)
     members = shared_table(members)
     ids = small_side(members.select(F.col("label").alias("id")).distinct())
-    sets = docs.join(ids, "id").mapInArrow(_sets(k), "id long, sig binary, tokens array<long>")
+    sets = in_batches(docs.join(ids, "id"), _sets(k), "id long, sig binary, tokens array<long>")
     sets = sets.join(members, (sets["sig"] == members["sig"]) & (sets["id"] == members["label"]))
     sets = shared_table(sets.select("canopy", "chunk", "of", "label", "n", "tokens"))
     edges = shared_table(_in_chunks(sets, percent))
