@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -97,7 +98,7 @@ def test_topk_equals_brute_force(spark):
     x[200:260] = x[20]
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(400, None), (420, [None] * 16), (440, [math.nan] * 16), (460, [math.inf] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_topk(df, block_rows=70, k=7).collect()}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_topk(df, group_rows=70, slice_rows=4, part_rows=40, at_once=3, k=7).collect()}
     q = np.floor(64 * x).astype(int)
     for i in range(0, 300, 20):
         best = sorted((-int(q[i] @ q[j]), j) for j in range(300) if j != i)[:7]
@@ -108,6 +109,38 @@ def test_topk_equals_brute_force(spark):
     assert topk.exact_topk(df.limit(0)).count() == 0
 
 
+def test_topk_stops_early_on_proof():
+    rows = duckdb.sql("select vec_id, embedding from '/root/testdata/sf0.1/embeddings.parquet' where embedding is not null").fetchall()
+    rows = [(i, v) for i, v in rows if None not in v and np.isfinite(v).all()]
+    ids, x = np.array([i for i, _ in rows]), np.floor(64 * np.array([v for _, v in rows], np.float64)).astype(np.int64)
+    asks = np.flatnonzero(ids % 20 == 0)
+    seen, best = [], topk.Best(len(asks), 20)
+    for i in range(0, len(ids), 500):
+        topk.search_part(topk.Part(ids[i : i + 500], x[i : i + 500], topk.LEVELS), ids[asks], x[asks], best, seen)
+    assert all(done < of for done, of, _ in seen)  # no part was read to its last segment
+    assert seen[-1][2] < 500 * len(asks) / 4
+    for row, a in enumerate(asks[:40]):
+        expected = sorted((-int(x[a] @ x[j]), int(ids[j])) for j in range(len(ids)) if ids[j] != ids[a])[:20]
+        assert [(-s, i) for s, i in expected] == list(zip(best.score[row].tolist(), best.id[row].tolist(), strict=True))
+    far = topk.Best(1, 1)
+    far.add(0, np.array([10**9]), np.array([5]))
+    unread = []
+    topk.search_part(topk.Part(ids, x, topk.LEVELS), ids[asks[:1]], x[asks[:1]], far, unread)
+    assert not unread and far.id.tolist() == [[5]]
+
+
+def test_topk_ties_repeats_lengths_and_large_numbers(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.5]), (3, [1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (1, [1.0, 1.0]), (20, [2.0]), (40, []), (5, [])]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, x int, id string")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_topk(df, k=3).collect()}
+    assert [got[0, r] for r in (1, 2, 3)] == [(1, 4096), (2, 4096), (2, 4096)]  # of 0's vectors the smaller one asks
+    assert got[20, 1] == (3, 128 * 64) and got[40, 1] == (5, 0) and len(got) == 5
+    big = spark.createDataFrame([(0, [2.0**24, 3.0]), (1, [2.0**24, 5.0])], "vec_id long, embedding array<double>")
+    assert topk.exact_topk(big).collect()[0]["score"] == 2**60 + 15 * 64 * 64
+    with pytest.raises(Exception, match="beyond"):
+        topk.exact_topk(spark.createDataFrame([(0, [2.0**40])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_url_rules(spark):
     rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
     urls = {
