@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import time
 import zlib
 
 import duckdb
@@ -67,6 +68,75 @@ def test_extract_weighs_containers_by_their_text():
     assert extract.main_text(f"<body>{main}<div>Made by us</div></body>") == f"Head\n{long}\nSee the source.\nShort."
 
 
+def brute_text(lines, window, threshold):
+    """Surge and dive by definition, line by line, for lines of (text, letters outside less inside links, in main)."""
+    weigh = lambda p: max(0, p)
+    inside = sum(weigh(p) for _, p, m in lines if m)
+    support = threshold // 2 if 2 * inside >= sum(weigh(p) for _, p, _ in lines) else 0
+    w = [0 if t is None else weigh(p) + support * (m and p >= 0) for t, p, m in lines]
+    total = lambda i: sum(w[j] for j in range(i, min(i + window, len(w))) if all(lines[k][2] == lines[i][2] for k in range(i, j + 1)))
+    least = min(threshold, max(map(total, range(len(w))), default=0))
+    out, on = [], False
+    for i, (text, _, m) in enumerate(lines):
+        if i and m != lines[i - 1][2]:
+            on = False
+        on = total(i) > 0 if on else bool(w[i]) and total(i) >= least
+        if on and text is not None and (w[i] or m):
+            out.append(text)
+    return "\n".join(out)
+
+
+def test_extract_equals_brute_force_and_its_settings_matter():
+    rnd = random.Random(8)
+    changed = collections.Counter()
+    for page in range(300):
+        lines, html = [], ""
+        for part in range(rnd.randrange(1, 4)):
+            main = rnd.random() < 0.5
+            own = []
+            for _ in range(rnd.randrange(1, 9)):
+                text = ("x" * rnd.choice([1, 9, 30, 100]))
+                kind = rnd.choice("pppaab")
+                own.append((f"<p>{text}</p>", (text, len(text), main)) if kind == "p" else
+                           (f"<p><a href=/>{text}</a></p>", (text, -len(text), main)) if kind == "a" else ("<nav>menu</nav>", (None, 0, main)))
+            html += ("<main>" if main else "<div>") + "".join(h for h, _ in own) + ("</main>" if main else "</div>")
+            lines += [x for _, x in own]
+        clean = []
+        for x in lines:
+            if x[0] is None:
+                if clean and clean[-1][0] is not None:
+                    clean.append((None, 0, clean[-1][2]))
+            else:
+                clean.append(x)
+        texts = {}
+        for window, threshold in ((3, 80), (1, 80), (3, 20)):
+            texts[window, threshold] = extract.main_text(f"<body>{html}</body>", window, threshold)
+            assert texts[window, threshold] == brute_text(clean, window, threshold), html
+        kind = "main" if "<main>" in html else "plain"
+        changed[kind, "window"] += texts[3, 80] != texts[1, 80]
+        changed[kind, "threshold"] += texts[3, 80] != texts[3, 20]
+    assert all(changed[k, x] > 5 for k in ("main", "plain") for x in ("window", "threshold")), changed
+
+
+def test_extract_hostile_and_short_pages(spark):
+    assert extract.main_text("<body><h1>Title</h1><p>Short news of forty letters in all here.</p></body>") == "Title\nShort news of forty letters in all here."
+    assert extract.main_text("<article><p class=notice>Notice of the court, in an article.</p><p>More.</p></article>").startswith("Notice")
+    for odd in ("<![foo[ x>", "<![%x]>", "<!x", "<", "<!--", "<![CDATA[", "</", "<a href='", "&#x110000;&#0;", "<?x"):
+        assert extract.main_text(f"<article><p>Before it.</p></article>{odd}").startswith("Before it.")
+    began = time.time()
+    for n in (60_000,):
+        extract.main_text("<b>" * n + "x" + "</i>" * n)
+        extract.main_text("<i>" + "<p>" + "<b>" * n + "</i><hr>" * n)
+        extract.main_text("<ul>" + "<b>" * n + "<li>" * n)
+        extract.main_text("<div>" * n + "x" + "</p>" * n)
+    assert time.time() - began < 30
+    rows = [(1, None, 0), (2, "", 0), (3, "<p>x</p>", 0), (3, "<p>x</p>", 0), (4, "<p>" + "word " * 400_000, 1)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text int")
+    got = df.select("page_id", extract.extract(F.col("html")).alias("out")).collect()
+    assert sorted((r["page_id"], len(r["out"])) for r in got) == [(1, 0), (2, 0), (3, 1), (3, 1), (4, 1_999_999)]
+    assert df.limit(0).select(extract.extract(F.col("html"))).count() == 0
+
+
 def test_packing_covers_every_id_once_without_padding(spark):
     texts = [(i, " ".join(words(random.Random(i).randrange(0, 900), i))) for i in range(60)]
     texts += [(100, None), (101, ""), (102, "a<|endoftext|>b \t c"), (103, "big " * 9000), (7, "again"), (None, "no id")]

@@ -2,26 +2,29 @@
 
 1. Strip markup: the page is read as a stream of tags; every block element ends a line. White space in a line becomes
    one space. Text in page furniture (navigation, site header and footer, asides, forms, notices, adverts, reader
-   comments, hidden parts) or in scripts, styles and the head stays out of the lines, and each such part leaves a
-   barrier: an empty line.
+   comments, hidden parts) or in scripts, styles and the head stays out of the lines; between two lines it leaves one
+   barrier, an empty line. Headings, and paragraphs in a main container, are no furniture by their class alone.
 2. Weigh lines: the letters and digits outside links less those inside, at least 0. If the page's main containers
-   (article, main) hold at least as much of that as the rest of the page, each line in them that isn't mostly links
-   weighs `threshold` more, as the author says that it belongs to the text.
-3. Sum weights over sliding windows of `window` lines, inside containers and outside them apart. A surge is a line where
-   the windowed sum reaches the threshold from below, a dive the line where it falls to nothing again. The lines between
-   a surge and its dive are the text (outside containers those with weight), with the headings that lead up to it.
+   (article, main) hold at least as much of that as the rest of the page, they support their lines: each that isn't
+   mostly links weighs half the threshold more.
+3. Sum weights over sliding windows of `window` lines, inside containers and outside them apart. A surge is a line with
+   weight where the windowed sum reaches the threshold from below, a dive the line where it falls to nothing again. The
+   lines between a surge and its dive are the text (outside containers those with weight), with the headings that lead
+   up to it. On a page whose windows all stay below the threshold, the largest sum is the threshold.
 
 Defined results: a null or empty html gives an empty text; nothing is cut by length; repeated rows give equal rows; an
 empty table gives no rows. Elements left open are closed as browsers do for p, li, dt, dd, tr, td, th and option.
+Markup declarations that HTML doesn't know are comments up to the next >. Time grows in proportion to the page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,10 +72,17 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line | None] = []
         self.stack: list[tuple[str, bool]] = []  # element, whether its text is left out
+        self.open: Counter[str] = Counter()  # open elements by name
+        self.blocks: list[int] = []  # places of open blocks in the stack
+        self.inline: list[Counter[str]] = [Counter()]  # open inline elements by name, since each open block
+        self.scoped: list[Counter[str]] = [Counter()]  # open list and table parts by name, since each open list or table
         self.out = 0  # open elements whose text is left out
         self.main = self.link = self.head = 0
         self.parts: list[tuple[str, bool]] = []
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i, 0)  # <![ ... >
+
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(t for t, _ in self.parts)).strip()
         if text:
@@ -90,43 +100,69 @@ class _Lines(HTMLParser):
             return True
         if (given.get("role") or "").lower() in ROLES or _HIDING.search(given.get("style") or ""):
             return True
-        return tag not in HEADINGS and bool(NAMES & self.names(attrs))
+        by_name = tag not in HEADINGS and not (tag == "p" and self.main)
+        return by_name and bool(NAMES & self.names(attrs))
 
     @staticmethod
     def names(attrs: list[tuple[str, str | None]]) -> set[str]:
         given = dict(attrs)
         return set(_SPLIT.split(f"{given.get('class') or ''} {given.get('id') or ''}".lower()))
 
-    def pop(self) -> None:
+    def barrier(self) -> None:
+        if self.lines and self.lines[-1] is not None:
+            self.lines.append(None)
+
+    def push(self, tag: str, out: bool) -> None:
+        self.open[tag] += 1
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][tag] += 1
+        if tag in CLOSES:
+            self.scoped[-1][tag] += 1
+        if tag in SCOPES:
+            self.scoped.append(Counter())
+        self.stack.append((tag, out))
+        self.out += out
+        self.main += tag in ("article", "main")
+        self.link += tag == "a"
+        self.head += tag in HEADINGS
+
+    def pop(self) -> str:
         tag, out = self.stack.pop()
+        self.open[tag] -= 1
+        if tag in SCOPES:
+            self.scoped.pop()
+        if tag in CLOSES:
+            self.scoped[-1][tag] -= 1
+        if tag in BLOCK:
+            self.blocks.pop()
+            self.inline.pop()
+        else:
+            self.inline[-1][tag] -= 1
         self.main -= tag in ("article", "main")
         self.link -= tag == "a"
         self.head -= tag in HEADINGS
         self.out -= out
         if out and not self.out:
-            self.lines.append(None)
+            self.barrier()
+        return tag
 
-    def close_to(self, i: int) -> None:
-        while len(self.stack) > i:
-            self.pop()
+    def close(self, *tags: str) -> None:
+        """Closes the innermost open element of these names and all in it; without names, ends the page."""
+        if not tags:
+            return super().close()
+        while self.pop() not in tags:
+            pass
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.end_line()
-            if tag != "br":  # a block ends an open paragraph
-                for i in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[i][0] == "p":
-                        self.close_to(i)
-                        break
-                    if self.stack[i][0] in BLOCK:
-                        break
-            if tag in CLOSES:
-                for i in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[i][0] in CLOSES[tag]:
-                        self.close_to(i)
-                        break
-                    if self.stack[i][0] in SCOPES:
-                        break
+            if tag != "br" and self.blocks and self.stack[self.blocks[-1]][0] == "p":
+                self.close("p")  # a block ends an open paragraph
+            if tag in CLOSES and any(self.scoped[-1][t] for t in CLOSES[tag]):
+                self.close(*CLOSES[tag])
         if tag in VOID:
             if tag in ("img", "input"):
                 self.parts.append((" ", False))
@@ -134,12 +170,8 @@ class _Lines(HTMLParser):
         out = self.furniture(tag, attrs)
         if out and not self.out:
             self.end_line()
-            self.lines.append(None)
-        self.stack.append((tag, out))
-        self.out += out
-        self.main += tag in ("article", "main")
-        self.link += tag == "a"
-        self.head += tag in HEADINGS
+            self.barrier()
+        self.push(tag, out)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML ignores the slash
@@ -147,12 +179,9 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.end_line()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.close_to(i)
-                return
-            if tag not in BLOCK and self.stack[i][0] in BLOCK:
-                return  # an inline end tag doesn't close blocks
+        # an inline end tag doesn't close blocks
+        if self.open[tag] if tag in BLOCK else self.inline[-1][tag]:
+            self.close(tag)
 
     def handle_data(self, data: str) -> None:
         if not self.out:
@@ -167,9 +196,13 @@ def page_lines(html: str) -> list[Line | None]:
     return parser.lines
 
 
-def between_surge_and_dive(weights: np.ndarray, window: int, threshold: int) -> np.ndarray:
+def windowed(weights: np.ndarray, window: int) -> np.ndarray:
+    """Sums of each line's weight and those of the lines after it, `window` in all."""
+    return np.convolve(weights, np.ones(window, np.int64))[window - 1 :] if len(weights) else weights
+
+
+def between_surge_and_dive(weights: np.ndarray, sums: np.ndarray, threshold: int) -> np.ndarray:
     """Which lines lie between a surge and its dive."""
-    sums = np.convolve(weights, np.ones(window, np.int64))[window - 1 :] if len(weights) else weights
     inside, keep = False, np.zeros(len(weights), bool)
     for i in range(len(weights)):
         if not inside and weights[i] and sums[i] >= threshold:
@@ -182,18 +215,19 @@ def between_surge_and_dive(weights: np.ndarray, window: int, threshold: int) ->
 
 def main_text(html: str | None, window: int = 3, threshold: int = 80) -> str:
     lines = page_lines(html or "")
-    prose = [0 if x is None else max(0, x.prose) for x in lines]
-    held = sum(w for x, w in zip(lines, prose, strict=True) if x is not None and x.main)
-    bonus = threshold if 2 * held >= sum(prose) else 0
-    weights, main = np.array(prose, np.int64), np.zeros(len(lines), bool)
+    weights = np.array([0 if x is None else max(0, x.prose) for x in lines], np.int64)
+    main = np.zeros(len(lines), bool)
     for i, x in enumerate(lines):
         main[i] = x.main if x is not None else i and main[i - 1]
-        if x is not None and x.main and x.prose >= 0:
-            weights[i] += bonus
-    keep = np.zeros(len(lines), bool)
+    if 2 * weights[main].sum() >= weights.sum():
+        weights += (threshold // 2) * np.array([x is not None and x.main and x.prose >= 0 for x in lines], bool)
     cuts = [0, *(np.flatnonzero(main[1:] != main[:-1]) + 1).tolist(), len(lines)]
-    for i, j in zip(cuts, cuts[1:], strict=False):
-        keep[i:j] = between_surge_and_dive(weights[i:j], window, threshold)
+    apart = list(zip(cuts, cuts[1:], strict=False))
+    sums = np.concatenate([windowed(weights[i:j], window) for i, j in apart]) if len(lines) else weights
+    reached = min(threshold, int(sums.max(initial=0)))
+    keep = np.zeros(len(lines), bool)
+    for i, j in apart:
+        keep[i:j] = between_surge_and_dive(weights[i:j], sums[i:j], reached)
     keep &= (weights > 0) | main
     keep &= np.array([x is not None for x in lines], bool)
     for i in np.flatnonzero(keep[1:] & ~keep[:-1]):  # headings before a surge
@@ -206,8 +240,8 @@ def main_text(html: str | None, window: int = 3, threshold: int = 80) -> str:
 def extract(html: Column, window: int = 3, threshold: int = 80) -> Column:
     """The main text as a column."""
 
-    @F.pandas_udf("string")
-    def texts(pages: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p, window, threshold) for p in pages], dtype=object)
+    @F.arrow_udf("string")
+    def texts(pages: pa.Array) -> pa.Array:
+        return pa.array([main_text(p.as_py(), window, threshold) for p in pages], pa.string())
 
     return texts(html)
