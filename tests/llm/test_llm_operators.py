@@ -398,10 +398,28 @@ def test_quality_counts_and_hosts(spark):
     hosts = documents(spark, [(i, bad) for i in range(200)], "junk").unionByName(
         documents(spark, [(999, good)], "junk")).unionByName(documents(spark, [(1000 + i, good) for i in range(200)], "fine"))
     kept = {r["doc_id"] for r in quality.quality_filter(hosts).collect()}
-    assert kept == {1000 + i for i in range(200)}
+    assert kept == {999, *range(1000, 1200)}  # with two hosts, one bad, the mean rate is a half
     assert quality.quality_table(hosts.limit(0)).count() == 0
 
 
+def test_a_bad_host_among_others(spark):
+    good, bad, odd = " ".join(f"w{i}" for i in range(30)), "a b c d e f g h " * 5, "## $$ %% && ** " * 8
+    odd = " ".join(f"{x}{i}%%%%%" for i, x in enumerate(odd.split()))
+    rows, at = [], 0
+    shares = {f"h{k}": (60, 0.05 + k / 200) for k in range(18)} | {"bad": (80, 0.85), "small": (2, 0.5), None: (30, 0.1)}
+    for host, (n, share) in shares.items():
+        for i in range(n):
+            rows.append((at, bad if i < n * share else good, "en", host, 1))
+            at += 1
+    rows += [(10_000 + i, odd, "en", "symbols", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, DOC)
+    kept = collections.Counter(r["source"] for r in quality.quality_filter(df).collect())
+    assert "bad" not in kept and "symbols" not in kept and kept["small"] == 1 and kept[None] == 27
+    assert all(kept[f"h{k}"] == 60 - math.ceil(60 * (0.05 + k / 200)) for k in range(18))
+    table = quality.quality_table(df).collect()
+    assert sum(not r["kept"] and not r["base_failed"] for r in table) == 12 + 40
+
+
 def test_scores_equal_a_sequential_automaton(spark):
     rnd = random.Random(5)
     vocab = [f"w{i}" for i in range(12)]

@@ -1,13 +1,16 @@
 """Quality rules for documents and for the hosts they come from.
 
-Each text is measured and held against document rules. Failures are counted by host (the column `source` here), each
-host's failure rate is shrunk towards an empirical beta prior, fitted to all hosts by the method of moments, and a host
-whose shrunk rate passes `max_host_rate` is rejected with all its documents. Counts are partial sums before the
-shuffle, so a host with a third of all rows costs no task more than another.
+Each text is measured and held against document rules (`RULES`). Base rules reject a document by themselves; the failures
+of every rule are counted by host (the column `source` here). A host's failure rate under a rule is shrunk towards an
+empirical beta prior, fitted to all hosts by the method of moments (mean m over documents, strength by the variance of
+the hosts' rates). A host is rejected with all its documents if, under any rule, its posterior mean less `sure` posterior
+standard deviations is above both `multiple` times m and `least`: so it fails far more often than others, in most of
+its documents, and has enough documents to say so. Counts are partial sums before the shuffle, so a host with a third
+of all rows costs no task more than another.
 
 Defined results: a null text has no words (and so fails); a null host counts as a host of its own; repeated rows count
 each; fewer than two hosts, or rates that don't vary, give a prior of one pseudo-document at the mean rate; an empty
-table gives no rows.
+table gives no rows; other columns are kept (names with `_weft_` are reserved).
 """
 
 from __future__ import annotations
@@ -15,11 +18,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHashes, shared_table, small_side
+from .common import Rolling, WordHashes, give_back, shared_table
 
 SPACE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -55,70 +58,93 @@ def measure(text: str | None, memo: WordHashes, rolling: Rolling) -> tuple[int,
 
 
 def measures(text: Column) -> Column:
-    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo, rolling = WordHashes(), Rolling()
-        for texts in batches:
-            yield pd.DataFrame([measure(t, memo, rolling) for t in texts], columns=list(COUNTS))
+        try:
+            for texts in batches:
+                rows = np.array([measure(t.as_py(), memo, rolling) for t in texts], np.int64).reshape(-1, len(COUNTS))
+                yield pa.StructArray.from_arrays([pa.array(c) for c in rows.T.copy()], list(COUNTS))
+        finally:
+            give_back()
 
     return of(text)
 
 
+def rules(counts: str = "") -> dict[str, Column]:
+    """Failed document rules by name; `counts` is the prefix of the columns of counts."""
+    c = {name: F.col(f"{counts}{name}") for name in COUNTS}
+    return {
+        "short": c["n_words"] < 20,
+        "repeats": 100 * c["n_repeat_words"] > 30 * c["n_words"],
+        "symbols": c["n_symbols"] > 4 * c["n_words"],
+        "lines": 5 * c["n_dup_lines"] > c["n_words"],
+        "lengths": (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 20 * c["n_words"]),
+    }
+
+
+#: Rules by which a document is rejected itself; the others count against its host only.
+BASE = ("short", "repeats")
+RULES = ("short", "repeats", "symbols", "lines", "lengths")
+
+
 def document_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with the struct `_weft_rules` of the counts and `base_failed`."""
+    """df with the struct `_weft_rules` of the counts, `base_failed` and a boolean `failed_` for each rule."""
     m = df.withColumn("_weft_counts", measures(F.col(f"`{text_col}`")))
-    n, repeats = F.col("_weft_counts.n_words"), F.col("_weft_counts.n_repeat_words")
-    failed = (n < 20) | (100 * repeats > 30 * n)
-    return m.withColumn("_weft_rules", F.struct("_weft_counts.*", failed.alias("base_failed"))).drop("_weft_counts")
+    failed = rules("_weft_counts.")
+    flags = [failed[r].alias(f"failed_{r}") for r in RULES]
+    base = (failed[BASE[0]] | failed[BASE[1]]).alias("base_failed")
+    return m.withColumn("_weft_rules", F.struct("_weft_counts.*", base, *flags)).drop("_weft_counts")
 
 
 def host_rates(judged: DataFrame, prior_floor: float = 1.0) -> DataFrame:
-    """host, docs, failed, rate shrunk towards the beta prior; judged: host, base_failed."""
-    hosts = judged.groupBy("host").agg(
-        F.count(F.lit(1)).alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failed")
-    )
+    """host, rule, docs, failed, mean (of the prior), rate (posterior mean), sd; judged: host, failed_ of each rule."""
+    sums = [F.sum(F.col(f"failed_{r}").cast("long")).alias(r) for r in RULES]
+    hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), *sums)
+    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("failed")) for r in RULES]))
+    hosts = shared_table(hosts.select("host", "docs", pairs.alias("r")).select("host", "docs", "r.*"))
     raw = F.col("failed") / F.col("docs")
-    prior = hosts.agg(
+    moments = hosts.groupBy("rule").agg(
         (F.sum("failed") / F.sum("docs")).alias("mean"), F.avg(raw).alias("mid"), F.var_samp(raw).alias("var")
     )
     # beta moments: strength = m (1 - m) / var - 1
-    strength = F.greatest(
-        F.lit(prior_floor),
-        F.coalesce(
-            F.when(F.col("var") > 0, F.col("mid") * (1 - F.col("mid")) / F.col("var") - 1), F.lit(prior_floor)
-        ),
-    )
-    prior = prior.select("mean", strength.alias("strength")).collect()
-    mean, weight = (prior[0][0] or 0.0, prior[0][1]) if prior else (0.0, prior_floor)
-    rate = (F.col("failed") + F.lit(mean * weight)) / (F.col("docs") + F.lit(weight))
-    return hosts.withColumn("rate", rate)
+    strength = F.when(F.col("var") > 0, F.col("mid") * (1 - F.col("mid")) / F.col("var") - 1)
+    strength = F.greatest(F.lit(prior_floor), F.coalesce(strength, F.lit(prior_floor)))
+    prior = F.broadcast(moments.select("rule", "mean", strength.alias("strength")))  # one row a rule
+    rate = (F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("docs") + F.col("strength"))
+    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("docs") + F.col("strength") + 1))
+    return hosts.join(prior, "rule").withColumn("rate", rate).withColumn("sd", spread)
 
 
-def rejected_hosts(judged: DataFrame, max_host_rate: float) -> DataFrame:
-    bad = host_rates(judged).where(F.col("rate") > max_host_rate).select(F.col("host").alias("_weft_host"))
-    return small_side(shared_table(bad))
+def rejected_hosts(judged: DataFrame, multiple: float, least: float, sure: float) -> DataFrame:
+    """_weft_host: the hosts that are rejected, each once; written, so that joins with it can split a hot host."""
+    bad = F.col("rate") - sure * F.col("sd") > F.greatest(multiple * F.col("mean"), F.lit(least))
+    return shared_table(host_rates(judged).where(bad).select(F.col("host").alias("_weft_host")).distinct())
 
 
 def quality_table(
-    df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_host_rate: float = 0.9
-) -> DataFrame:
+    df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", multiple: float = 3.0,
+    least: float = 0.5, sure: float = 2.0,
+) -> DataFrame:
     """id, the counts, base_failed, kept; texts are measured once."""
     named = df.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{host_col}`").alias("host"), F.col(f"`{text_col}`").alias("text")
     )
     m = shared_table(document_rules(named).select("id", "host", "_weft_rules.*"))
-    bad = rejected_hosts(m, max_host_rate).withColumn("_weft_hit", F.lit(True))
+    bad = rejected_hosts(m, multiple, least, sure).withColumn("_weft_hit", F.lit(True))
     kept = ~F.col("base_failed") & F.col("_weft_hit").isNull()
     out = m.join(bad, m["host"].eqNullSafe(bad["_weft_host"]), "left")
     return out.select(F.col("id").alias(id_col), *COUNTS, "base_failed", kept.alias("kept"))
 
 
 def quality_filter(
-    df: DataFrame, host_col: str = "source", text_col: str = "text", max_host_rate: float = 0.9
-) -> DataFrame:
-    """The rows of df that pass, with df's columns: one pass counts failures by host, one decides."""
-    judged = document_rules(df, text_col)
+    df: DataFrame, host_col: str = "source", text_col: str = "text", multiple: float = 3.0, least: float = 0.5,
+    sure: float = 2.0,
+) -> DataFrame:
+    """The rows of df that pass, with df's columns; texts are measured once, with the rows written beside their rules."""
+    judged = shared_table(document_rules(df, text_col))
     host = F.col(f"`{host_col}`")
-    bad = rejected_hosts(judged.select(host.alias("host"), F.col("_weft_rules.base_failed")), max_host_rate)
+    flags = [F.col(f"_weft_rules.failed_{r}") for r in RULES]
+    bad = rejected_hosts(judged.select(host.alias("host"), *flags), multiple, least, sure)
     kept = judged.where(~F.col("_weft_rules.base_failed"))
     return kept.join(bad, host.eqNullSafe(bad["_weft_host"]), "left_anti").drop("_weft_rules")

@@ -179,15 +179,22 @@ with w as (
     )::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words
   from w left join covered using (doc_id)
 ), judged as (
-  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m
+  select *, n_words < 20 as short, 100 * n_repeat_words > 30 * n_words as repeats, n_symbols > 4 * n_words as symbols,
+    5 * n_dup_lines > n_words as lines, word_chars < 2 * n_words or word_chars > 20 * n_words as lengths,
+    short or repeats as base_failed from m
 ), hosts as (
-  select source, count(*) as docs, sum(base_failed::int) as failed from judged group by source
+  unpivot (select source, count(*) as docs, sum(short::int) as short, sum(repeats::int) as repeats,
+    sum(symbols::int) as symbols, sum(lines::int) as lines, sum(lengths::int) as lengths from judged group by source)
+  on short, repeats, symbols, lines, lengths into name rule value failed
 ), prior as (
-  select sum(failed) / sum(docs) as mean, case when var_samp(failed / docs) > 0 then
+  select rule, sum(failed) / sum(docs) as mean, case when var_samp(failed / docs) > 0 then
     greatest(1.0, avg(failed / docs) * (1 - avg(failed / docs)) / var_samp(failed / docs) - 1) else 1.0 end as strength
-  from hosts
+  from hosts group by rule
+), rates as (
+  select *, (failed + mean * strength) / (docs + strength) as rate from hosts join prior using (rule)
 ), bad as (
-  select source from hosts, prior where (failed + mean * strength) / (docs + strength) > 0.9
+  select distinct source from rates
+  where rate - 2 * sqrt(rate * (1 - rate) / (docs + strength + 1)) > greatest(3 * mean, 0.5)
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and source not in (select source from bad where source is not null)
