@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from weft.llm import chat, extract, graph, jaccard, lm, mixing, packing, quality, substring, topk, urlfilter
 
@@ -43,6 +44,19 @@ def test_chat_reads_back_exactly(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_ties_sort_by_raw_text_and_mask_what_is_read_back(spark):
+    rows = [(1, 0, "assistant", "<s>"), (1, 0, "assistant", "<a"), (1, 0, "[ROLE]", "</s>"), (1, 0, "[AND]", None), (2, 1, None, None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn int, role string, text string, turns string, segments int")
+    done = chat.format_conversations(df)
+    got = {r["conv_id"]: r for r in chat.read_back(done).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("[AND]", ""), ("[ROLE]", "</s>"), ("assistant", "<a"), ("assistant", "<s>")]
+    assert [(t["role"], t["text"]) for t in got[2]["turns"]] == [("", "")]
+    for r in done.collect():
+        assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
+        masked = "".join(s["text"] for s in r["segments"] if s["loss"])
+        assert masked == {1: "<a<\\s>", 2: ""}[r["conv_id"]] and got[r["conv_id"]]["loss_text"] == masked.replace("\\", "")
+
+
 def test_extract_keeps_the_article_only():
     html = (
         "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><header>Site</header>"
@@ -162,6 +176,22 @@ def test_packing_covers_every_id_once_without_padding(spark):
     assert packing.pack_documents(df.limit(0), "byte_bpe_50k.json").count() == 0
 
 
+def test_packed_ids_are_those_of_the_tokenizer(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, given = packing.Encoder(path), Tokenizer.from_file(path)
+    texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' limit 300").fetchall()]
+    rnd = random.Random(11)
+    alphabet = " \n\t\r\x0b\x1c\u00a0\u3000aZ9é😀'.,<|endoftext|>\u200d'sdm\x00"
+    texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60))) for _ in range(3000)]
+    for text, ids in zip(texts, own.whole([t or "" for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == given.encode(text or "", add_special_tokens=False).ids, text
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts[:400])], "doc_id long, text string, length int, start string")
+    for r in packing.pack_documents(df, "byte_bpe_50k.json").collect():
+        ids = [*given.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 1]
+        piece = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+        assert (zlib.crc32(piece), len(ids)) == (r["ids_crc32"], r["doc_tokens"])
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.125, (300, 16))
@@ -252,6 +282,32 @@ def test_mixing_budgets(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_equals_brute_force(spark):
+    rnd = random.Random(2)
+    rows = [(i, "x " * rnd.randrange(1, 60), "en", rnd.choice("aaaaaabbc"), 1) for i in range(600)]
+    df = spark.createDataFrame(rows, DOC)
+    out = mixing.mix_sources(df, max_repeats=2.5, block_docs=10**6).collect()
+    total = collections.Counter()
+    for _, t, _, s, _ in rows:
+        total[s] += len(t.split())
+    low, high = 0.0, 1.0  # the flattest exponent under the limit
+    for _ in range(100):
+        a = (low + high) / 2
+        low, high = (a, high) if (max(total.values()) / min(total.values())) ** (1 - a) > 2.5 else (low, a)
+    order = collections.defaultdict(list)
+    for r in out:
+        order[r["source"]].append((r["_weft_rank"], r["doc_id"], r["_weft_tokens"]))
+    uses = collections.Counter(r["doc_id"] for r in out)
+    for source, docs in order.items():
+        repeats = (total[source] / max(total.values())) ** (high - 1)
+        spent = 0
+        for _, doc, tokens in sorted(set(docs)):
+            spent += tokens
+            extra = spent - tokens / 2 <= (repeats - math.floor(repeats)) * total[source]
+            assert uses[doc] == math.floor(repeats) + (extra and repeats > math.floor(repeats)), (source, doc)
+        assert sorted(d for _, d, _ in set(docs)) == sorted(i for i, _, _, s, _ in rows if s == source)
+
+
 def brute_spans(texts, window):
     first, out = {}, {}
     split = {i: (t or "").encode().split() for i, t in texts if i is not None}

@@ -58,8 +58,11 @@ def format_conversations(
 ) -> DataFrame:
     """conv_id, formatted string, segments array<struct<text, loss>> whose texts concatenate to formatted."""
     rows = renamed(rows, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
-    turn = F.struct("turn", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
+    turn = F.struct("turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    # sorted as given, then escaped
+    escaped = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    turns = turns.select("conv_id", escaped.alias("turns"))
     role = lambda i: F.get(F.col("turns"), i)["role"]
     starts = F.filter(
         F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (role(i) != role(F.greatest(i - 1, F.lit(0))))
@@ -82,7 +85,7 @@ def format_conversations(
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns array<struct<role, text>> parsed from `formatted`, loss_text from the masked segments."""
+    """conv_id, turns array<struct<role, text>> and loss_text, both parsed from `formatted`, and its length."""
     blocks = F.filter(F.split("formatted", r"(?<=\[/INST\])|(?<=</s>)", -1), lambda b: F.length(b) > 0)
 
     def parsed(b: Column) -> Column:
@@ -96,10 +99,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
             F.split(body, r"\[AND\]", -1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text"))
         )
 
-    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
-    return formatted.select(
-        "conv_id",
-        F.flatten(F.transform(blocks, parsed)).alias("turns"),
-        F.array_join(loss, "").alias("loss_text"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    turns = formatted.select(
+        "conv_id", F.flatten(F.transform(blocks, parsed)).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars")
+    )
+    said = F.filter("turns", lambda t: t["role"] == "assistant")  # the one role whose blocks are under the loss mask
+    loss = F.array_join(F.transform(said, lambda t: t["text"]), "")
+    return turns.select("conv_id", "turns", loss.alias("loss_text"), "formatted_chars")
