@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.llm import jaccard, mixing, packing, quality, substring
 from weft.llm.common import shared_table
@@ -10,25 +11,28 @@ from weft.llm.queries import TOKENIZER
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the document and host rules; null and empty texts fail, null hosts are a host."""
     return quality.quality_filter(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, the smallest id; rows without id or words stay, repeated ids stay together."""
     return jaccard.one_of_each(docs)
 
 
 def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
+    """All rows, without words that a smaller id has in a passage of 50 words; null texts stay null, n_chars follows."""
     cut = substring.remove_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as their source is used, once at least; null sources are a source."""
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows; a null or empty text is its end id alone."""
     return packing.pack_documents(docs, TOKENIZER)
 
 
