@@ -65,12 +65,3 @@ def expectations(df: DataFrame, key: Column, rules: dict[str, Column]) -> DataFr
     """rule, row_key for each row that breaks a rule: one pass, rules as an array."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(r)) for r, ok in rules.items()]))
     return df.select(F.explode(broken).alias("rule"), key.alias("row_key"))
-
-
-def nearest_names(codes: DataFrame, registry: DataFrame, code: str, name: str, block_chars: int, top: int) -> DataFrame:
-    """Nearest registry names of each code among those with the same last characters, ties by name."""
-    block = lambda c: F.substring(F.col(c), -block_chars, block_chars).alias("_b")
-    pairs = codes.select(code, block(code)).join(registry.select(name, block(name)), "_b")
-    w = Window.partitionBy(code).orderBy("distance", name)
-    pairs = pairs.withColumn("distance", F.levenshtein(code, name)).withColumn("rank", F.row_number().over(w))
-    return pairs.where(F.col("rank") <= top).drop("_b")

@@ -226,17 +226,6 @@ def turn_units(spark, sf_dir):
     return c.select("conv_id", "turn", unit.alias("unit"), (F.count(F.lit(1)).over(w) > 1).alias("repeated"))
 
 
-@query("""
-with a as (select replace(s_name, '0', 'O') as code from supplier),
-d as (select code, s_name, levenshtein(code, s_name)::int as distance from a join supplier s on right(code, 2) = right(s_name, 2)),
-r as (select *, row_number() over (partition by code order by distance, s_name)::int as rank from d)
-select code, s_name, distance, rank from r where rank <= 2""")
-def fuzzy_code_join(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_name")
-    codes = s.select(F.regexp_replace("s_name", "0", "O").alias("code"))
-    return records.nearest_names(codes, s, "code", "s_name", 2, 2)
-
-
 _B = """
 with b as (select o_orderkey, case when o_orderkey % 10 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice,
   case when o_orderkey % 15 = 0 then o_orderpriority || 'XYZ' when o_orderkey % 14 = 0 then o_orderpriority || 'X'
