@@ -102,17 +102,25 @@ def background_mean(base: Column, values: list[float], slope: float) -> Column:
 
 
 def quoted_sources(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: str, doc_id: str, text: str) -> DataFrame:
-    """Quotes of five or more words with the number of documents that hold them word for word, case and white space aside.
+    """Quotes with the number of documents that hold them word for word, case and white space aside.
 
-    The quote's first five words are looked up among the documents' five-word windows; whole quotes are then compared."""
+    A quote's first five words (all, if it has fewer) are looked up among the documents' windows of as many words; whole
+    quotes are then compared. Null quotes and texts are left out by the caller."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[ \\t\\n\\r]+", " "))
-    gram = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, 5), " "))
+    gram = lambda w, i, k: F.xxhash64(F.array_join(F.slice(w, i, k), " "))
     q = quotes.select(quote_id, plain(quote).alias("quote")).withColumn("w", F.split("quote", " "))
-    q = q.select(quote_id, "quote", F.when(F.size("w") >= 5, gram(F.col("w"), F.lit(1))).alias("g"))
-    d = docs.select(doc_id, plain(text).alias("body")).withColumn("w", F.split("body", " ")).where(F.size("w") >= 5)
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: gram(F.col("w"), i)))
-    grams = d.select(doc_id, F.explode(starts).alias("g"))
-    may = grams.join(q.where("g is not null"), "g").select(quote_id, "quote", doc_id)
+    q = q.withColumn("k", F.least(F.size("w"), F.lit(5)))
+    lengths = [r["k"] for r in q.select("k").distinct().collect()]  # at most five
+    q = q.select(quote_id, "quote", gram(F.col("w"), F.lit(1), F.col("k")).alias("g"))
+    d = docs.select(doc_id, plain(text).alias("body")).withColumn("w", F.split("body", " "))
+    none = F.array().cast("array<long>")
+
+    def windows(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("w") - (k - 1))
+        return F.when(F.size("w") >= k, F.transform(starts, lambda i: gram(F.col("w"), i, F.lit(k)))).otherwise(none)
+
+    grams = d.select(doc_id, F.explode(F.array_distinct(F.concat(none, *map(windows, lengths)))).alias("g"))
+    may = grams.join(q, "g").select(quote_id, "quote", doc_id)
     pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     held = may.join(d.select(doc_id, "body"), doc_id).where(F.contains(pad("body"), pad("quote")))
     counts = held.groupBy(quote_id).agg(F.count(F.lit(1)).alias("n_sources"), F.min(doc_id).alias("first_source"))

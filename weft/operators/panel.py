@@ -42,10 +42,13 @@ def asof_backward(
 ) -> DataFrame:
     """For each left row the latest right row of its key at or before its time: union and one window, no range join.
 
-    Equal right times: the greatest right_tie. Beyond the tolerance the carried columns are null.
+    Equal right times: the greatest right_tie. Beyond the tolerance the carried columns are null. Null keys and null times
+    match nothing, as in a join; left rows always stay.
     """
     tie = [right_tie] if right_tie else []
     fields = [F.col(c) for c in dict.fromkeys([right_time, *tie, *carry])]
+    for c in (*by, right_time):
+        right = right.where(F.col(c).isNotNull())
     r = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*fields).alias("_r"),
                      *[F.col(c).alias("_tie") for c in tie])
     l_ = left.withColumns({"_t": F.col(left_time), "_side": F.lit(1)})
@@ -93,23 +96,15 @@ def fisher_index(df: DataFrame, period: str, segment: Sequence[str], price: str,
     return both.groupBy(period).agg((growth * 100).alias("fisher_pct"), F.count(F.lit(1)).alias("segments"))
 
 
-def outlier_policy(df: DataFrame, value: str, by: Sequence[str], policy: str, p: float) -> DataFrame:
-    """keep, winsorise (clip to the p and 1 - p quantiles) or trim (null outside)."""
-    if policy == "keep":
-        return df
-    w = Window.partitionBy(*by)
-    low, high = (F.percentile(value, q).over(w) for q in (p, 1 - p))
-    x = F.col(value)
-    new = F.least(F.greatest(x, low), high) if policy == "winsorise" else F.when(x.between(low, high), x)
-    return df.withColumn(value, new)
-
-
 def weighted_percentile(df: DataFrame, by: Sequence[str], value: str, weight: str, p: float) -> DataFrame:
-    """The smallest value whose cumulative weight reaches p of the total (a step, not interpolated); weights > 0.
+    """The smallest value whose cumulative weight reaches p of the total (a step, not interpolated).
 
+    A null or negative weight is an error; a weight of 0 counts for nothing, groups of such alone give no row.
     Equal values are summed before the window, so a hot group costs its number of distinct values.
     """
-    v = df.where(F.col(weight) > 0).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
+    wrong = F.col(weight).isNull() | F.isnan(weight) | (F.col(weight) < 0)
+    checked = F.when(wrong, F.raise_error(F.lit(f"{weight}: weights must not be null or negative"))).otherwise(F.col(weight))
+    v = df.withColumn(weight, checked).where(F.col(weight) > 0).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
     w = Window.partitionBy(*by).orderBy(value)
     v = v.withColumn("_c", F.sum("_w").over(w)).withColumn("_t", F.sum("_w").over(Window.partitionBy(*by)))
     return v.groupBy(*by).agg(F.min(F.when(F.col("_c") >= p * F.col("_t") - 1e-9, F.col(value))).alias("value"))

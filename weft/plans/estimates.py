@@ -61,7 +61,7 @@ select vec_id, round(list_cosine_similarity(
   list_transform(embedding, lambda v: v::double - list_avg(embedding::double[])),
   list_transform(e0, lambda v: v::double - list_avg(e0::double[]))), 6) as similarity
 from embeddings join first using (label) where embedding is not null""")
-def cosine_neighbours(spark, sf_dir):
+def cosine_to_first(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "label", "embedding")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e0"))
     return e.join(first, "label").select("vec_id", F.round(estimates.centred_cosine("embedding", "e0"), 6).alias("similarity"))
@@ -88,7 +88,7 @@ with q as (
   select item_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g')) as quote from benchmark where text is not null
 ), d as (select doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g')) as body from documents where text is not null)
 select item_id, count(doc_id) as n_sources, min(doc_id) as first_source
-from q left join d on contains(' ' || body || ' ', ' ' || quote || ' ') and len(string_split(quote, ' ')) >= 5 group by 1""")
+from q left join d on contains(' ' || body || ' ', ' ' || quote || ' ') group by 1""")
 def evidence_check(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", "text")
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")

@@ -149,19 +149,11 @@ def majority_vote(spark, sf_dir):
 
 
 @query(rf"""
-select doc_id, translate(lower(substr(text, 1, 200)), '{T.MARKED}', '{T.PLAIN}') as plain,
+select doc_id, translate(lower(text), '{T.MARKED}', '{T.PLAIN}') as plain,
   regexp_replace(regexp_replace(upper(source), '[^A-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as code from documents""")
 def text_canonical(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.strip_accents(F.substring("text", 1, 200)).alias("plain"), T.norm_code(F.col("source")).alias("code"))
-
-
-@query(rf"""
-select doc_id, md5(translate(lower(text), '{T.MARKED}', '{T.PLAIN}')) as plain_md5,
-  regexp_replace(regexp_replace(upper(source), '[^A-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as code from documents""")
-def text_canonical_whole(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(T.strip_accents(F.col("text"))).alias("plain_md5"), T.norm_code(F.col("source")).alias("code"))
+    return d.select("doc_id", T.strip_accents(F.col("text")).alias("plain"), T.norm_code(F.col("source")).alias("code"))
 
 
 @query(rf"""
@@ -350,15 +342,26 @@ def sliding(spark, sf_dir):
 
 
 @query("""
-with h as (select vec_id, list_sum(list_transform(range(1, 33), lambda i: case when embedding[i] > 0 then 2 ** (i - 1) else 0 end))::bigint as h
-  from embeddings)
-select a.vec_id, b.vec_id as other, bit_count(xor(a.h, b.h))::int as distance
-from h a join h b on b.vec_id = a.vec_id + 1""")
+with h as (select vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) as s from embeddings),
+d as (select a.vec_id, b.vec_id as other, list_sum(list_transform(range(1, 65), lambda i: (a.s[i] <> b.s[i])::int))::int as distance
+  from h a join h b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by vec_id order by distance, other) as rank from d)
+select vec_id, other, distance, rank::int as rank from r where rank <= 3""")
 def phash_hamming(spark, sf_dir):
-    bits = [F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)]
+    """The three nearest rows by sign bits of each vector whose id is divisible by 50, against all rows in blocks."""
+    bits = [F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for i in range(64)]
     h = table(spark, sf_dir, "embeddings").select("vec_id", sum(bits[1:], bits[0]).alias("h"))
-    o = h.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other"), F.col("h").alias("o"))
-    return h.join(o, "vec_id").select("vec_id", "other", F.bit_count(F.col("h").bitwiseXOR(F.col("o"))).cast("int").alias("distance"))
+    n = h.count()
+    blocks, asked = max(1, n // 65536), max(1, n // 50 // 1024)
+    deal = lambda k: F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = h.where("vec_id % 50 = 0").withColumn("qb", deal(asked)).withColumn("cb", each(blocks))
+    b = h.select(F.col("vec_id").alias("other"), F.col("h").alias("o"), deal(blocks).alias("cb")).withColumn("qb", each(asked))
+    pairs = a.join(b, ["cb", "qb"]).where("vec_id <> other")
+    near = F.struct(F.bit_count(F.col("h").bitwiseXOR(F.col("o"))).cast("int").alias("distance"), "other")
+    w = Window.partitionBy("vec_id").orderBy("near.distance", "near.other")
+    best = pairs.select("vec_id", near.alias("near")).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    return best.select("vec_id", "near.other", "near.distance", "rank")
 
 
 @query("""
