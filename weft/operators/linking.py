@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,7 +58,11 @@ def near_codes(codes: DataFrame, registry: DataFrame, code: str, name: str, most
 
 
 def reading_cost(a: str, b: str, cheap: float = 0.4) -> float:
-    """Edit distance in which confusable characters cost `cheap`."""
+    """Edit distance in which confusable characters cost `cheap`; equal ends cost nothing and are left out first."""
+    head = len(os.path.commonprefix([a, b]))
+    a, b = a[head:], b[head:]
+    tail = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     above = [float(j) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
         row = [float(i)]
