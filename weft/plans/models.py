@@ -318,3 +318,37 @@ def key_trap(spark, sf_dir):
     )
     growth = lambda c: F.avg(F.ln(F.col("o_totalprice") / F.col(c)))
     return r.agg(F.count("a").alias("right_pairs"), F.count("b").alias("wrong_pairs"), F.count_if(F.col("other") != F.col("o_custkey")).alias("fake"), F.round(growth("b") - growth("a"), 6).alias("bias"))
+
+
+@query(_COHORT + """,
+d as (select unnest(range(1, 11)) as draw), k as (select * from (values ('low', 0.25, 1.5), ('mid', 0.5, 2.5), ('high', 0.25, 4.5)) t(scenario, prior, center)),
+x as (select scenario, prior, center, draw, o_custkey, ('0x' || md5('r-' || draw || '-' || o_custkey)[1:8])::bigint / 4294967296.0::double < chance as renews,
+  ('0x' || md5('p-' || draw || '-' || o_custkey)[1:8])::bigint / 4294967296.0::double as v from u, d, k),
+g as (select scenario, prior, case when renews then least(center + [-4.0, -1, 0, 2, 3][floor(v * 5)::int + 1], 5.0) else 4.0 + [-9.0, -2, 1, 5][floor(v * 4)::int + 1] end as growth from x),
+s as (select scenario, any_value(prior) as prior, avg(growth) as m, count(*) as n from g group by 1)
+select scenario, n, round(m, 6)::double as mean_growth, round((select sum(prior * m) from s), 6)::double as mixture from s""")
+def scenario_mixture(spark, sf_dir):
+    """Scenarios on common random numbers, and their mean by prior weights."""
+    rows = [(1 - k, i, r, len(pool)) for k, pool in enumerate(_POOLS) for i, r in enumerate(pool)]
+    pools = F.broadcast(spark.createDataFrame(rows, "renews int, at long, residual double, n int"))
+    units, parts = _cohort(spark, sf_dir).withColumn("center0", F.lit(4.0)), []
+    for name, prior, center in (("low", 0.25, 1.5), ("mid", 0.5, 2.5), ("high", 0.25, 4.5)):
+        drawn = models.simulated_cohort(units.withColumn("center1", F.lit(center)), pools, "o_custkey", 10, 5.0)
+        parts.append(drawn.select(F.lit(name).alias("scenario"), F.lit(prior).alias("prior"), "growth"))
+    s = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("scenario", "prior").agg(F.count(F.lit(1)).alias("n"), F.avg("growth").alias("m"))
+    whole = F.broadcast(s.agg(F.round(F.sum(F.col("prior") * F.col("m")), 6).alias("mixture")))  # one row
+    return s.select("scenario", "n", F.round("m", 6).alias("mean_growth")).join(whole)
+
+
+@query(_SCORED + """,
+b as (select floor(p * 1000) as bin, count(*) as n, sum(quality) as pos from s group by 1),
+c as (select *, sum(n) over (order by bin desc) as taken, sum(pos) over (order by bin desc) as hits, sum(n) over () as all_ from b),
+k as (select unnest([0.39, 0.4, 0.41]) as budget)
+select budget::double as budget, max(taken)::bigint as taken, max(hits)::bigint as hits, min(bin) / 1000.0::double as cut from c join k on taken <= budget * all_ group by 1""")
+def policy_variants(spark, sf_dir):
+    """What budgets of a share of all rows take by score, over counts in a thousand score bins."""
+    b = _scored(spark, sf_dir).groupBy(F.floor(F.col("p") * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("pos"))
+    w = Window.orderBy(F.desc("bin"))  # at most a thousand rows
+    c = b.select("bin", F.sum("n").over(w).alias("taken"), F.sum("pos").over(w).alias("hits"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    c = c.withColumn("budget", F.explode(F.array(*[F.lit(x) for x in (0.39, 0.4, 0.41)]))).where("taken <= budget * all")
+    return c.groupBy("budget").agg(F.max("taken").alias("taken"), F.max("hits").alias("hits"), (F.min("bin") / 1000).alias("cut"))
