@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running_sums
+
 YEAR_DAYS = 365.25
 
 
@@ -100,14 +102,13 @@ def weighted_percentile(df: DataFrame, by: Sequence[str], value: str, weight: st
     """The smallest value whose cumulative weight reaches p of the total (a step, not interpolated).
 
     A null or negative weight is an error; a weight of 0 counts for nothing, groups of such alone give no row.
-    Equal values are summed before the window, so a hot group costs its number of distinct values.
+    Equal values are summed first, then a group's values lie in as many ranges as they need.
     """
     wrong = F.col(weight).isNull() | F.isnan(weight) | (F.col(weight) < 0)
     checked = F.when(wrong, F.raise_error(F.lit(f"{weight}: weights must not be null or negative"))).otherwise(F.col(weight))
     v = df.withColumn(weight, checked).where(F.col(weight) > 0).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    w = Window.partitionBy(*by).orderBy(value)
-    v = v.withColumn("_c", F.sum("_w").over(w)).withColumn("_t", F.sum("_w").over(Window.partitionBy(*by)))
-    return v.groupBy(*by).agg(F.min(F.when(F.col("_c") >= p * F.col("_t") - 1e-9, F.col(value))).alias("value"))
+    v = running_sums(v, by, [F.col(value)], ["_w"])
+    return v.groupBy(*by).agg(F.min(F.when(F.col("_w_upto") >= p * F.col("_w_all") - 1e-9, F.col(value))).alias("value"))
 
 
 def sessions(df: DataFrame, key: Sequence[str], time: str, order: Sequence[str], gap_seconds: int) -> DataFrame:
@@ -120,12 +121,13 @@ def sessions(df: DataFrame, key: Sequence[str], time: str, order: Sequence[str],
 
 
 def top_budget(df: DataFrame, share: float, order: Sequence[Column]) -> DataFrame:
-    """The first half-even round(share * n) rows by a total order, found by sort and limit, not by one window."""
+    """The first half-even round(share * n) rows by a total order, by their running number; in no order."""
     n = df.count()
     from decimal import ROUND_HALF_EVEN, Decimal
 
     take = int((Decimal(str(share)) * n).quantize(Decimal(1), ROUND_HALF_EVEN))
-    return df.orderBy(*order).limit(take)
+    numbered = running_sums(df.withColumn("_one", F.lit(1)), [], order, ["_one"])
+    return numbered.where(F.col("_one_upto") <= take).select(*df.columns)
 
 
 def first_k(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

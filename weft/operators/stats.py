@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running_sums
+
 
 def suppressed_rate(num: Column, den: Column, k: int = 5) -> dict[str, Column]:
     """Counts and rate of a cell; small numerators hide numerator and rate, small denominators all."""
@@ -26,10 +28,10 @@ def calibration_bins(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame
 
 
 def rank_auc(df: DataFrame, by: Sequence[str], p: str, y: str) -> DataFrame:
-    """Area under the ROC curve by mid-ranks of distinct scores: windows over scores, not rows."""
+    """Area under the ROC curve by mid-ranks of distinct scores; null where a group has one class alone."""
     s = df.groupBy(*by, p).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy(p)) - F.col("n")
-    s = s.withColumn("mid", below + (F.col("n") + 1) / 2)
+    s = running_sums(s, by, [F.col(p)], ["n"])
+    s = s.withColumn("mid", F.col("n_upto") - F.col("n") + (F.col("n") + 1) / 2)
     pos, n = F.sum("pos"), F.sum("n")
     auc = (F.sum(F.col("mid") * F.col("pos")) - pos * (pos + 1) / 2) / (pos * (n - pos))
     return s.groupBy(*by).agg(F.when((pos > 0) & (pos < n), auc).alias("auc"))
@@ -94,6 +96,6 @@ def robust_fusion(df: DataFrame, key: Sequence[str], value: str, floor: float, f
 def accept_threshold(df: DataFrame, p: str, y: str, target: float) -> DataFrame:
     """The lowest score from which running accuracy (best first) still meets the target, over distinct scores."""
     s = df.groupBy(p).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("hit"))
-    w = Window.orderBy(F.desc(p))
-    s = s.withColumn("acc", F.sum("hit").over(w) / F.sum("n").over(w)).withColumn("taken", F.sum("n").over(w))
-    return s.where(F.col("acc") >= target).agg(F.min(p).alias("tau"), F.max("taken").alias("accepted"))
+    s = running_sums(s, [], [F.desc(p)], ["n", "hit"])
+    met = s.where(F.col("hit_upto") / F.col("n_upto") >= target)
+    return met.agg(F.min(p).alias("tau"), F.max("n_upto").alias("accepted"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import panel
+from ..operators import panel, ranks
 from ..registry import query
 from ..sources.io import table
 
@@ -33,7 +33,8 @@ def pairs_growth(spark, sf_dir):
     o = _pairs(spark, sf_dir).where("is_valid")
     g = panel.annualised_growth(F.col("o_totalprice"), F.col("prev_o_totalprice"), F.col("gap_years"))
     o = o.select(F.year("o_orderdate").alias("year"), g.alias("g"))
-    return o.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("g"), 6).alias("median_pct"))
+    q = ranks.quantiles(o, ["year"], "g", {"median": 0.5}, {"n": F.lit(1)})
+    return q.select("year", "n", F.round("median", 6).alias("median_pct"))
 
 
 @query(_PAIRS + """
@@ -125,16 +126,19 @@ select year::int as year, pol as policy, round(avg(v), 6) as mean, round(median(
 from x group by all""")
 def winsor_sensitivity(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), F.col("l_extendedprice").alias("v"))
-    bounds = x.groupBy("year").agg(F.percentile("v", 0.05).alias("lo"), F.percentile("v", 0.95).alias("hi"))
+    x = x.groupBy("year", "v").agg(F.count(F.lit(1)).alias("k"))
+    bounds = ranks.quantiles(x, ["year"], "v", {"lo": 0.05, "hi": 0.95}, times="k")
     policies = F.explode(F.array(*[F.lit(p) for p in ("keep", "winsorise", "trim")]))
     x = x.join(F.broadcast(bounds), "year").withColumn("policy", policies)  # a row a year
     v, inside = F.col("v"), F.col("v").between(F.col("lo"), F.col("hi"))
     new = F.when(F.col("policy") == "winsorise", F.least(F.greatest(v, "lo"), "hi")).when(
         (F.col("policy") == "keep") | inside, v
     )
-    return x.withColumn("v", new).groupBy("year", "policy").agg(
-        F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"), F.count("v").alias("n")
-    )
+    x = x.withColumn("v", new)
+    sums = {"s": F.col("v") * F.col("k"), "n": F.when(F.col("v").isNull(), 0).otherwise(F.col("k"))}
+    q = ranks.quantiles(x, ["year", "policy"], "v", {"median": 0.5}, sums, "k")
+    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
+    return q.select("year", "policy", F.round(mean, 6).alias("mean"), F.round("median", 6).alias("median"), "n")
 
 
 @query("""
@@ -182,9 +186,12 @@ def within_between_std(spark, sf_dir):
   from lineitem group by 1""")
 def weighted_mean(spark, sf_dir):
     v, w = F.col("l_extendedprice"), F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.median(v), 6).alias("median"), F.round(F.avg(v), 6).alias("mean"),
-        F.round(F.sum(v * w) / F.sum(w), 6).alias("weighted"),
+    sums = {"n": F.lit(1), "met": v.isNotNull().cast("long"), "s": v, "vw": v * w, "w": w}
+    q = ranks.quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"median": 0.5}, sums)
+    return q.select(
+        "l_returnflag", "n", F.round("median", 6).alias("median"),
+        F.round(F.when(F.col("met") > 0, F.col("s") / F.col("met")), 6).alias("mean"),
+        F.round(F.when(F.col("w") != 0, F.col("vw") / F.col("w")), 6).alias("weighted"),
     )
 
 
@@ -273,8 +280,8 @@ select a.y::int as year, a.p as o_orderpriority, round(a.d, 6) as deviation, rou
 from d a left join d b on a.y = b.y + 1 and a.p = b.p""")
 def shift_self_join(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), "o_orderpriority", "o_totalprice")
-    s = o.groupBy("year", "o_orderpriority").agg(F.median("o_totalprice").alias("m"), F.count(F.lit(1)).alias("n"))
-    t = o.groupBy("year").agg(F.median("o_totalprice").alias("t"))
+    s = ranks.quantiles(o, ["year", "o_orderpriority"], "o_totalprice", {"m": 0.5}, {"n": F.lit(1)})
+    t = ranks.quantiles(o, ["year"], "o_totalprice", {"t": 0.5})
     d = s.where("n >= 15").join(F.broadcast(t), "year").withColumn("d", F.col("m") - F.col("t"))  # a row a year
     before = d.select((F.col("year") + 1).alias("year"), "o_orderpriority", F.col("d").alias("d0"))
     return d.join(before, ["year", "o_orderpriority"], "left").select(

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import records, stats
+from ..operators import ranks, records, stats
 from ..registry import query
 from ..sources.io import table
 from ..streaming import jobs
@@ -370,9 +370,9 @@ with f as (select doc_id, lang, row_number() over (partition by lang order by md
 select doc_id, case when r <= round(0.2 * n) then 'holdout' else 'development' end as split,
   case when r <= round(0.2 * n) then -1 else ((r - 1) % 5)::int end as cv_fold from f""")
 def oof_folds(spark, sf_dir):
-    d, w = table(spark, sf_dir, "documents").select("doc_id", "lang"), Window.partitionBy("lang")
-    order = w.orderBy(F.md5(F.concat(F.lit("s"), F.col("doc_id").cast("string"))), "doc_id")
-    d = d.withColumn("r", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(w))
-    out = F.col("r") <= F.round(0.2 * F.col("n"))
-    fold = F.when(out, -1).otherwise(((F.col("r") - 1) % 5).cast("int"))
+    h = F.md5(F.concat(F.lit("s"), F.col("doc_id").cast("string"))).alias("h")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", h, F.lit(1).alias("r"))
+    d = ranks.running_sums(d, ["lang"], [F.col("h"), F.col("doc_id")], ["r"])
+    out = F.col("r_upto") <= F.round(0.2 * F.col("r_all"))
+    fold = F.when(out, -1).otherwise(((F.col("r_upto") - 1) % 5).cast("int"))
     return d.select("doc_id", F.when(out, "holdout").otherwise("development").alias("split"), fold.alias("cv_fold"))
