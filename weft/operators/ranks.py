@@ -53,13 +53,25 @@ def quantiles(
         F.sum(F.when(F.col(value).isNotNull(), often).otherwise(0)).alias("_n"), *[F.sum(c).alias(k) for k, c in sums.items()]
     )
     run = running_sums(counts, by, [F.col(value)], ["_n"])
-    upto, found = F.col("_n_upto"), []
-    for name, p in points.items():
-        at = p * (F.col("_n_all") - 1)
+    found = between(run, by, value, "_n", {name: (p, F.lit(0), "_n_all") for name, p in points.items()}, list(sums))
+    return found.select(*by, *points, *sums)
+
+
+def between(
+    run: DataFrame, by: Sequence[str], value: str, n: str, points: dict[str, tuple[float, Column, str]],
+    sums: Sequence[str] = (),
+) -> DataFrame:
+    """Values of each group at the points p of the ranks from a start on: name to (p, start, column with how many).
+
+    `run` has running sums of `n`, how often each value occurs. Between two ranks it interpolates; no ranks give null.
+    """
+    upto, found = F.col(f"{n}_upto"), []
+    for name, (p, start, many) in points.items():
+        at = p * (F.col(many) - 1)
         for side, k in (("low", F.floor(at)), ("high", F.ceil(at))):
-            holds = (k < upto) & (k >= upto - F.col("_n"))
+            holds = (F.col(many) > 0) & (start + k < upto) & (start + k >= upto - F.col(n))
             found.append(F.max(F.when(holds, F.col(value))).alias(f"_{side}_{name}"))
         found.append(F.max(at - F.floor(at)).alias(f"_part_{name}"))
-    out = run.groupBy(*by).agg(*found, *[F.sum(k).alias(k) for k in sums])
-    between = lambda n: F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")
-    return out.select(*by, *[between(n).alias(n) for n in points], *sums)
+    out = run.groupBy(*by).agg(*found, *[F.sum(c).alias(c) for c in sums])
+    at = lambda c: F.col(f"_low_{c}") + (F.col(f"_high_{c}") - F.col(f"_low_{c}")) * F.col(f"_part_{c}")
+    return out.select(*by, *[at(c).alias(c) for c in points], *sums)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import panel, ranks
 from ..registry import query
 from ..sources.io import table
+from ..tables import shared_table
 
 _PAIRS = """
 with p as (
@@ -126,19 +127,28 @@ select year::int as year, pol as policy, round(avg(v), 6) as mean, round(median(
 from x group by all""")
 def winsor_sensitivity(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), F.col("l_extendedprice").alias("v"))
-    x = x.groupBy("year", "v").agg(F.count(F.lit(1)).alias("k"))
-    bounds = ranks.quantiles(x, ["year"], "v", {"lo": 0.05, "hi": 0.95}, times="k")
-    policies = F.explode(F.array(*[F.lit(p) for p in ("keep", "winsorise", "trim")]))
-    x = x.join(F.broadcast(bounds), "year").withColumn("policy", policies)  # a row a year
-    v, inside = F.col("v"), F.col("v").between(F.col("lo"), F.col("hi"))
-    new = F.when(F.col("policy") == "winsorise", F.least(F.greatest(v, "lo"), "hi")).when(
-        (F.col("policy") == "keep") | inside, v
-    )
-    x = x.withColumn("v", new)
-    sums = {"s": F.col("v") * F.col("k"), "n": F.when(F.col("v").isNull(), 0).otherwise(F.col("k"))}
-    q = ranks.quantiles(x, ["year", "policy"], "v", {"median": 0.5}, sums, "k")
-    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
-    return q.select("year", "policy", F.round(mean, 6).alias("mean"), F.round("median", 6).alias("median"), "n")
+    x = x.groupBy("year", "v").agg(F.count("v").alias("k"))  # 0 for null
+    run = shared_table(ranks.running_sums(x, ["year"], [F.col("v")], ["k"]))
+    bounds = ranks.between(run, ["year"], "v", "k", {"lo": (0.05, F.lit(0), "k_all"), "hi": (0.95, F.lit(0), "k_all")})
+    x = run.join(F.broadcast(bounds), "year")  # a row a year
+    v, k, inside = F.col("v"), F.col("k"), F.col("v").between(F.col("lo"), F.col("hi"))
+    clipped = F.least(F.greatest(v, "lo"), "hi")
+    sums = x.groupBy("year").agg(
+        F.sum(v * k).alias("s_keep"), F.sum(clipped * k).alias("s_winsorise"), F.sum(F.when(inside, v * k)).alias("s_trim"),
+        F.sum(k).alias("n_keep"), F.sum(k).alias("n_winsorise"), F.sum(F.when(inside, k).otherwise(0)).alias("n_trim"),
+        F.sum(F.when(v < F.col("lo"), k).otherwise(0)).alias("below"),
+    )
+    x = x.join(F.broadcast(sums.select("year", "below", "n_trim")), "year").withColumn("clipped", clipped)
+    mid = {"m_keep": (0.5, F.lit(0), "k_all"), "m_trim": (0.5, F.col("below"), "n_trim")}
+    m = ranks.between(x, ["year"], "v", "k", mid)
+    m = m.join(ranks.between(x, ["year"], "clipped", "k", {"m_winsorise": (0.5, F.lit(0), "k_all")}), "year")
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(p).alias("policy"), *[F.col(f"{c}_{p}").alias(c) for c in "smn"]) for p in ("keep", "winsorise", "trim")
+    ]))
+    return sums.join(m, "year").select("year", rows.alias("r")).select(
+        "year", "r.policy", F.round(F.col("r.s") / F.when(F.col("r.n") > 0, F.col("r.n")), 6).alias("mean"),
+        F.round("r.m", 6).alias("median"), "r.n",
+    )
 
 
 @query("""
