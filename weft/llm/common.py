@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..tables import forget, shared_table  # noqa: F401  the operators take them from here
 
 #: A side of a join is broadcast when it has at most this many narrow rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -20,37 +20,6 @@ BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 2**64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir).
-
-    Where it is unset, a session on one machine (a local master) gets a folder of its own; on a cluster that's an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="weft-one-machine-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def shared_table(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table._weft_path = path
-    return table
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes shared tables that nothing reads any more: all that was made of them is itself written."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._weft_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def in_batches(df: DataFrame, read: Callable[[Iterator], Iterator], schema: str, size: str = "4m") -> DataFrame:
     """df.mapInArrow(read) over batches of bounded bytes; a worker gives free memory back when its partition ends."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
