@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from .plans import estimates, linking, memory, models, panel, records, rules  # noqa: F401  they register their queries
+    from .plans import estimates, fits, linking, memory, models, panel, records, rules  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
