@@ -354,18 +354,21 @@ def _chunked(rows: DataFrame, by: str, tokens: int = CHUNK_TOKENS, docs: int = C
 
 
 def _keys(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(s, node) of each surviving node's keys."""
-    for _ in range(2):  # nodes that fall make others' tokens unique
+    """Table (s, node) of each surviving node's keys; deletes the table `pairs`."""
+    for last in (False, False, True):  # nodes that fall make others' tokens unique
         held = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("a")).join(nodes.select("node", "c"), "node")
-        held = small_side(shared_table(held.where("a >= c")))
-        pairs = pairs.join(held.select("node"), "node")
-        often = pairs.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-        pairs = shared_table(pairs.drop("df").join(often, "s"))
-    held = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("a")).join(nodes.select("node", "c"), "node")
-    held = small_side(shared_table(held.where("a >= c")))
-    order = Window.partitionBy("node").orderBy("df", "s")
-    keyed = pairs.join(held, "node").withColumn("at", F.row_number().over(order)).where("at <= a - c + 1")
-    return keyed.select("s", "node")
+        held = shared_table(held.where("a >= c"))
+        if last:
+            order = Window.partitionBy("node").orderBy("df", "s")
+            keyed = pairs.join(small_side(held), "node").withColumn("at", F.row_number().over(order)).where("at <= a - c + 1")
+            made = shared_table(keyed.select("s", "node"))
+        else:
+            kept = pairs.join(small_side(held).select("node"), "node")
+            often = kept.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+            made = shared_table(kept.drop("df").join(often, "s"))
+        forget(pairs, held)
+        pairs = made
+    return pairs
 
 
 def link_components(
@@ -375,7 +378,7 @@ def link_components(
     """One row per row of docs: doc_id, n_shingles, component_id."""
     docs = renamed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     seen = shared_table(in_batches(docs, _signatures(k, reach, percent), _LIGHT))
-    light = seen.drop("tokens")
+    light = shared_table(seen.drop("tokens"))
     whole = light.where("n > 0 and id is not null")
     by_set = whole.groupBy("sig").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("c").alias("c"))
     by_set = shared_table(by_set)
@@ -390,10 +393,13 @@ def link_components(
     dealt = in_batches(own, _deal(buckets), "bucket long, s array<long>, d array<long>")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
     pairs = in_batches(dealt, _repeats, "s long, d long").withColumnRenamed("d", "node")
-    keys = shared_table(_keys(shared_table(pairs), nodes))
+    pairs = shared_table(pairs)
+    forget(seen)
+    keys = _keys(pairs, nodes)
     hubs = keys.groupBy("s").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1")
     stars = keys.join(hubs.select("s", "hub"), "s").where("node <> hub")
     canopies = components(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    forget(keys)
     canopies = canopies.toDF("node", "canopy")
 
     # sets of the nodes in canopies; a node whose id is repeated has several
@@ -408,6 +414,7 @@ def link_components(
     many = sets.where("of > 1")
     if not many.isEmpty():
         edges = shared_table(edges.unionByName(_across(many, edges, percent, chunk_tokens, chunk_docs)))
+    forget(sets, members)
     edges = edges.unionByName(named.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")))
     found = components(edges)
     out = light.join(found, light["id"] == found["node"], "left")
