@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extract, jaccard, lm, mixing, packing, quality, substring, topk, urlfilter
+from . import chat, clusters, divergence, extract, jaccard, lm, mixing, packing, quality, substring, topk, urlfilter
 
 TOKENIZER = "byte_bpe_50k.json"
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -78,10 +78,19 @@ def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_read(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_read(spark, sf_dir, "documents"))
+
+
+def op13_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     own = (
         op1_chat_format, op2_html_extract, op3_sum_of_squares_packing, op4_exact_topk, op5_url_filter,
         op6_temperature_mixing, op7_substring_dedup, op8_host_rules, op9_jaccard_join, op10_backoff_scores,
+        op11_source_divergence, op13_drake_clusters,
     )
     return {f.__name__: f for f in own}
 
@@ -262,8 +271,81 @@ select doc_id, held_out, n_tokens, n_known, n as train_tokens, base_score, score
 """
 
 
+_DIVERGENCE = r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents
+), t as (
+  select r, lang, source, unnest(ws) as w from d
+), kept as (
+  select lang, w, count(*)::hugeint as n from t group by lang, w having count(distinct r) >= 10
+), v as (
+  select lang, count(*) as v, sum(n) as n from kept group by lang
+), c as (
+  select lang, source, w, count(*)::hugeint as c from t semi join kept using (lang, w) group by lang, source, w
+), g as (
+  select lang, source, coalesce(sum(c), 0) as n from (select distinct lang, source from d) left join c using (lang, source)
+  group by lang, source
+), p as (
+  select g.lang, g.source, k.w, coalesce(c.c, 0) as c, 1 + (1000000000 * (coalesce(c.c, 0) + 2)) // (g.n + 2 * v.v) as p
+  from g join v using (lang) join kept k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.w = k.w
+), q as (
+  select k.lang, k.w, 1 + (1000000000 * (k.n + 2)) // (v.n + 2 * v.v) as q from kept k join v using (lang)
+), met as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.w = b.w and a.source <> b.source group by all
+), found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+    left join met m on m.lang = a.lang and m.source = a.source and m.item = b.source
+  union all
+  select p.lang, p.source, 'term', p.w, ((p - q) * (p - q)) // (p + q) from p join q using (lang, w) where c > 0 and p > q
+), ranked as (
+  select lang, source, part, item, value::bigint as value,
+    row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found
+)
+select * from ranked where part = 'pair' or rank <= 10
+"""
+
+
+def _clustering(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds written out: a(i) assigns to the centroids c(i), which the round before made."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} as materialized (
+  select r, c, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+  from v cross join c{i}
+), a{i} as materialized (
+  select r, c, d from (select *, row_number() over (partition by r order by d, c) as k from d{i}) where k = 1
+)""")
+        if i < rounds:
+            steps.append(f"""s{i} as (
+  select c, pos, sum(e)::hugeint as s, count(*)::hugeint as n
+  from (select c, unnest(x) as e, unnest(range(len(x))) as pos from v join a{i} using (r)) group by c, pos
+), c{i + 1} as materialized (
+  select c{i}.c, coalesce(m.y, c{i}.y) as y from c{i} left join (
+    select c, list(((s - ((s % n) + n) % n) // n)::bigint order by pos) as y from s{i} group by c) m using (c)
+)""")
+    return f"""
+with v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda e: floor(1024 * e::double)::bigint) as x
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or isnan(e) or isinf(e))) = 0
+), c0 as materialized (
+  select (row_number() over (order by h nulls last, x) - 1)::int as c, x as y
+  from (select sha256('3:' || vec_id::varchar) as h, x from v order by h nulls last, x limit {k})
+), {", ".join(steps)}, shas as (
+  select c, sha256(array_to_string(y, ',')) as sha from c{rounds}
+)
+select vec_id, c as cluster, d as distance, sum(d) over (partition by c)::bigint as cluster_inertia,
+  sum(d) over ()::bigint as inertia, sha as centroid_sha256
+from a{rounds} join v using (r) join shas using (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": _CHAT, "op4_exact_topk": _TOPK, "op5_url_filter": _URLS, "op7_substring_dedup": _SUBSTRING,
         "op8_host_rules": _QUALITY, "op9_jaccard_join": _JACCARD, "op10_backoff_scores": _SCORES,
+        "op11_source_divergence": _DIVERGENCE, "op13_drake_clusters": _clustering(),
     }
