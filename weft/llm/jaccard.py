@@ -17,7 +17,8 @@ least `percent` / 100. Every link counts, but links are not listed: the result i
    length that remains in its subtree bound what any set below can share with an open set; sets out of reach are
    closed for the whole subtree, and a subtree without open sets is left. Pairs already in one component are closed.
 5. Canopies of several chunks: the chunks' components meet by representatives first; then all nodes outside a canopy's
-   largest component meet all its chunks. This misses no link, as pairs within a component need no test.
+   largest component meet all its chunks, or, where that is less work, the nodes of each key that still holds several components
+   meet. Neither misses a link, as linked nodes share a key, and pairs within a component need no test.
 
 Defined results: without words or text: an empty set, linked with nothing; a null id is linked with nothing and its
 component is null; rows that repeat an id are one node that unites their sets' links; an empty table gives no rows;
@@ -34,13 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import CHUNK_DOCS, CHUNK_TOKENS, Groups, across, chunked, holders, in_chunks
 from .common import Rolling, WordHashes, forget, in_batches, renamed, shared_table, slices, small_side
 from .graph import components
 
 PERCENT = 80
-CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 4096
-#: Bytes of the chunk's membership matrix up to which it is kept dense.
-DENSE = 1 << 26
 
 
 def shingles(text: str | None, k: int, memo: WordHashes, rolling: Rolling) -> np.ndarray:
@@ -186,43 +185,6 @@ def _sets(k: int):
     return read
 
 
-class Groups:
-    """Union-find over positions, with all labels kept flat."""
-
-    def __init__(self, labels: np.ndarray):
-        self.label = np.unique(labels, return_inverse=True)[1]
-
-    def join(self, a: int, b: int) -> None:
-        x, y = self.label[a], self.label[b]
-        if x != y:
-            self.label[self.label == max(x, y)] = min(x, y)
-
-
-def _holders(rank: np.ndarray, owner: np.ndarray, shared: int, sets: int):
-    """A function from tokens and positions of sets to how many of the tokens each of these sets holds."""
-    of = rank < shared
-    if shared * sets <= DENSE:
-        has = np.zeros((shared, sets), np.uint8)
-        has[rank[of], owner[of]] = 1
-
-        def dense(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-            if 4 * len(at) < sets:
-                return has[np.ix_(tokens, at)].sum(0, dtype=np.int64)
-            return has[tokens].sum(0, dtype=np.int64)[at]
-
-        return dense
-    order = np.argsort(rank[of], kind="stable")
-    posting = owner[of][order]
-    start = np.r_[0, np.cumsum(np.bincount(rank[of], minlength=shared))]
-
-    def count(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        n = start[tokens + 1] - start[tokens]
-        place = np.arange(n.sum()) + np.repeat(start[tokens] - np.cumsum(n) + n, n)
-        return np.bincount(posting[place], minlength=sets)[at]
-
-    return count
-
-
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
@@ -253,7 +215,6 @@ def tree_join(
     """New labels: the sets' groups after all links between sets of different groups.
 
     `visited` gathers the ranges of the trie's nodes that were entered (for tests)."""
-    groups = Groups(labels)
     token, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(-count, kind="stable")  # the global order: frequent first, so that paths are shared
     rank = np.empty(len(token), np.int64)
@@ -264,8 +225,8 @@ def tree_join(
     trie = Trie([np.sort(p[p < shared]) for p in np.split(rank, np.cumsum(lengths)[:-1])])
     place = np.empty(len(sets), np.int64)
     place[trie.walk] = np.arange(len(sets))
-    holders = _holders(rank, place[np.repeat(np.arange(len(sets)), lengths)], shared, len(sets))
-    size, groups.label = lengths[trie.walk], groups.label[trie.walk]
+    held = holders(rank, place[np.repeat(np.arange(len(sets)), lengths)], shared, len(sets))
+    size, groups = lengths[trie.walk], Groups(labels[trie.walk])
     path = np.array([len(p) for p in trie.paths], np.int64)
 
     def reach(low: int, high: int, depth: int, open_: np.ndarray, overlap: np.ndarray) -> np.ndarray:
@@ -291,7 +252,7 @@ def tree_join(
         end, tokens = trie.depth(low, high), trie.paths[low]
         while depth < end and len(open_):
             to = min(end, depth + step)
-            overlap = overlap + holders(tokens[depth:to], open_)
+            overlap = overlap + held(tokens[depth:to], open_)
             depth = to
             may = reach(low, high, depth, open_, overlap)
             open_, overlap = open_[may], overlap[may]
@@ -307,52 +268,6 @@ def tree_join(
     return out
 
 
-def _join_chunks(percent: int):
-    """Rows sorted by canopy, chunk to edges between labels that a link joins."""
-
-    def joined(rows: list[tuple]) -> pa.RecordBatch | None:
-        labels = np.array([r[0] for r in rows])
-        new = tree_join([r[1] for r in rows], labels, percent)
-        least = np.full(new.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, new, labels)
-        changed = labels != least[new]
-        if not changed.any():
-            return None
-        pairs = np.unique(np.stack([labels, least[new]], 1)[changed], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("canopy", "chunk", "label")), strict=True))
-            tokens = batch.column("tokens")
-            for i, (canopy, chunk, label) in enumerate(keys):
-                if (canopy, chunk) != now and rows:
-                    if (found := joined(rows)) is not None:
-                        yield found
-                    rows = []
-                now = canopy, chunk
-                rows.append((label, tokens[i].values.to_numpy(zero_copy_only=False).view(np.uint64)))
-        if rows and (found := joined(rows)) is not None:
-            yield found
-
-    return read
-
-
-def _in_chunks(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges from labels to the smaller label that they join, from rows of canopy, chunk (a string), label, tokens."""
-    dealt = sets.select("canopy", "chunk", "label", "tokens").repartition("canopy", "chunk")
-    return in_batches(dealt.sortWithinPartitions("canopy", "chunk"), _join_chunks(percent), "a long, b long")
-
-
-def _chunked(rows: DataFrame, by: str, tokens: int = CHUNK_TOKENS, docs: int = CHUNK_DOCS) -> DataFrame:
-    """Adds `of`, the number of chunks of each canopy, and `chunk`, a row's own."""
-    size = rows.groupBy("canopy").agg(
-        F.greatest(F.ceil(F.sum("n") / tokens), F.ceil(F.count(F.lit(1)) / docs)).cast("int").alias("of")
-    )
-    return rows.join(size, "canopy").withColumn("chunk", F.pmod(F.xxhash64(by), F.col("of")).cast("string"))
-
-
 def _keys(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Table (s, node) of each surviving node's keys; deletes the table `pairs`."""
     for last in (False, False, True):  # nodes that fall make others' tokens unique
@@ -364,8 +279,9 @@ def _keys(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             made = shared_table(keyed.select("s", "node"))
         else:
             kept = pairs.join(small_side(held).select("node"), "node")
-            often = kept.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+            often = shared_table(kept.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
             made = shared_table(kept.drop("df").join(often, "s"))
+            forget(often)
         forget(pairs, held)
         pairs = made
     return pairs
@@ -373,9 +289,9 @@ def _keys(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def link_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = PERCENT,
-    reach: float = 0.3, chunk_tokens: int = CHUNK_TOKENS, chunk_docs: int = CHUNK_DOCS,
+    reach: float = 0.3, chunk_tokens: int = CHUNK_TOKENS, chunk_docs: int = CHUNK_DOCS, trace: list | None = None,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id."""
+    """One row per row of docs: doc_id, n_shingles, component_id; `trace` gathers the work between chunks of large canopies."""
     docs = renamed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     seen = shared_table(in_batches(docs, _signatures(k, reach, percent), _LIGHT))
     light = shared_table(seen.drop("tokens"))
@@ -396,25 +312,27 @@ def link_components(
     pairs = shared_table(pairs)
     forget(seen)
     keys = _keys(pairs, nodes)
-    hubs = keys.groupBy("s").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    hubs = shared_table(keys.groupBy("s").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1"))
     stars = keys.join(hubs.select("s", "hub"), "s").where("node <> hub")
     canopies = components(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    forget(keys)
+    forget(hubs)
     canopies = canopies.toDF("node", "canopy")
 
     # sets of the nodes in canopies; a node whose id is repeated has several
     members = canopies.join(by_set.select("node", "sig", "n"), "node")
-    members = _chunked(members.withColumnRenamed("node", "label"), "label", chunk_tokens, chunk_docs)
+    members = chunked(members.withColumnRenamed("node", "label"), "label", chunk_tokens, chunk_docs)
     members = shared_table(members)
     ids = small_side(members.select(F.col("label").alias("id")).distinct())
     sets = in_batches(docs.join(ids, "id"), _sets(k), "id long, sig binary, tokens array<long>")
     sets = sets.join(members, (sets["sig"] == members["sig"]) & (sets["id"] == members["label"]))
     sets = shared_table(sets.select("canopy", "chunk", "of", "label", "n", "tokens"))
-    edges = shared_table(_in_chunks(sets, percent))
+    join = lambda labels, rows, _: tree_join(rows, labels, percent)
+    edges = shared_table(in_chunks(sets, join, []))
     many = sets.where("of > 1")
     if not many.isEmpty():
-        edges = shared_table(edges.unionByName(_across(many, edges, percent, chunk_tokens, chunk_docs)))
-    forget(sets, members)
+        more = across(many, edges, keys, join, [], chunk_tokens, chunk_docs, trace)
+        edges = shared_table(edges.unionByName(more))
+    forget(sets, members, keys)
     edges = edges.unionByName(named.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")))
     found = components(edges)
     out = light.join(found, light["id"] == found["node"], "left")
@@ -423,45 +341,6 @@ def link_components(
     )
 
 
-def _across(many: DataFrame, edges: DataFrame, percent: int, chunk_tokens: int, chunk_docs: int) -> DataFrame:
-    """Edges between chunks of the canopies that have several."""
-    root = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "label")
-    rows = many.drop("chunk", "of").withColumnRenamed("label", "own")
-    rows = rows.join(root.withColumnRenamed("label", "own"), "own", "left")
-    rows = rows.withColumn("label", F.coalesce("root", "own")).drop("root")
-    # representatives: the root and three more of each component of a chunk
-    pick = Window.partitionBy("canopy", "label").orderBy(F.col("own") != F.col("label"), F.xxhash64("own"), "n")
-    few = rows.withColumn("at", F.row_number().over(pick)).where("at <= 4")
-    first = shared_table(_in_chunks(_chunked(few, "own", chunk_tokens, chunk_docs), percent))
-    met = components(first).withColumnRenamed("node", "label")
-    rows = rows.join(met, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
-    rows = shared_table(rows)
-    parts = rows.groupBy("canopy", "label").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    largest = parts.groupBy("canopy").agg(
-        F.max(F.struct("tokens", "label")).alias("top"), F.count(F.lit(1)).alias("labels")
-    )
-    largest = largest.where("labels > 1").select("canopy", F.col("top.label").alias("top"))
-    rows = rows.join(largest, "canopy")
-    half = chunk_tokens // 2, chunk_docs // 2
-    inner = _chunked(rows, "own", *half).drop("chunk")
-    outer = _chunked(rows.where("label <> top"), "own", *half).drop("chunk")
-    place = F.pmod(F.xxhash64("own"), F.col("of"))
-    across = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sizes = lambda df, name: df.groupBy("canopy").agg(F.max("of").alias(name))
-    # each cell holds one chunk of all nodes and one of those outside the largest component
-    all_rows = inner.join(sizes(outer, "others"), "canopy").select(
-        "canopy", "label", "tokens", place.alias("i"), across("others").alias("j")
-    )
-    out_rows = outer.join(sizes(inner, "others"), "canopy").select(
-        "canopy", "label", "tokens", across("others").alias("i"), place.alias("j")
-    )
-    cells = all_rows.withColumn("i", F.col("i").cast("int")).unionByName(
-        out_rows.withColumn("j", F.col("j").cast("int")), allowMissingColumns=False
-    )
-    last = _in_chunks(cells.withColumn("chunk", F.concat_ws("-", "i", "j")), percent)
-    return first.unionByName(last)
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs but for those whose component has a smaller id; rows without id stay."""
     found = link_components(docs, id_col, text_col, **settings)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, clusters, divergence, extract, jaccard, lm, mixing, packing, quality, substring, topk, urlfilter
+from . import chat, clusters, divergence, extract, jaccard, lm, mixing, nearcopies, packing, quality, substring, topk, urlfilter
 
 TOKENIZER = "byte_bpe_50k.json"
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -82,6 +82,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_read(spark, sf_dir, "documents"))
 
 
+def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(_read(spark, sf_dir, "documents"))
+
+
 def op13_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_vectors(_read(spark, sf_dir, "embeddings"))
 
@@ -90,7 +94,7 @@ def queries() -> dict:
     own = (
         op1_chat_format, op2_html_extract, op3_sum_of_squares_packing, op4_exact_topk, op5_url_filter,
         op6_temperature_mixing, op7_substring_dedup, op8_host_rules, op9_jaccard_join, op10_backoff_scores,
-        op11_source_divergence, op13_drake_clusters,
+        op11_source_divergence, op12_superminhash, op13_drake_clusters,
     )
     return {f.__name__: f for f in own}
 
@@ -271,6 +275,9 @@ select doc_id, held_out, n_tokens, n_known, n as train_tokens, base_score, score
 """
 
 
+_NEAR_COPIES = f"select *, doc_id = component_id as kept from ({_JACCARD.replace('180 * o >= 80', '185 * o >= 85')})"
+
+
 _DIVERGENCE = r"""
 with d as (
   select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
@@ -347,5 +354,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": _CHAT, "op4_exact_topk": _TOPK, "op5_url_filter": _URLS, "op7_substring_dedup": _SUBSTRING,
         "op8_host_rules": _QUALITY, "op9_jaccard_join": _JACCARD, "op10_backoff_scores": _SCORES,
-        "op11_source_divergence": _DIVERGENCE, "op13_drake_clusters": _clustering(),
+        "op11_source_divergence": _DIVERGENCE, "op12_superminhash": _NEAR_COPIES, "op13_drake_clusters": _clustering(),
     }
