@@ -169,7 +169,7 @@ def across(
     inner = chunked(groups, "own", *half).drop("chunk")
     outer = chunked(groups.where("label <> top"), "own", *half).drop("chunk")
     place = F.pmod(F.xxhash64("own"), F.col("of")).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sizes = lambda df, name: shared_table(df.groupBy("canopy").agg(F.max("of").alias(name)))
     # each cell holds one chunk of all sets and one of those outside the largest label
     carried = ["canopy", "label", "tokens", *extra]

@@ -233,8 +233,8 @@ def tournament(stations: int) -> list[tuple[int, int, int]]:
     for r in range(n - 1):
         for k in range(n // 2):
             a, b = (n - 1, r) if k == 0 else ((r + k) % (n - 1), (r - k) % (n - 1))
-            if max(a, b) < stations:
-                out.append((r, a, b) if (r + k) % 2 else (r, b, a))
+            if max(a, b) < stations:  # by parity each hosts about half of its meetings
+                out.append((r, min(a, b), max(a, b)) if (a + b) % 2 else (r, max(a, b), min(a, b)))
     return out
 
 

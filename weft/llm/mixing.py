@@ -88,7 +88,7 @@ def mix_sources(
     tokens = words_of(text)
     weights = shared_table(source_weights(docs.select(source.alias("source"), tokens.alias("tokens")), max_repeats, target_entropy))
     dealt = F.greatest(F.lit(1), F.ceil(F.col("docs") / block_docs)).cast("long")
-    weights = weights.select(F.col("source").alias("_weft_key"), "repeats", dealt.alias("blocks"))
+    weights = weights.select(F.col("source").alias("_weft_key"), F.col("repeats").alias("_weft_repeats"), dealt.alias("_weft_blocks"))
     if weights.count() <= BROADCAST_ROWS:
         weights = F.broadcast(weights)
     kept = docs if keep_text else docs.select(F.col(f"`{id_col}`"), source, F.length(text).alias("_weft_chars"), text)
@@ -96,15 +96,15 @@ def mix_sources(
     if not keep_text:
         rows = rows.drop(text_col)
     rows = rows.join(weights, source.eqNullSafe(F.col("_weft_key")), "inner")
-    rows = rows.withColumn("_weft_block", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), F.col("blocks")))
+    rows = rows.withColumn("_weft_block", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), F.col("_weft_blocks")))
     ident = [F.xxhash64(F.lit(seed + 1), F.col(f"`{id_col}`")), F.col(f"`{id_col}`"), F.col("_weft_tokens")]
     order = Window.partitionBy(source, "_weft_block").orderBy(*ident)
     block = Window.partitionBy(source, "_weft_block")
     spent = F.sum("_weft_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    part = F.col("repeats") - F.floor("repeats")
+    part = F.col("_weft_repeats") - F.floor("_weft_repeats")
     rows = rows.withColumn("_weft_rank", F.row_number().over(order).cast("long"))
     extra = (spent - F.col("_weft_tokens") / 2 <= part * F.sum("_weft_tokens").over(block)) & (F.col("_weft_tokens") > 0)
-    rounds = F.when(F.col("_weft_tokens") > 0, F.floor("repeats") + (extra & (part > 0)).cast("long")).otherwise(F.lit(1))
+    rounds = F.when(F.col("_weft_tokens") > 0, F.floor("_weft_repeats") + (extra & (part > 0)).cast("long")).otherwise(F.lit(1))
     rows = rows.withColumn("_weft_rounds", rounds.cast("int"))
     rows = rows.withColumn("_weft_round", F.explode(F.sequence(F.lit(0), F.col("_weft_rounds") - 1)))
-    return rows.withColumn("_weft_source", source).drop("_weft_key", "repeats", "blocks", "_weft_rounds", "_weft_chars")
+    return rows.withColumn("_weft_source", source).drop("_weft_key", "_weft_repeats", "_weft_blocks", "_weft_rounds", "_weft_chars")

@@ -122,8 +122,8 @@ def _pack(rows_a_block: int):
 
     def packed(block: int, dims: int, ids: list, xs: list) -> tuple:
         x = np.array(xs, np.int64).reshape(len(xs), dims)
-        most = np.abs(x).max(initial=0)
-        if int(most) ** 2 * max(1, dims) >= LIMIT:
+        most = max(-int(x.min(initial=0)), int(x.max(initial=0)))  # the least 64-bit value has no absolute value
+        if most**2 * max(1, dims) >= LIMIT:
             raise ValueError("components are beyond what 64-bit scores hold")
         kind = np.int8 if most < 2**7 else np.int16 if most < 2**15 else np.int64
         return block, dims, len(ids), np.array(ids, np.int64).tobytes(), x.astype(kind).tobytes()
