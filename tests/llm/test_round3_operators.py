@@ -205,8 +205,8 @@ def test_verification_leaves_sets_of_one_group():
 def test_a_giant_canopy_with_few_links_takes_linear_work(spark, operator):
     """A ring of documents, each sharing half of its words with its neighbours: one canopy, hardly a link."""
     run = nearcopies.near_copies if operator == "near_copies" else jaccard.link_components
-    settings = {"percent": 80, "reach": 0.9} if operator == "jaccard" else {"bands": 84, "rows": 3}
-    n = 120
+    settings = {"percent": 80, "reach": 0.9} if operator == "jaccard" else {"bands": 84, "rows": 2}
+    n = 200
     part = [[f"p{i}w{j}" for j in range(40)] for i in range(n)]
     texts = [(i, " ".join(part[i] + part[(i + 1) % n])) for i in range(n)]
     texts.append((n, " ".join([*part[5], *part[6][:-1], "other"])))
@@ -214,7 +214,7 @@ def test_a_giant_canopy_with_few_links_takes_linear_work(spark, operator):
     got = run(documents(spark, texts), chunk_docs=8, chunk_tokens=10**6, trace=trace, **settings).collect()
     assert [r["doc_id"] for r in got if r["component_id"] != r["doc_id"]] == [n]
     all_to_all, by_keys = map(sum, zip(*trace, strict=True))
-    assert all_to_all > n * n / 4 and sum(min(t) for t in trace) < 30 * n, (all_to_all, by_keys)
+    assert all_to_all > n * n / 4 and sum(min(t) for t in trace) < 40 * n, (all_to_all, by_keys)
 
 
 # clusters -----------------------------------------------------------------------------------------------------------
