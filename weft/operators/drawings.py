@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .linking import cells, one_to_one
+from .linking import cells
+from .rounds import one_to_one
 
 # Texts of grid labels, and a line that holds a spacing alone.
 LETTER, NUMBER = r"^[A-Z]{1,2}(\.\d)?'?$", r"^\d{1,2}(\.\d)?'?$"

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import dropped
+
 # Pairs of characters that readers take for each other, and one member for each chain of such pairs.
 CONFUSABLE = "01 17 38 56 69 49 0O 1I 5S 8B 2Z -/".split()
 FOLD_FROM, FOLD_TO = "17OI8B569SZ/", "00003344442-"
@@ -120,60 +121,19 @@ def overlapping(boxes: DataFrame, other: DataFrame, size: float) -> DataFrame:
     return pairs.where(share & (F.floor(x / size) == F.col("cx")) & (F.floor(y / size) == F.col("cy"))).drop("cx", "cy")
 
 
-def one_to_one(pairs: DataFrame) -> DataFrame:
-    """page, a, b, cost of pairs taken greedily by (cost, a, b) while both ends are free; pairs: page, a, b, cost.
-
-    A page's pairs are gathered in one task in batches of rows, as the choice is sequential: candidates have to be cut to
-    pairs within reach before. Pairs with nulls take no part; repeated pairs count once.
-    """
-    whole = pairs.where("page is not null and a is not null and b is not null and cost is not null").distinct()
-    dealt = whole.select("page", "cost", "a", "b").repartition("page").sortWithinPartitions("page", "cost", "a", "b")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, left, right = None, set(), set()
-        for batch in batches:
-            taken = []
-            for i, (p, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page", "a", "b")), strict=True)):
-                if p != page:
-                    page, left, right = p, set(), set()
-                if a not in left and b not in right:
-                    left.add(a)
-                    right.add(b)
-                    taken.append(i)
-            yield batch.take(pa.array(taken, pa.int64()))
-
-    return dealt.mapInArrow(read, dealt.schema)
-
-
 def longest_texts(boxes: DataFrame, size: float, share: float = 0.6) -> DataFrame:
     """Boxes that stay when, from the longest text down, each drops that a kept one covers by more than `share` of its area.
 
     boxes: page, id, x0, y0, x1, y1, text. Only boxes with a longer (or equal and smaller id) box over them can drop;
-    these pairs, found over a grid, are decided in order page by page.
+    these pairs, found over a grid, are decided in rounds.
     """
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     width = F.least("x1", "b_x1") - F.greatest("x0", "b_x0")
     height = F.least("y1", "b_y1") - F.greatest("y0", "b_y0")
     first = (F.length("b_text") > F.length("text")) | ((F.length("b_text") == F.length("text")) & (F.col("b_id") < F.col("id")))
     over = overlapping(boxes, boxes, size).where(first & (width * height > share * area))
-    asked = over.groupBy("page", "id", F.length("text").alias("n")).agg(F.collect_set("b_id").alias("by"))
-    dealt = asked.repartition("page").sortWithinPartitions("page", F.desc("n"), "id")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, gone = None, set()
-        for batch in batches:
-            out = []
-            for p, i, by in zip(*(batch.column(c).to_pylist() for c in ("page", "id", "by")), strict=True):
-                if p != page:
-                    page, gone = p, set()
-                if not gone.issuperset(by):
-                    gone.add(i)
-                    out.append((p, i))
-            columns = list(zip(*out, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, batch.column(k).type) for c, k in zip(columns, ("page", "id"), strict=True)], ["page", "id"])
-
-    dropped = dealt.mapInArrow(read, asked.select("page", "id").schema)
-    return boxes.join(dropped, ["page", "id"], "left_anti")
+    fallen = dropped(over.select("page", "id", F.col("b_id").alias("by")))
+    return boxes.join(fallen, ["page", "id"], "left_anti")
 
 
 def bracketed(points: DataFrame, lines: list[tuple[str, float]], x: str, overhang: float = 1.5, near: float = 0.4) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..operators import linking
+from ..operators import cascade, linking, rounds
 from ..registry import query
 from ..sources.io import table
 
@@ -87,7 +87,7 @@ def greedy_assign(spark, sf_dir):
     b = _boxes(spark, sf_dir)
     pairs = linking.overlapping(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 16.0)
     cost = F.abs(F.col("x0") - F.col("b_x0")) + F.abs(F.col("y0") - F.col("b_y0"))
-    return linking.one_to_one(pairs.select("page", F.col("id").alias("a"), F.col("b_id").alias("b"), cost.alias("cost")))
+    return rounds.one_to_one(pairs.select("page", F.col("id").alias("a"), F.col("b_id").alias("b"), cost.alias("cost")))
 
 
 @query("""
@@ -209,3 +209,45 @@ def callout_parse(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in lines], "line string").select(
         "line", F.regexp_count(t, F.lit(one)).alias("n"), got(one, 1).cast("int").alias("quantity"), got(one, 2).alias("size"), inch.alias("spacing"), t.alias("text")
     )
+
+
+def _versions(spark, sf_dir):
+    """Orders as elements and their lines as parts, and a second version of the parts with planted changes."""
+    key = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    order = Window.partitionBy("l_orderkey").orderBy(*key)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *key).withColumn("id", F.row_number().over(order).cast("long"))
+    gap = F.when(F.col("l_partkey") % 3 > 0, (100 + 10 * (F.col("l_partkey") % 20)).cast("long"))
+    qty = F.when(F.col("l_suppkey") % 7 > 0, F.col("l_quantity").cast("long"))
+    plan = lines.select(F.col("l_orderkey").alias("el"), "id", (F.col("l_suppkey") % 4).cast("long").alias("size"), qty.alias("qty"), gap.alias("gap"))
+    change = (F.col("el") * 31 + F.col("size") * 7 + F.col("id") * 3) % 20
+    half = F.floor(F.col("qty") / 2)
+    as_is = F.struct(
+        (F.col("id") * 10).alias("id"), F.when(change == 4, (F.col("size") + 1) % 4).otherwise(F.col("size")).alias("size"),
+        F.when(change == 1, F.col("qty") + 5).when(change == 3, F.col("qty") * 3).otherwise(F.col("qty")).alias("qty"),
+        F.when(change == 5, F.col("gap") + 50).otherwise(F.col("gap")).alias("gap"),
+    )
+    part = lambda i, q: F.struct((F.col("id") * 10 + i).alias("id"), "size", q.alias("qty"), F.lit(None).cast("long").alias("gap"))
+    parts = F.when(change == 0, F.array().cast("array<struct<id:long,size:long,qty:long,gap:long>>"))
+    parts = parts.when((change == 2) & (F.col("qty") > 1), F.array(part(0, half), part(1, F.col("qty") - half))).otherwise(F.array(as_is))
+    return plan, plan.withColumn("s", F.explode(parts)).select("el", "s.*")
+
+
+@query()
+def version_cascade(spark, sf_dir):
+    """Lines of all orders compared with their second version, by tiers."""
+    out = cascade.compare_parts(*_versions(spark, sf_dir))
+    return out.select("el", "plan_id", "tier", F.array_join("shop_ids", ",").alias("shop_ids"), F.array_join("differs", ",").alias("differs"))
+
+
+@query()
+def content_match(spark, sf_dir):
+    """Orders found again in a version without keys: by the parts they hold and the nearest day."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.datediff("o_orderdate", F.lit("1992-01-01")).alias("day"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    part = F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))
+    held = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    plan = held.select(F.col("o_orderkey").alias("el"), F.col("o_orderpriority").alias("kind"), F.col("day").cast("double").alias("place"), part.alias("part"))
+    moved = F.col("place") + F.col("el") % 7 - 3
+    shop = plan.where((F.col("el") % 11 != 0) & ((F.col("el") + F.hash("part")) % 13 != 0))
+    shop = shop.select((F.col("el") * 3 + 1).alias("el"), "kind", moved.alias("place"), "part")
+    return cascade.match_content(plan, shop, 30.0)
