@@ -196,18 +196,23 @@ def vocabulary_repair(spark, sf_dir):
 
 
 @query(r"""
-select line, n, quantity, size, spacing, text from (values
-  ('12-15M @ 200 B.E.W.', 1, 12, '15M', 200, '12-15M @ 200 B.E.W.'), ('I0-2OM@30O TOP, 4-25M', 2, 10, '20M', 300, '10-20M@300 TOP, 4-25M'), ('15M @ 12"', 1, null, '15M', 305, '15M @ 12"'),
-  ('no bars here', 0, null, null, null, 'no bars here'), ('', 0, null, null, null, '')) t(line, n, quantity, size, spacing, text)""")
+with p as (select p_partkey, p_partkey % 4 as k, p_size, p_name, (p_size + 10)::varchar as q, (100 + p_partkey % 20 * 10)::int as gap from part)
+select p_partkey, case k when 3 then 0 when 1 then 2 else 1 end::int as n, case when k in (0, 1) then q::int end as quantity,
+  case k when 1 then '20M' when 3 then null else '15M' end as size, case k when 0 then gap when 1 then 300 when 2 then round(p_size * 25.4)::int end as spacing,
+  case k when 0 then q || '-15M @ ' || gap || ' B.E.W.' when 1 then q || '-20M@300 TOP, 4-25M' when 2 then '15M @ ' || p_size || '"' else p_name end as text
+from p""")
 def callout_parse(spark, sf_dir):
-    """Callouts of bars: quantity, size, spacing in millimetres or inches, after repair of look-alike letters."""
-    lines = ["12-15M @ 200 B.E.W.", "I0-2OM@30O TOP, 4-25M", '15M @ 12"', "no bars here", ""]
+    """Callouts of bars, made from parts: quantity, size, spacing in millimetres or inches, after repair of look-alike letters."""
+    k, q = F.col("p_partkey") % 4, (F.col("p_size") + 10).cast("string")
+    misread = F.concat(F.substring(q, 1, 1), F.translate(F.substring(q, 2, 9), "01", "OI"))
+    line = F.when(k == 0, F.concat(q, F.lit("-15M @ "), (100 + F.col("p_partkey") % 20 * 10).cast("string"), F.lit(" B.E.W.")))
+    line = line.when(k == 1, F.concat(misread, F.lit("-2OM@30O TOP, 4-25M"))).when(k == 2, F.concat(F.lit("15M @ "), "p_size", F.lit('"'))).otherwise(F.col("p_name"))
     t = R.repaired_digits(F.col("line"))
     one, far = r"(?:(\d+)-)?(\d{2}M)", r"\d{2}M\s*@\s*(\d+)(\"?)"
     got = lambda p, i: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
     inch = F.when(got(far, 2) == '"', F.round(got(far, 1).cast("int") * 25.4)).otherwise(got(far, 1)).cast("int")
-    return spark.createDataFrame([(x,) for x in lines], "line string").select(
-        "line", F.regexp_count(t, F.lit(one)).alias("n"), got(one, 1).cast("int").alias("quantity"), got(one, 2).alias("size"), inch.alias("spacing"), t.alias("text")
+    return table(spark, sf_dir, "part").withColumn("line", line).select(
+        "p_partkey", F.regexp_count(t, F.lit(one)).alias("n"), got(one, 1).cast("int").alias("quantity"), got(one, 2).alias("size"), inch.alias("spacing"), t.alias("text")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import memory
+from ..operators import memory, ranks
 from ..registry import query
 from ..sources.io import table
 from ..streaming import jobs
@@ -232,9 +232,9 @@ with p as (select a.s_nationkey, abs(a.s_acctbal - b.s_acctbal) as d from suppli
 select s_nationkey, count(*) as pairs, round(avg(d), 6) as mean_gap from p group by 1""")
 def pair_gaps(spark, sf_dir):
     """Mean gap of all pairs of a nation's suppliers, from ranks alone: no pair is made."""
-    w = Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")
-    r = table(spark, sf_dir, "supplier").select("s_nationkey", "s_acctbal", F.row_number().over(w).alias("i"))
-    n, i = F.count(F.lit(1)), F.col("i")
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", "s_acctbal", "s_suppkey", F.lit(1).cast("long").alias("one"))
+    r = ranks.running_sums(rows, ["s_nationkey"], [F.col("s_acctbal"), F.col("s_suppkey")], ["one"])
+    n, i = F.count(F.lit(1)), F.col("one_upto")
     g = r.groupBy("s_nationkey").agg(n.alias("n"), F.sum(2 * i * F.col("s_acctbal")).alias("up"), F.sum("s_acctbal").alias("s")).where("n > 1")
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return g.select("s_nationkey", pairs.cast("long").alias("pairs"), F.round((F.col("up") - (F.col("n") + 1) * F.col("s")) / pairs, 6).alias("mean_gap"))

@@ -209,11 +209,14 @@ def nested_indicators(spark, sf_dir):
 
 
 @query("""
-select label, grid::double as grid from (values ('A', 1.0), ('Z', 26.0), ('AA', 27.0), ('AZ', 52.0), ('BA', 53.0), ('B.1', 2.1), ('12', 12.0),
-  ('12.5', 12.5), ('a', null), ('', null), ('A-1', null)) t(label, grid)""")
+select p_partkey, case p_partkey % 4 when 0 then p_size when 1 then p_size + (p_partkey % 10) / 10 when 2 then p_size + 0.5 end::double as grid from part""")
 def grid_numbers(spark, sf_dir):
-    labels = ["A", "Z", "AA", "AZ", "BA", "B.1", "12", "12.5", "a", "", "A-1"]
-    return spark.createDataFrame([(x,) for x in labels], "label string").select("label", R.grid_number(F.col("label")).alias("grid"))
+    """Grid labels made from parts: letters, letters with a tenth, numbers, and names, which are none."""
+    k, i = F.col("p_partkey") % 4, F.col("p_size") - 1
+    letters = F.concat(F.when(i > 25, F.char(64 + F.floor(i / 26))).otherwise(""), F.char(65 + i % 26))
+    label = F.when(k == 0, letters).when(k == 1, F.concat(letters, F.lit("."), (F.col("p_partkey") % 10).cast("string")))
+    label = label.when(k == 2, F.concat("p_size", F.lit(".5"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", R.grid_number(label).alias("grid"))
 
 
 @query(r"""
@@ -232,12 +235,14 @@ def french_numbers(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", R.french_number(F.col("s_acctbal"), 2).alias("shown"))
 
 
-@query("""
-select text, ok from (values ('2024-01-02T03:04:05Z', true), ('2024-01-02T03:04:05+01:00', true), ('2024-01-02T03:04:05', false),
-  ('2024-01-02', false), ('2024-13-02T03:04:05Z', false), ('', false)) t(text, ok)""")
+@query("select event_id, event_id % 5 < 2 as ok from events")
 def zoned_times(spark, sf_dir):
-    texts = ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05+01:00", "2024-01-02T03:04:05", "2024-01-02", "2024-13-02T03:04:05Z", ""]
-    return spark.createDataFrame([(t,) for t in texts], "text string").select("text", R.zoned(F.col("text")).isNotNull().alias("ok"))
+    """Times of events written with a zone, without one, as days alone and with a month that doesn't exist."""
+    k, day = F.col("event_id") % 5, F.date_format("ts", "yyyy-MM-dd")
+    time = F.date_format("ts", "HH:mm:ss")
+    text = F.when(k == 0, F.concat(day, F.lit("T"), time, F.lit("Z"))).when(k == 1, F.concat(day, F.lit("T"), time, F.lit(".25+01:00")))
+    text = text.when(k == 2, F.concat(day, F.lit("T"), time)).when(k == 3, day).otherwise(F.concat(F.lit("2024-13-02T"), time, F.lit("Z")))
+    return table(spark, sf_dir, "events").select("event_id", R.zoned(text).isNotNull().alias("ok"))
 
 
 @query("""
