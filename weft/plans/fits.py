@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fits, stats
+from ..operators import fits, forest, stats
 from ..registry import query
 from ..sources.io import table
 
@@ -325,3 +325,33 @@ def level_alignment(spark, sf_dir):
     votes = rows.groupBy("kind", "level", "target").agg(F.count_if(near).alias("votes"))
     sizes = rows.groupBy("kind", "level").agg(F.count(F.lit(1)).alias("size"))
     return fits.ordered_alignment(votes.join(sizes, ["kind", "level"]))
+
+
+def _grown(spark, trees, ends):
+    rows = []
+    for m, t in enumerate(trees):
+        rows += [(m, n, f"x{f + 1}", ends[f][b] if b < len(ends[f]) else None, round(gain, 3), None) for n, (f, b, gain) in t.splits.items()]
+        rows += [(m, n, None, None, None, round(v, 6)) for n, v in t.values.items()]
+    return spark.createDataFrame(rows, "member int, node int, feature string, upto double, gain double, value double")
+
+
+@query()
+def forest_fit(spark, sf_dir):
+    """A forest of 20 trees of depth 4 on bootstrap members, rising with quantity and falling with discount: splits and leaves."""
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "x1", "y")
+    data = forest.Binned(_rows(spark, sf_dir), ["x1", "x2", "x3"], key, ["y"])
+    trees = forest.forest(data, "y", [1, -1, 0])
+    data.forget()
+    return _grown(spark, trees, data.ends)
+
+
+@query()
+def boosted_trees(spark, sf_dir):
+    """Boosted trees of depth 3 under the same directions, and the error that is left after each."""
+    data = forest.Binned(_rows(spark, sf_dir), ["x1", "x2", "x3"], F.lit(0), ["y"])
+    start, trees = forest.boost(data, "y", [1, -1, 0], 5, 0.3, 3)
+    bins = F.col("bins")
+    errors = [F.round(F.avg(F.pow(F.col("y") - forest.boosted(start, trees[:i], 0.3, 3, bins), 2)), 4) for i in range(len(trees) + 1)]
+    left = data.rows.agg(*[e.alias(str(i)) for i, e in enumerate(errors)]).collect()[0]
+    data.forget()
+    return spark.createDataFrame([(i, len(t.splits) if t else 0, left[i]) for i, t in enumerate([None, *trees])], "round int, splits int, error double")
