@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fits, forest, stats
+from ..operators import fits, forest, splines, stats
 from ..registry import query
 from ..sources.io import table
 
@@ -355,3 +355,51 @@ def boosted_trees(spark, sf_dir):
     left = data.rows.agg(*[e.alias(str(i)) for i, e in enumerate(errors)]).collect()[0]
     data.forget()
     return spark.createDataFrame([(i, len(t.splits) if t else 0, left[i]) for i, t in enumerate([None, *trees])], "round int, splits int, error double")
+
+
+_KNOTS = [0.1, 1.0, 2.0, 3.5, 5.0]
+
+
+def _basis_sql(i: int, p: int, t: list[float]) -> str:
+    """A B-spline by its recurrence, in full; the last interval holds its upper end."""
+    if p == 0:
+        last = t[i + 1] == t[-1] and t[i] < t[i + 1]
+        return f"(x1 >= {t[i]} and x1 {'<=' if last else '<'} {t[i + 1]})::int::double"
+    parts = [f"(x1 - {t[i]}::double) / ({t[i + p]}::double - {t[i]}) * {_basis_sql(i, p - 1, t)}"] if t[i + p] > t[i] else []
+    parts += [f"({t[i + p + 1]}::double - x1) / ({t[i + p + 1]}::double - {t[i + 1]}) * {_basis_sql(i + 1, p - 1, t)}"] if t[i + p + 1] > t[i + 1] else []
+    return f"({' + '.join(parts)})"
+
+
+_AXIS = splines.Axis("x1", _KNOTS)
+
+
+@query(_ROWS + " union all ".join(["", *[f"select {i}::int as place, round(sum({_basis_sql(i, 3, _AXIS.full)}), 4) as total, round(sum({_basis_sql(i, 3, _AXIS.full)} * y), 2) as with_y from r" for i in range(_AXIS.size)]])[11:])
+def spline_basis(spark, sf_dir):
+    """Sums of all cubic B-splines of one feature, alone and with the target."""
+    g, b, _ = splines.normal_equations(_rows(spark, sf_dir), [_AXIS], "y")
+    # the functions add up to one, so that a row of products adds up to the function's own sum
+    return spark.createDataFrame([(i, round(float(g[i].sum()), 4), round(float(b[i]), 2)) for i in range(_AXIS.size)], "place int, total double, with_y double")
+
+
+def _axes(rows):
+    return [splines.Axis("x1", splines.quantile_knots(rows, "x1", 5)), splines.Axis("x2", splines.quantile_knots(rows, "x2", 3), 2)]
+
+
+@query()
+def cubic_fit(spark, sf_dir):
+    """A cubic spline of one feature with knots at its quantiles, under a difference penalty."""
+    rows = _rows(spark, sf_dir)
+    axis = _axes(rows)[0]
+    c = splines.fitted(rows, [axis], "y", 2.0)
+    return spark.createDataFrame([(i, round(float(v), 5)) for i, v in enumerate(c)], "place int, coefficient double")
+
+
+@query()
+def tensor_fit(spark, sf_dir):
+    """A tensor product of two splines, and its error beside that of the mean, by fold."""
+    rows = _rows(spark, sf_dir)
+    axes = _axes(rows)
+    out = splines.predicted(rows, axes, splines.fitted(rows, axes, "y", 2.0), "p")
+    mean = rows.agg(F.avg("y")).collect()[0][0]
+    error = lambda p: F.round(F.avg(F.pow(F.col("y") - p, 2)), 4)
+    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), error(F.col("p")).alias("error"), error(F.lit(mean)).alias("of_the_mean"))
