@@ -169,3 +169,26 @@ def test_content_match_finds_the_versions_of_orders(spark):
     right = [r for r in got if r["other"] is not None and r["other"] == 3 * r["el"] + 1]
     assert len(right) > 0.8 * sum(r["other"] is not None for r in got)
     assert {r["verdict"] for r in got} == {"same", "differs", None}
+
+
+@pytest.mark.parametrize("finish", [0, 10**6])
+def test_revisions_equal_tiers_in_order(spark, finish):
+    import math
+
+    old, new = ([tuple(r) for r in df.collect()] for df in queries._revisions(spark, SF))
+    old += [(10**7, 1, "L5", 0, None, None), (10**7 + 1, None, "L5", 0, 1.0, 1.0), (10**7 + 2, 1, None, None, 1.0, 1.0)]
+    schema = "id long, kind int, label string, page long, x double, y double"
+    got = cascade.pair_revisions(spark.createDataFrame([*old, (None, 1, "L5", 0, 1.0, 1.0)], schema), spark.createDataFrame(new, schema), 40.0, finish).collect()
+    free, left, expected = {o[0]: o for o in old}, {n[0]: n for n in new}, set()
+    apart = lambda o, n: math.inf if None in (*o[4:], *n[4:]) else math.hypot(o[4] - n[4], o[5] - n[5])
+    same = lambda o, n, *at: all(o[i] is not None and o[i] == n[i] for i in at)
+    tiers = {"page": lambda o, n: same(o, n, 1, 2, 3), "label": lambda o, n: same(o, n, 1, 2),
+             "place": lambda o, n: same(o, n, 1, 3) and None in (o[2], n[2]) and apart(o, n) <= 40}
+    for tier, fits in tiers.items():
+        for d, i, j in sorted((apart(o, n), o[0], n[0]) for o in free.values() for n in left.values() if fits(o, n)):
+            if i in free and j in left:
+                del free[i], left[j]
+                expected.add((i, j, tier))
+    expected |= {(i, None, "removed") for i in free} | {(None, j, "added") for j in left}
+    assert {t for _, _, t in expected} == {"page", "label", "place", "removed", "added"}
+    assert len(got) == len(expected) and {(r["old_id"], r["new_id"], r["tier"]) for r in got} == expected

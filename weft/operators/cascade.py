@@ -165,3 +165,42 @@ def match_content(plan: DataFrame, shop: DataFrame, near: float, finish: int = F
     verdict = F.when(F.col("missing") == 0, "same").when(F.col("missing") > 0, "differs")
     out = a.select("a").join(won, "a", "left")
     return out.select(F.col("a").alias("el"), F.col("b").alias("other"), "shared", verdict.alias("verdict"), "distance")
+
+
+def pair_revisions(old: DataFrame, new: DataFrame, near: float = 40.0, finish: int = FINISH) -> DataFrame:
+    """old_id, new_id, tier: marks of two revisions, each used once. old, new: id, kind, label, page, x, y (ids unique on each side).
+
+    Tiers: `page` (same kind, label and page), `label` (same kind and label on another page), `place` (same kind and page, at most `near` apart, not both labelled). In a tier the
+    nearest pairs come first, across pages those of the nearest places. What is left is `removed` (new_id null) or `added` (old_id null). Marks without place meet by label
+    alone, as if they were far; a null label is none; nulls in kind or page are equal to nothing; rows without id take no part.
+    """
+    columns = ["id", "kind", "label", "page", "x", "y"]
+    a = shared_table(old.where("id is not null").select(*columns))
+    b = shared_table(new.where("id is not null").select(*columns).toDF(*[f"n_{c}" for c in columns]))
+    distance = F.coalesce(F.hypot(F.col("x") - F.col("n_x"), F.col("y") - F.col("n_y")), F.lit(float("inf")))
+    slot = lambda c: F.floor(F.col(c) / near)
+    around = lambda c: F.explode(F.array(slot(c) - 1, slot(c), slot(c) + 1))
+    unlabelled = F.col("label").isNull() | F.col("n_label").isNull()
+
+    def candidates(tier: str, a: DataFrame, b: DataFrame) -> DataFrame:
+        same = ["kind", "label", "page"] if tier == "page" else ["kind", "label"] if tier == "label" else ["kind", "page"]
+        right = b.withColumns({c: F.col(f"n_{c}") for c in same})
+        if tier != "place":
+            return a.select("id", "x", "y", *same).join(right.select("n_id", "n_x", "n_y", *same), same)
+        left = a.withColumn("cx", around("x")).withColumn("cy", around("y"))
+        pairs = left.join(right.withColumn("cx", slot("n_x")).withColumn("cy", slot("n_y")), [*same, "cx", "cy"])
+        return pairs.where(unlabelled & (distance <= near))
+
+    found = []
+    for tier in ("page", "label", "place"):
+        pairs = candidates(tier, a, b).select(F.lit(0).alias("page"), F.col("id").alias("a"), F.col("n_id").alias("b"), distance.alias("cost"))
+        won = shared_table(one_to_one(pairs, finish).select(F.col("a").alias("old_id"), F.col("b").alias("new_id"), F.lit(tier).alias("tier")))
+        found.append(won)
+        rest = shared_table(a.join(won, a["id"] == won["old_id"], "left_anti")), shared_table(b.join(won, b["n_id"] == won["new_id"], "left_anti"))
+        forget(a, b)
+        a, b = rest
+    out = a.select(F.col("id").alias("old_id"), F.lit(None).cast(b.schema["n_id"].dataType).alias("new_id"), F.lit("removed").alias("tier"))
+    out = out.unionByName(b.select(F.lit(None).cast(a.schema["id"].dataType).alias("old_id"), F.col("n_id").alias("new_id"), F.lit("added").alias("tier")))
+    for won in found:
+        out = out.unionByName(won)
+    return out

@@ -256,3 +256,25 @@ def content_match(spark, sf_dir):
     shop = plan.where((F.col("el") % 11 != 0) & ((F.col("el") + F.hash("part")) % 13 != 0))
     shop = shop.select((F.col("el") * 3 + 1).alias("el"), "kind", moved.alias("place"), "part")
     return cascade.match_content(plan, shop, 30.0)
+
+
+def _revisions(spark, sf_dir):
+    """Marks of all vectors on pages, some labelled, and a revision in which marks moved, lost their label, changed the page, went or came."""
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") >= 2)
+    at = lambda i: F.round(F.get("embedding", i).cast("double") * 1000, 1)
+    k = F.col("vec_id")
+    label = F.when(k % 3 > 0, F.concat(F.lit("L"), (k % 97).cast("string")))
+    old = e.select(k.alias("id"), F.col("label").alias("kind"), label.alias("label"), (k % 4).alias("page"), at(0).alias("x"), at(1).alias("y"))
+    moved = lambda c, by: F.round(F.col(c) + (F.col("id") % by) - by / 2, 1).alias(c)
+    i = F.col("id")
+    new = old.where(i % 13 != 0).select(
+        (i * 2 + 1).alias("id"), "kind", F.when(i % 7 > 0, F.col("label")).alias("label"), F.when(i % 11 == 0, (F.col("page") + 1) % 4).otherwise(F.col("page")).alias("page"),
+        moved("x", 20), moved("y", 14),
+    )
+    return old, new.unionByName(new.where(i % 17 == 0).withColumn("id", i + 1_000_000).withColumn("x", F.col("x") + 500))
+
+
+@query()
+def revision_pairs(spark, sf_dir):
+    """Marks of two revisions paired by label and page, by label, then by place."""
+    return cascade.pair_revisions(*_revisions(spark, sf_dir))
