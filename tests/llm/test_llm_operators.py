@@ -82,19 +82,21 @@ def test_extract_weighs_containers_by_their_text():
     assert extract.main_text(f"<body>{main}<div>Made by us</div></body>") == f"Head\n{long}\nSee the source.\nShort."
 
 
-def brute_text(lines, window, threshold):
+def brute_text(lines, window, threshold, lone):
     """Surge and dive by definition, line by line, for lines of (text, letters outside less inside links, in main)."""
     weigh = lambda p: max(0, p)
     inside = sum(weigh(p) for _, p, m in lines if m)
-    support = threshold // 2 if 2 * inside >= sum(weigh(p) for _, p, _ in lines) else 0
-    w = [0 if t is None else weigh(p) + support * (m and p >= 0) for t, p, m in lines]
+    lone = lone and any(m and p > 0 for _, p, m in lines)
+    decide = any(m for _, _, m in lines) and (lone or 2 * inside >= sum(weigh(p) for _, p, _ in lines))
+    w = [0 if t is None or decide and not m else weigh(p) + decide * (threshold // 2) for t, p, m in lines]
     total = lambda i: sum(w[j] for j in range(i, min(i + window, len(w))) if all(lines[k][2] == lines[i][2] for k in range(i, j + 1)))
     least = min(threshold, max(map(total, range(len(w))), default=0))
     out, on = [], False
     for i, (text, _, m) in enumerate(lines):
         if i and m != lines[i - 1][2]:
             on = False
-        on = total(i) > 0 if on else bool(w[i]) and total(i) >= least
+        end = next((j for j in range(i, len(lines)) if lines[j][2] != m), len(lines))
+        on = (any(w[i:end]) if decide and m else total(i) > 0) if on else bool(w[i]) and total(i) >= least
         if on and text is not None and (w[i] or m):
             out.append(text)
     return "\n".join(out)
@@ -125,13 +127,31 @@ def test_extract_equals_brute_force_and_its_settings_matter():
         texts = {}
         for window, threshold in ((3, 80), (1, 80), (3, 20)):
             texts[window, threshold] = extract.main_text(f"<body>{html}</body>", window, threshold)
-            assert texts[window, threshold] == brute_text(clean, window, threshold), html
+            assert texts[window, threshold] == brute_text(clean, window, threshold, html.count("<main>") == 1), html
         kind = "main" if "<main>" in html else "plain"
         changed[kind, "window"] += texts[3, 80] != texts[1, 80]
         changed[kind, "threshold"] += texts[3, 80] != texts[3, 20]
     assert all(changed[k, x] > 5 for k in ("main", "plain") for x in ("window", "threshold")), changed
 
 
+def test_extract_keeps_whole_articles():
+    terms = "<div>Terms and conditions apply to all of the pages here. Read them before you go on, please.</div>"
+    assert extract.main_text(f"<article><p>Short news item.</p></article>{terms}") == "Short news item."
+    assert extract.main_text(f"{terms}<h1>Head</h1><main><p>Short news item.</p></main>{terms}") == "Head\nShort news item."
+    prose = "The ministry said on Monday that the bridge will open in spring, after years of work."
+    source = "<p><a href=/s>Source report of the ministry, with all tables and a list of names</a></p>"
+    assert extract.main_text(f"<article><p>{prose}</p>{source}</article>").endswith("all tables and a list of names")
+    links = "".join(f"<li><a href=/{i}>Part {i} of the report</a></li>" for i in range(4))
+    text = extract.main_text(f"<article><p>{prose}</p><ul>{links}</ul><p>{prose}</p></article>")
+    assert text.split("\n") == [prose, *[f"Part {i} of the report" for i in range(4)], prose]
+    work = f"<div class=related-work><h2>Related work</h2><p>{prose}</p></div>"
+    assert extract.main_text(f"<article><p>{prose}</p>{work}<p>End.</p></article>") == f"{prose}\nRelated work\n{prose}\nEnd."
+    more = f"<div class='related share'>More:<ul>{links}</ul></div>"
+    assert extract.main_text(f"<article><p>{prose}</p>{more}<p>End.</p></article>") == f"{prose}\nEnd."
+    assert extract.main_text(f"<article><p>{prose}</p>{more.removesuffix('</div>')}") == prose
+    assert extract.main_text(f"<article><p>{prose}</p></article><div>{prose} {prose}</div>") == prose
+
+
 def test_extract_hostile_and_short_pages(spark):
     assert extract.main_text("<body><h1>Title</h1><p>Short news of forty letters in all here.</p></body>") == "Title\nShort news of forty letters in all here."
     assert extract.main_text("<article><p class=notice>Notice of the court, in an article.</p><p>More.</p></article>").startswith("Notice")

@@ -3,14 +3,18 @@
 1. Strip markup: the page is read as a stream of tags; every block element ends a line. White space in a line becomes
    one space. Text in page furniture (navigation, site header and footer, asides, forms, notices, adverts, reader
    comments, hidden parts) or in scripts, styles and the head stays out of the lines; between two lines it leaves one
-   barrier, an empty line. Headings, and paragraphs in a main container, are no furniture by their class alone.
-2. Weigh lines: the letters and digits outside links less those inside, at least 0. If the page's main containers
-   (article, main) hold at least as much of that as the rest of the page, they support their lines: each that isn't
-   mostly links weighs half the threshold more.
+   barrier, an empty line. Headings, and paragraphs in a main container, are no furniture by their class alone; a block
+   there whose class is a word of the second list (`related`, say) is furniture only if its letters outside links less
+   those inside stay below half the threshold.
+2. Weigh lines: the letters and digits outside links less those inside, at least 0. The page's main containers
+   (article, main) decide if they hold at least as much of that as the rest of the page, or if there is one only and it
+   holds prose outside headings. Then each of their lines, but items of lists that are mostly links, weighs half the
+   threshold more, and the lines outside weigh nothing.
 3. Sum weights over sliding windows of `window` lines, inside containers and outside them apart. A surge is a line with
-   weight where the windowed sum reaches the threshold from below, a dive the line where it falls to nothing again. The
-   lines between a surge and its dive are the text (outside containers those with weight), with the headings that lead
-   up to it. On a page whose windows all stay below the threshold, the largest sum is the threshold.
+   weight where the windowed sum reaches the threshold from below, a dive the line where it falls to nothing again; in
+   containers that decide, the line after the last one with weight. The lines between a surge and its dive are the text
+   (outside containers those with weight), with the headings that lead up to it. On a page whose windows all stay below
+   the threshold, the largest sum is the threshold.
 
 Defined results: a null or empty html gives an empty text; nothing is cut by length; repeated rows give equal rows; an
 empty table gives no rows. Elements left open are closed as browsers do for p, li, dt, dd, tr, td, th and option.
@@ -43,10 +47,13 @@ ROLES = frozenset(
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted sidebar "
     "nav navbar navigation menu menus breadcrumb breadcrumbs footer cookie cookies consent gdpr banner notice notices "
-    "popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies "
-    "respond share sharing social related recommended recommendations widget widgets masthead topbar toolbar "
+    "popup modal newsletter subscribe signup comment comments commentlist disqus replies respond masthead topbar toolbar "
     "pagination pager skip hidden".split()
 )
+#: Furniture outside main containers; inside, the text of a block with such a class decides.
+TOPICS = frozenset(
+    "related recommended recommendations share sharing social widget widgets overlay subscription login".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -59,17 +66,21 @@ _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Line:
-    __slots__ = ("text", "prose", "main", "heading")
+    __slots__ = ("text", "prose", "main", "heading", "item")
 
-    def __init__(self, text: str, prose: int, main: bool, heading: bool):
-        self.text, self.prose, self.main, self.heading = text, prose, main, heading
+    def __init__(self, text: str, prose: int, main: bool, heading: bool, item: bool):
+        self.text, self.prose, self.main, self.heading, self.item = text, prose, main, heading, item
 
 
 class _Lines(HTMLParser):
     """Collects lines; None is a barrier."""
 
-    def __init__(self):
+    def __init__(self, least: int):
         super().__init__(convert_charrefs=True)
+        self.least = least  # prose that a block with a topic's class has to hold
+        self.prose = 0  # of all lines so far
+        self.doubted: list[tuple[int, int, int]] = []  # open blocks with a topic's class: place in the stack, lines and prose before
+        self.containers = 0  # outermost ones met
         self.lines: list[Line | None] = []
         self.stack: list[tuple[str, bool]] = []  # element, whether its text is left out
         self.open: Counter[str] = Counter()  # open elements by name
@@ -87,7 +98,8 @@ class _Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(t for t, _ in self.parts)).strip()
         if text:
             prose = sum((1 - 2 * linked) * sum(map(str.isalnum, t)) for t, linked in self.parts)
-            self.lines.append(Line(text, prose, self.main > 0, self.head > 0))
+            self.lines.append(Line(text, prose, self.main > 0, self.head > 0, self.open["li"] > 0))
+            self.prose += prose
         self.parts = []
 
     def furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -101,7 +113,13 @@ class _Lines(HTMLParser):
         if (given.get("role") or "").lower() in ROLES or _HIDING.search(given.get("style") or ""):
             return True
         by_name = tag not in HEADINGS and not (tag == "p" and self.main)
-        return by_name and bool(NAMES & self.names(attrs))
+        if not by_name:
+            return False
+        names = self.names(attrs)
+        return bool(NAMES & names) or bool(TOPICS & names) and not self.doubtful(tag)
+
+    def doubtful(self, tag: str) -> bool:
+        return self.main > 0 and tag in BLOCK
 
     @staticmethod
     def names(attrs: list[tuple[str, str | None]]) -> set[str]:
@@ -131,6 +149,12 @@ class _Lines(HTMLParser):
 
     def pop(self) -> str:
         tag, out = self.stack.pop()
+        if self.doubted and self.doubted[-1][0] == len(self.stack):
+            _, lines, prose = self.doubted.pop()
+            if self.prose - prose < self.least:
+                del self.lines[lines:]
+                self.prose = prose
+                self.barrier()
         self.open[tag] -= 1
         if tag in SCOPES:
             self.scoped.pop()
@@ -171,6 +195,10 @@ class _Lines(HTMLParser):
         if out and not self.out:
             self.end_line()
             self.barrier()
+        if not out and not self.out:
+            self.containers += tag in ("article", "main") and not self.main
+            if self.doubtful(tag) and tag not in HEADINGS and tag != "p" and TOPICS & self.names(attrs):
+                self.doubted.append((len(self.stack), len(self.lines), self.prose))
         self.push(tag, out)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -188,12 +216,15 @@ class _Lines(HTMLParser):
             self.parts.append((data, self.link > 0))
 
 
-def page_lines(html: str) -> list[Line | None]:
-    parser = _Lines()
+def page_lines(html: str, least: int) -> tuple[list[Line | None], int]:
+    """Lines and the number of outermost main containers."""
+    parser = _Lines(least)
     parser.feed(html)
     parser.close()
     parser.end_line()
-    return parser.lines
+    while parser.stack:
+        parser.pop()
+    return parser.lines, parser.containers
 
 
 def windowed(weights: np.ndarray, window: int) -> np.ndarray:
@@ -201,37 +232,42 @@ def windowed(weights: np.ndarray, window: int) -> np.ndarray:
     return np.convolve(weights, np.ones(window, np.int64))[window - 1 :] if len(weights) else weights
 
 
-def between_surge_and_dive(weights: np.ndarray, sums: np.ndarray, threshold: int) -> np.ndarray:
-    """Which lines lie between a surge and its dive."""
+def between_surge_and_dive(weights: np.ndarray, sums: np.ndarray, threshold: int, whole: bool = False) -> np.ndarray:
+    """Which lines lie between a surge and its dive; if `whole`, the dive is after the last line with weight."""
     inside, keep = False, np.zeros(len(weights), bool)
+    last = int(np.flatnonzero(weights).max(initial=-1))
     for i in range(len(weights)):
         if not inside and weights[i] and sums[i] >= threshold:
             inside = True
-        elif inside and not sums[i]:
+        elif inside and (i > last if whole else not sums[i]):
             inside = False
         keep[i] = inside
     return keep
 
 
 def main_text(html: str | None, window: int = 3, threshold: int = 80) -> str:
-    lines = page_lines(html or "")
+    lines, containers = page_lines(html or "", threshold // 2)
     weights = np.array([0 if x is None else max(0, x.prose) for x in lines], np.int64)
     main = np.zeros(len(lines), bool)
     for i, x in enumerate(lines):
         main[i] = x.main if x is not None else i and main[i - 1]
-    if 2 * weights[main].sum() >= weights.sum():
-        weights += (threshold // 2) * np.array([x is not None and x.main and x.prose >= 0 for x in lines], bool)
+    lone = containers == 1 and any(x is not None and x.main and x.prose > 0 and not x.heading for x in lines)
+    decide = lone or 2 * weights[main].sum() >= weights.sum()
+    heads = weights > 0
+    if decide and main.any():
+        weights += (threshold // 2) * np.array([x is not None and x.main and (x.prose >= 0 or not x.item) for x in lines], bool)
+        weights[~main] = 0
     cuts = [0, *(np.flatnonzero(main[1:] != main[:-1]) + 1).tolist(), len(lines)]
     apart = list(zip(cuts, cuts[1:], strict=False))
     sums = np.concatenate([windowed(weights[i:j], window) for i, j in apart]) if len(lines) else weights
     reached = min(threshold, int(sums.max(initial=0)))
     keep = np.zeros(len(lines), bool)
     for i, j in apart:
-        keep[i:j] = between_surge_and_dive(weights[i:j], sums[i:j], reached)
+        keep[i:j] = between_surge_and_dive(weights[i:j], sums[i:j], reached, decide and main[i:j].any())
     keep &= (weights > 0) | main
     keep &= np.array([x is not None for x in lines], bool)
     for i in np.flatnonzero(keep[1:] & ~keep[:-1]):  # headings before a surge
-        while i >= 0 and lines[i] is not None and lines[i].heading and (weights[i] or main[i]):
+        while i >= 0 and lines[i] is not None and lines[i].heading and (heads[i] or main[i]):
             keep[i] = True
             i -= 1
     return "\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
