@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from .plans import drawings, estimates, fits, linking, memory, models, panel, readings, records, rules, shapes  # noqa: F401  they register their queries
+    from .plans import drawings, estimates, fits, linking, memory, models, panel, readings, records, resampling, rules, shapes  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
