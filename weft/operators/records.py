@@ -65,3 +65,27 @@ def expectations(df: DataFrame, key: Column, rules: dict[str, Column]) -> DataFr
     """rule, row_key for each row that breaks a rule: one pass, rules as an array."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(r)) for r, ok in rules.items()]))
     return df.select(F.explode(broken).alias("rule"), key.alias("row_key"))
+
+
+def manifest_diff(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """path, status of every path in either table of path, bytes, sha256: same, changed, resized, missing, extra or repeated.
+
+    Missing paths are in the manifest alone, extra ones are found alone; a path that either table has twice is repeated,
+    whatever it holds. Digests compare without case, and a null size or digest differs from any other. Null paths are one path.
+    """
+    sides = found.select("path", "bytes", "sha256", F.lit(1).alias("f")).unionByName(manifest.select("path", "bytes", "sha256", F.lit(0).alias("f")))
+    n, low = F.count(F.lit(1)), F.lower("sha256")
+    both = sides.groupBy("path").agg(
+        F.sum("f").alias("found"), (n - F.sum("f")).alias("listed"),
+        (F.min("bytes").eqNullSafe(F.max("bytes")) & (F.count("bytes") == n)).alias("size"), ((F.min(low) == F.max(low)) & (F.count(low) == n)).alias("digest"),
+    )
+    status = (
+        F.when((F.col("found") > 1) | (F.col("listed") > 1), "repeated").when(F.col("found") == 0, "missing").when(F.col("listed") == 0, "extra")
+        .when(~F.col("size"), "resized").when(F.coalesce(F.col("digest"), F.lit(False)), "same").otherwise("changed")
+    )
+    return both.select("path", status.alias("status"))
+
+
+def is_current(found: DataFrame, manifest: DataFrame) -> bool:
+    """Whether derived data is fresh: what is found is what the manifest lists, no more and no less."""
+    return manifest_diff(found, manifest).where("status <> 'same'").isEmpty()

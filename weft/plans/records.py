@@ -376,3 +376,20 @@ def oof_folds(spark, sf_dir):
     out = F.col("r_upto") <= F.round(0.2 * F.col("r_all"))
     fold = F.when(out, -1).otherwise(((F.col("r_upto") - 1) % 5).cast("int"))
     return d.select("doc_id", F.when(out, "holdout").otherwise("development").alias("split"), fold.alias("cv_fold"))
+
+
+@query("""
+with f as (select coalesce(source, '') || '/' || doc_id as path, octet_length(encode(text)) as bytes, sha256(text) as sha256, doc_id from documents where text is not null and doc_id % 31 <> 0),
+m as (select coalesce(source, '') || '/' || doc_id as path, octet_length(encode(text)) + (doc_id % 43 = 0)::int as bytes,
+  case when doc_id % 37 = 0 then sha256('x' || text) else upper(sha256(text)) end as sha256 from documents where text is not null and doc_id % 41 <> 0)
+select coalesce(f.path, m.path) as path, case when f.path is null then 'missing' when m.path is null then 'extra' when f.bytes <> m.bytes then 'resized'
+  when f.sha256 = lower(m.sha256) then 'same' else 'changed' end as status from f full join m on f.path = m.path""")
+def manifest_check(spark, sf_dir):
+    """Documents as files against a manifest with changed, resized, missing and extra ones."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string")).alias("path")
+    size, k = F.octet_length("text").cast("long"), F.col("doc_id")
+    found = d.where(k % 31 != 0).select(path, size.alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    listed = F.when(k % 37 == 0, F.sha2(F.concat(F.lit("x"), "text"), 256)).otherwise(F.upper(F.sha2("text", 256)))
+    manifest = d.where(k % 41 != 0).select(path, (size + (k % 43 == 0).cast("long")).alias("bytes"), listed.alias("sha256"))
+    return records.manifest_diff(found, manifest)
