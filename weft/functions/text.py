@@ -57,3 +57,17 @@ def band(age: Column) -> Column:
 def uniform(*parts: Column) -> Column:
     """A reproducible uniform number in [0, 1) from the first 8 hex digits of an md5."""
     return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / 2**32
+
+
+def pii_incident(value: Column, key: Column, exempt: dict[str, tuple[str, ...]], identifiers: tuple[str, ...]) -> Column:
+    """Sorted kinds for which a field's value may not be kept, empty if it may; null values may.
+
+    `exempt` names for a kind the words in keys of fields where it is no personal data; fields with a word of `identifiers` in
+    their key are never kept, whatever they hold.
+    """
+    def named(words: tuple[str, ...]) -> Column:
+        return sum((F.contains(key, F.lit(w)).cast("int") for w in words), F.lit(0)) > 0
+
+    kinds = [F.when(value.rlike(p) & ~named(exempt.get(k, ())), F.lit(k)) for k, p in (("email", EMAIL), ("ip", IP), ("phone", PHONE))]
+    found = F.array_sort(F.array_compact(F.array(*kinds, F.when(named(identifiers), F.lit("identifier_field")))))
+    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(found)

@@ -89,3 +89,16 @@ def manifest_diff(found: DataFrame, manifest: DataFrame) -> DataFrame:
 def is_current(found: DataFrame, manifest: DataFrame) -> bool:
     """Whether derived data is fresh: what is found is what the manifest lists, no more and no less."""
     return manifest_diff(found, manifest).where("status <> 'same'").isEmpty()
+
+
+def leak_guard(fields: DataFrame, kinds: Column) -> tuple[DataFrame, DataFrame]:
+    """Fields without the values that may not be kept, and the incidents: id, key, kinds, never a value.
+
+    fields: id, key, value, status; `kinds` as `functions.text.pii_incident` gives them. A value in an identifier's field is
+    NOT_PROVIDED from then on, another one has to be asked again (REVIEW); repeated rows are repeated incidents.
+    """
+    marked = fields.withColumn("_kinds", kinds)
+    hit, own = F.size("_kinds") > 0, F.array_contains("_kinds", "identifier_field")
+    status = F.when(hit & own, "NOT_PROVIDED").when(hit, "REVIEW").otherwise(F.col("status"))
+    kept = marked.withColumns({"status": status, "value": F.when(~hit, F.col("value")), "redacted": hit}).drop("_kinds")
+    return kept, marked.where(hit).select("id", "key", F.concat_ws(",", "_kinds").alias("kinds"))

@@ -393,3 +393,21 @@ def manifest_check(spark, sf_dir):
     listed = F.when(k % 37 == 0, F.sha2(F.concat(F.lit("x"), "text"), 256)).otherwise(F.upper(F.sha2("text", 256)))
     manifest = d.where(k % 41 != 0).select(path, (size + (k % 43 == 0).cast("long")).alias("bytes"), listed.alias("sha256"))
     return records.manifest_diff(found, manifest)
+
+
+@query(rf"""
+with f as (select 'document-' || doc_id as id, 'text' as key, text as value from documents union all select 'document-' || doc_id, 'source', source from documents
+  union all select 'page-' || page_id, 'page_url', url from pages),
+k as (select id, key, case when value is null then '' else concat_ws(',', case when regexp_matches(value, '{T.EMAIL}') then 'email' end,
+  case when key = 'source' then 'identifier_field' end, case when regexp_matches(value, '{T.IP}') then 'ip' end,
+  case when key <> 'page_url' and regexp_matches(value, '{T.PHONE}') then 'phone' end) end as kinds from f)
+select id, key, kinds from k where kinds <> ''""")
+def pii_incidents(spark, sf_dir):
+    d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    fields = lambda t, kind, i, **cols: t.select(
+        F.concat(F.lit(f"{kind}-"), F.col(i).cast("string")).alias("id"),
+        F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in cols.items()])).alias("f"),
+    ).select("id", "f.*", F.lit("KNOWN").alias("status"))
+    rows = fields(d, "document", "doc_id", text="text", source="source").unionByName(fields(p, "page", "page_id", page_url="url"))
+    kinds = T.pii_incident(F.col("value"), F.col("key"), {"phone": ("url",)}, ("source",))
+    return records.leak_guard(rows, kinds)[1]
