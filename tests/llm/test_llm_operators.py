@@ -460,6 +460,18 @@ def test_chain_of_links(spark):
     assert len(calls) <= 15
 
 
+def test_a_common_line_ties_no_canopy_of_documents_that_cannot_link(spark):
+    rng = np.random.default_rng(5)
+    line = [" ".join(f"l{j}x{i}" for i in range(34)) for j in range(2)]
+    own = lambda i, n: " ".join(f"d{i}x{w}" for w in rng.integers(0, 10**6, n))
+    texts = [(i, f"{line[i % 2]} {own(i, 50)}") for i in range(240)]
+    texts += [(1000 + i, texts[i][1] + " more") for i in range(0, 240, 40)]
+    trace = []
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_components(documents(spark, texts), chunk_docs=16, chunk_tokens=10**6, trace=trace).collect()}
+    assert got == brute_links(texts, 5)[0] and got[1040] == 40
+    assert sum(min(x) for x in trace) < 240  # hardly a row meets between chunks
+
+
 def test_links_of_an_empty_table(spark):
     assert jaccard.link_components(documents(spark, [(1, "x")]).limit(0)).count() == 0
 

@@ -108,13 +108,13 @@ def in_chunks(sets: DataFrame, join: Join, extra: list[str]) -> DataFrame:
     return in_batches(dealt.sortWithinPartitions("canopy", "chunk"), _join_chunks(join, extra), "a long, b long")
 
 
-def _number(docs: Column, tokens: Column, most_tokens: int, most_docs: int) -> Column:
+def number_of_chunks(docs: Column, tokens: Column, most_tokens: int, most_docs: int) -> Column:
     return F.greatest(F.ceil(tokens / most_tokens), F.ceil(docs / most_docs)).cast("int")
 
 
 def chunked(rows: DataFrame, by: str, tokens: int = CHUNK_TOKENS, docs: int = CHUNK_DOCS) -> DataFrame:
     """Adds `of`, the number of chunks of each canopy, and `chunk`, a row's own."""
-    size = rows.groupBy("canopy").agg(_number(F.count(F.lit(1)), F.sum("n"), tokens, docs).alias("of"))
+    size = rows.groupBy("canopy").agg(number_of_chunks(F.count(F.lit(1)), F.sum("n"), tokens, docs).alias("of"))
     return rows.join(shared_table(size), "canopy").withColumn("chunk", F.pmod(F.xxhash64(by), F.col("of")).cast("string"))
 
 
@@ -125,9 +125,9 @@ def _costs(rows: DataFrame, by: list[str], half: tuple[int, int]) -> DataFrame:
         F.max(F.struct("tokens", "label", "docs")).alias("top"), F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"),
         F.count(F.lit(1)).alias("labels"),
     )
-    inner = _number(F.col("docs"), F.col("tokens"), *half)
+    inner = number_of_chunks(F.col("docs"), F.col("tokens"), *half)
     out = F.col("docs") - F.col("top.docs")
-    outer = _number(out, F.col("tokens") - F.col("top.tokens"), *half)
+    outer = number_of_chunks(out, F.col("tokens") - F.col("top.tokens"), *half)
     return all_.where("labels > 1").select(*by, F.col("top.label").alias("top"), (outer * F.col("docs") + inner * out).alias("cost"))
 
 

@@ -11,7 +11,10 @@ least `percent` / 100. Every link counts, but links are not listed: the result i
 3. Bounds. With p of n shingles below the reach, a linked document shares at least p - n // 5 of them (for 80 percent),
    so nodes with fewer repeated ones have no link. Of a node with a repeated ones, the a - c + 1 rarest in the global
    order are keys; linked nodes share a key. Common passages and lines, being frequent, are keys of no one.
-4. Nodes that keys connect form a canopy. A canopy's sets go to chunks of bounded size, in which the prefix-tree join
+4. Nodes that keys connect form a canopy. A few keys more than needed are kept, so that linked nodes share several. A
+   canopy larger than a chunk is split by that: pairs are counted over its rare keys alone, as two ids a row, and one
+   chance shingle no longer ties two groups together. What is still larger takes steps 2 to 4 again with all shingles of its sets,
+   four fifths of which a link then needs to be repeated ones. A canopy's sets go to chunks of bounded size, in which the prefix-tree join
    runs: sets, ordered globally, are a trie. One traversal carries the overlaps of the path so far with the open sets,
    so that a shared path is counted once for all sets below it. At each node of the trie the overlap and the greatest
    length that remains in its subtree bound what any set below can share with an open set; sets out of reach are
@@ -35,11 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import CHUNK_DOCS, CHUNK_TOKENS, Groups, across, chunked, holders, in_chunks
+from .chunks import CHUNK_DOCS, CHUNK_TOKENS, Groups, across, chunked, holders, in_chunks, number_of_chunks
 from .common import Rolling, WordHashes, forget, in_batches, renamed, shared_table, slices, small_side
 from .graph import components
 
 PERCENT = 80
+#: How many of their keys linked nodes share at least, if that many of their tokens have to be shared at all.
+SHARED_KEYS = 8
+#: Keys of at most so many nodes are counted by pairs; others tie all their nodes together.
+RARE = 16
 
 
 def shingles(text: str | None, k: int, memo: WordHashes, rolling: Rolling) -> np.ndarray:
@@ -59,7 +66,7 @@ def need(n: int, percent: int) -> int:
 def prefix(tokens: np.ndarray, reach: float, percent: int) -> tuple[int, int]:
     """Length of the prefix, and the least number of its tokens that a linked set's prefix shares."""
     n = len(tokens)
-    below = int(np.searchsorted(tokens, np.uint64(int(reach * 2**64))))
+    below = n if reach >= 1 else int(np.searchsorted(tokens, np.uint64(int(reach * 2**64))))
     spare = n - need(n, percent)
     return max(below, spare + 1), max(1, below - spare)
 
@@ -170,17 +177,24 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settled(parts)
 
 
+_PLACED = "canopy long, chunk string, of int, label long, n long, tokens array<long>"
+
+
 def _sets(k: int):
-    def make(i, text, memo, rolling):
-        tokens = shingles(text, k, memo, rolling)
-        return (i, xxhash.xxh3_128_digest(tokens.tobytes()), tokens.view(np.int64)) if len(tokens) else None
+    """Rows of a text and a place for one set of its id to rows of the place and the set, if the text has that set."""
+    names = ["canopy", "chunk", "of", "label", "n"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _each(batches, make):
-            ids, sigs, sets = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, _LISTS)], ["id", "sig", "tokens"]
-            )
+        memo, rolling = WordHashes(), Rolling()
+        for batch in batches:
+            for part in slices(batch):
+                sets = [shingles(t, k, memo, rolling) for t in part.column("text").to_pylist()]
+                asked = part.column("sig").to_pylist()
+                at = [i for i, s in enumerate(sets) if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == asked[i]]
+                if at:
+                    columns = [part.column(c).take(pa.array(at)).cast(kind) for c, kind in zip(names, types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[i].view(np.int64) for i in at], _LISTS)], [*names, "tokens"])
 
     return read
 
@@ -269,14 +283,16 @@ def tree_join(
 
 
 def _keys(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Table (s, node) of each surviving node's keys; deletes the table `pairs`."""
+    """Table of each surviving node's keys: s, node, df, `core` (among the rarest, of which linked nodes share one) and
+    `least` (how many of the keys linked nodes share, if the other has as many); deletes the table `pairs`."""
     for last in (False, False, True):  # nodes that fall make others' tokens unique
         held = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("a")).join(nodes.select("node", "c"), "node")
         held = shared_table(held.where("a >= c"))
         if last:
             order = Window.partitionBy("node").orderBy("df", "s")
-            keyed = pairs.join(small_side(held), "node").withColumn("at", F.row_number().over(order)).where("at <= a - c + 1")
-            made = shared_table(keyed.select("s", "node"))
+            keyed = pairs.join(small_side(held), "node").withColumn("at", F.row_number().over(order))
+            keyed = keyed.withColumn("least", F.least("c", F.lit(SHARED_KEYS)).cast("int")).where("at <= a - c + least")
+            made = shared_table(keyed.select("s", "node", "df", (F.col("at") <= F.col("a") - F.col("c") + 1).alias("core"), "least"))
         else:
             kept = pairs.join(small_side(held).select("node"), "node")
             often = shared_table(kept.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
@@ -287,6 +303,56 @@ def _keys(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs
 
 
+def _stars(keys: DataFrame) -> DataFrame:
+    """Edges from a key's first node to its others."""
+    hubs = keys.groupBy("s").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    return keys.join(hubs.select("s", "hub"), "s").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+
+def _split(canopies: DataFrame, keys: DataFrame, by_set: DataFrame, chunk_tokens: int, chunk_docs: int, trace: list | None) -> tuple[DataFrame, DataFrame | None]:
+    """node, canopy: those of more than a chunk by pairs that share as many keys as a link needs, or one of many nodes; and what was split.
+
+    Linked nodes share `least` keys. If none of these has more than RARE nodes, they are counted by pairs.
+    """
+    size = canopies.join(by_set.select("node", "n"), "node").groupBy("canopy")
+    size = size.agg(number_of_chunks(F.count(F.lit(1)), F.sum("n"), chunk_tokens, chunk_docs).alias("of"), F.count(F.lit(1)).alias("docs"))
+    large = shared_table(size.where("of > 1").select("canopy", (4 * F.col("of") * F.col("docs")).alias("cost")))
+    if large.isEmpty():
+        return canopies, None
+    held = shared_table(keys.join(small_side(shared_table(canopies.join(large, "canopy").select("node"))), "node"))
+    rare = held.where(F.col("df") <= RARE).groupBy("s").agg(F.collect_list(F.struct("node", "least")).alias("h")).where(F.size("h") > 1)
+    rare = rare.select(F.explode("h").alias("x"), "h").select("x", F.explode("h").alias("y")).where("x.node < y.node")
+    if trace is not None:  # what all sets would read in cells of half chunks, and the pairs that are counted instead
+        trace.append((large.agg(F.sum("cost")).collect()[0][0], rare.count()))
+    shared = rare.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    shared = shared.agg(F.count(F.lit(1)).alias("n"), F.min(F.least("x.least", "y.least")).alias("least"))
+    met = shared.where("n >= least").select("a", "b").unionByName(_stars(held.where(F.col("df") > RARE)).distinct())
+    fine = components(met).toDF("node", "canopy")
+    forget(held)
+    return canopies.join(large, "canopy", "left_anti").select("node", "canopy"), fine
+
+
+def _repeated(own: DataFrame, total: int) -> DataFrame:
+    """Table s, node of the repeated shingles of rows id, tokens; total: about how many these hold."""
+    dealt = in_batches(own, _deal(max(64, total // 500_000)), "bucket long, s array<long>, d array<long>")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    return shared_table(in_batches(dealt, _repeats, "s long, d long").withColumnRenamed("d", "node"))
+
+
+def _canopies(keys: DataFrame, by_set: DataFrame, chunk_tokens: int, chunk_docs: int, trace: list | None) -> tuple[DataFrame, DataFrame | None]:
+    """node, canopy of the nodes that keys connect, and those that are of more than a chunk (None: there are none)."""
+    met = components(_stars(keys.where("core")).distinct()).toDF("node", "canopy")
+    small, fine = _split(met, keys, by_set, chunk_tokens, chunk_docs, trace)
+    if fine is None:
+        return small, None
+    size = fine.join(by_set.select("node", "n"), "node").groupBy("canopy")
+    size = size.agg(number_of_chunks(F.count(F.lit(1)), F.sum("n"), chunk_tokens, chunk_docs).alias("of"))
+    large = shared_table(size.where("of > 1").select("canopy"))
+    if large.isEmpty():
+        return small.unionByName(fine), None
+    return small.unionByName(fine.join(large, "canopy", "left_anti").select("node", "canopy")), fine.join(large, "canopy")
+
+
 def link_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = PERCENT,
     reach: float = 0.3, chunk_tokens: int = CHUNK_TOKENS, chunk_docs: int = CHUNK_DOCS, trace: list | None = None,
@@ -305,34 +371,38 @@ def link_components(
     total = whole.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p")).collect()[0]["p"]
     own = seen.where("n > 0 and id is not null").select("id", "tokens")
     own = own.join(small_side(shared_table(copies)), "id", "left_anti")
-    buckets = max(64, int(total) // 500_000)
-    dealt = in_batches(own, _deal(buckets), "bucket long, s array<long>, d array<long>")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    pairs = in_batches(dealt, _repeats, "s long, d long").withColumnRenamed("d", "node")
-    pairs = shared_table(pairs)
+    pairs = _repeated(own, int(total))
     forget(seen)
     keys = _keys(pairs, nodes)
-    hubs = shared_table(keys.groupBy("s").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1"))
-    stars = keys.join(hubs.select("s", "hub"), "s").where("node <> hub")
-    canopies = components(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    forget(hubs)
-    canopies = canopies.toDF("node", "canopy")
+    canopies, large = _canopies(keys, by_set, chunk_tokens, chunk_docs, trace)
+    core = keys.where("core").select("s", "node")
+    if large is not None:
+        ids = small_side(shared_table(large.select(F.col("node").alias("id"))))
+        again = shared_table(in_batches(docs.join(ids, "id"), _signatures(k, 1.0, percent), _LIGHT).where("n > 0"))
+        total = again.agg(F.coalesce(F.sum("p"), F.lit(0))).collect()[0][0]
+        # an id with several sets takes the least bound
+        whole_nodes = again.groupBy(F.col("id").alias("node")).agg(F.min("c").alias("c"))
+        more_keys = _keys(_repeated(again.select("id", "tokens"), int(total)), whole_nodes)
+        fine, still = _canopies(more_keys, by_set, chunk_tokens, chunk_docs, trace)
+        canopies = canopies.unionByName(fine)
+        if still is not None:
+            canopies = canopies.unionByName(still.select("node", "canopy"))
+        core = core.join(ids.withColumnRenamed("id", "node"), "node", "left_anti").select("s", "node").unionByName(more_keys.where("core").select("s", "node"))
+        forget(again)
 
     # sets of the nodes in canopies; a node whose id is repeated has several
     members = canopies.join(by_set.select("node", "sig", "n"), "node")
     members = chunked(members.withColumnRenamed("node", "label"), "label", chunk_tokens, chunk_docs)
     members = shared_table(members)
-    ids = small_side(members.select(F.col("label").alias("id")).distinct())
-    sets = in_batches(docs.join(ids, "id"), _sets(k), "id long, sig binary, tokens array<long>")
-    sets = sets.join(members, (sets["sig"] == members["sig"]) & (sets["id"] == members["label"]))
-    sets = shared_table(sets.select("canopy", "chunk", "of", "label", "n", "tokens"))
+    placed = docs.join(small_side(members.withColumn("id", F.col("label"))), "id")
+    sets = shared_table(in_batches(placed, _sets(k), _PLACED))
     join = lambda labels, rows, _: tree_join(rows, labels, percent)
     edges = shared_table(in_chunks(sets, join, []))
     many = sets.where("of > 1")
     if not many.isEmpty():
-        more = across(many, edges, keys, join, [], chunk_tokens, chunk_docs, trace)
+        more = across(many, edges, core, join, [], chunk_tokens, chunk_docs, trace)
         edges = shared_table(edges.unionByName(more))
-    forget(sets, members, keys)
+    forget(sets, members, keys, *([more_keys] if large is not None else []))
     edges = edges.unionByName(named.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")))
     found = components(edges)
     out = light.join(found, light["id"] == found["node"], "left")
