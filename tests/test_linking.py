@@ -159,3 +159,11 @@ def test_short_quotes_are_found(spark):
     docs = spark.createDataFrame([(10, "here are two  WORDS"), (11, "one"), (12, "five words of a quote\nand more or less"), (13, "")], "d int, x string")
     got = {r["q"]: (r["n_sources"], r["first_source"]) for r in estimates.quoted_sources(quotes, docs, "q", "t", "d", "x").collect()}
     assert got == {1: (1, 10), 2: (1, 11), 3: (1, 12), 4: (0, None)}
+
+
+def test_fragments_of_equal_place_keep_their_gap_before_them(spark, tmp_path):
+    rows = [(1, 5.0, 1, 9), (1, 9.0, 2, 9), (1, 9.0, 2, 9), (2, 3.0, 4, 1), (2, 3.0, 4, 1)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_linenumber int, l_partkey long")
+    df.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["l_orderkey"]: (r["run"], r["text"], r["pieces"]) for r in queries.join_fragments(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, "1 22", 3), 2: (1, "44", 2)}

@@ -175,9 +175,10 @@ def join_fragments(spark, sf_dir):
     f = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
     gap = F.col("l_quantity") - F.lag("l_quantity").over(w)
     f = f.withColumn("gap", gap).withColumn("run", F.sum(F.coalesce(gap > 6, F.lit(True)).cast("long")).over(w))
-    piece = F.struct("l_quantity", "l_linenumber", "l_partkey", "gap")
+    piece = F.struct("l_quantity", "l_linenumber", "l_partkey")  # gaps follow from the order, also between equal pieces
     runs = f.groupBy("l_orderkey", "run").agg(F.sort_array(F.collect_list(piece)).alias("p"))
-    said = F.transform("p", lambda x, i: F.concat(F.when((i > 0) & (x["gap"] > 2), " ").otherwise(""), x["l_linenumber"].cast("string")))
+    before = lambda i: F.get("p", i - 1)["l_quantity"]
+    said = F.transform("p", lambda x, i: F.concat(F.when(x["l_quantity"] - before(i) > 2, " ").otherwise(""), x["l_linenumber"].cast("string")))
     return runs.select("l_orderkey", "run", F.array_join(said, "").alias("text"), F.size("p").cast("long").alias("pieces"))
 
 
