@@ -167,3 +167,10 @@ def test_fragments_of_equal_place_keep_their_gap_before_them(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r["l_orderkey"]: (r["run"], r["text"], r["pieces"]) for r in queries.join_fragments(spark, str(tmp_path)).collect()}
     assert got == {1: (1, "1 22", 3), 2: (1, "44", 2)}
+
+
+def test_near_codes_leave_out_names_behind_the_best(spark):
+    names = spark.createDataFrame([("ABCD",), ("ABCE",), ("ABFE",), ("ABCF",)], "name string")
+    codes = spark.createDataFrame([("ABCD",)], "code string")
+    near = lambda best: {(r["name"], r["distance"]) for r in linking.near_codes(codes, names, "code", "name", 2, best).collect()}
+    assert near(1) == {("ABCD", 0)} and near(2) == {("ABCD", 0), ("ABCE", 1), ("ABCF", 1)} and len(near(None)) == 4

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import forget, shared_table
 from .rounds import dropped
 
 # Pairs of characters that readers take for each other, and one member for each chain of such pairs.
@@ -38,22 +39,35 @@ def shortened(text: Column, deletions: int) -> Column:
     return F.array_distinct(F.concat(F.array(text), *[one, two][:deletions]))
 
 
-def near_codes(codes: DataFrame, registry: DataFrame, code: str, name: str, most: int) -> DataFrame:
+def near_texts(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """_a, _b, distance of all pairs of distinct texts (_text) of both sides within `most` edits."""
+    if not 0 <= most <= 2:
+        raise ValueError("at most two edits")
+    pieces = lambda df, c: df.select(F.col("_text").alias(c)).distinct().select(
+        c, F.explode(F.transform(shortened(F.col(c), most), lambda t: F.xxhash64(t))).alias("_piece")
+    )
+    pairs = pieces(left, "_a").join(pieces(right, "_b"), "_piece").select("_a", "_b").distinct()
+    return pairs.withColumn("distance", F.levenshtein("_a", "_b")).where(F.col("distance") <= most)
+
+
+def near_codes(codes: DataFrame, registry: DataFrame, code: str, name: str, most: int, best: int | None = None) -> DataFrame:
     """code, name, distance of all pairs whose folded edit distance is at most `most` (0 to 2); none is missed.
 
+    With `best`, names farther than the nearest `best` of a code are left out (all at the last one's distance stay): folded texts are
+    weighed by how many names they stand for, before any pair is spread.
+
     Two texts within d edits share a text that each reaches by at most d deletions, so distinct folded texts meet on these,
     by hash, and only their pairs are spread to codes and names. Null codes and names pair with nothing; repeated ones
     count once.
     """
-    if not 0 <= most <= 2:
-        raise ValueError("at most two edits")
     side = lambda df, c: df.select(c).where(F.col(c).isNotNull()).distinct().withColumn("_text", folded(F.col(c)))
     left, right = side(codes, code), side(registry, name)
-    pieces = lambda df, c: df.select(F.col("_text").alias(c)).distinct().select(
-        c, F.explode(F.transform(shortened(F.col(c), most), lambda t: F.xxhash64(t))).alias("_piece")
-    )
-    pairs = pieces(left, "_a").join(pieces(right, "_b"), "_piece").select("_a", "_b").distinct()
-    pairs = pairs.withColumn("distance", F.levenshtein("_a", "_b")).where(F.col("distance") <= most)
+    pairs = near_texts(left, right, most)
+    if best is not None:
+        nearer = Window.partitionBy("_a").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
+        names = right.groupBy(F.col("_text").alias("_b")).agg(F.count(F.lit(1)).alias("_names"))
+        pairs = pairs.join(names, "_b").withColumn("_nearer", F.coalesce(F.sum("_names").over(nearer), F.lit(0)))
+        pairs = pairs.where(F.col("_nearer") < best).select("_a", "_b", "distance")
     left, right = left.withColumnRenamed("_text", "_a"), right.withColumnRenamed("_text", "_b")
     return left.join(pairs, "_a").join(right, "_b").select(code, name, "distance")
 
@@ -79,27 +93,49 @@ def linked_codes(codes: DataFrame, registry: DataFrame, facts: list[str], most:
 
     codes and registry: code and facts. score = 0.8 * agreeing facts - clashing facts - cost, ties by registry code.
     CONFIRM needs cost 0, no clash, and a second candidate more than 1 behind. A cost of at most `most` means at most
-    `most` edits between folded codes, so candidates are complete.
+    `most` edits between folded codes, so candidates are complete. They are met by folded distance, first those of which all facts agree; a
+    later one is only weighed if its distance and facts leave it a score that the best two so far don't beat.
     """
     mine = codes.select("code", *[F.col(f).alias(f"_own_{f}") for f in facts])
     theirs = registry.select(F.col("code").alias("match"), *facts)
-    pairs = near_codes(mine, theirs, "code", "match", int(most)).join(mine, "code").join(theirs, "match")
+    mine = mine.where("code is not null").distinct().withColumn("_a", folded(F.col("code")))
+    theirs = theirs.where("match is not null").distinct().withColumn("_b", folded(F.col("match")))
+    texts = shared_table(near_texts(mine.withColumnRenamed("_a", "_text"), theirs.withColumnRenamed("_b", "_text"), int(most)))
 
     @F.arrow_udf("double")
     def cost(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([reading_cost(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.float64())
 
     total = lambda test: sum((F.coalesce(test(F.col(f"_own_{f}"), F.col(f)), F.lit(False)).cast("int") for f in facts), F.lit(0))
-    pairs = pairs.withColumn("cost", cost("code", "match")).where(F.col("cost") <= most)
-    pairs = pairs.withColumn("clash", total(lambda a, b: a != b)).withColumn("agree", total(lambda a, b: a == b))
-    score = F.round(0.8 * F.col("agree") - F.col("clash") - F.col("cost"), 6)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-score).alias("loss"), "match", "cost", "clash"))), 1, 2)
-    # at most as many candidates as the registry has codes within the cost
-    best = pairs.groupBy("code").agg(best.alias("best"))
+    clash, agree = total(lambda a, b: a != b), total(lambda a, b: a == b)
+    candidate = "struct<loss:double,match:string,cost:double,clash:int>"
+    best, written = None, [texts]
+    for distance in range(int(most) + 1):
+        for all_agree in (True, False):
+            pairs = mine.join(F.broadcast(texts.where(F.col("distance") == distance)), "_a").join(theirs, "_b")
+            pairs = pairs.withColumn("clash", clash).withColumn("agree", agree).where((F.col("agree") == len(facts)) == all_agree)
+            # an edit costs 0.4 at least, an edit of folded codes 1
+            least = F.greatest(F.lit(float(distance)), 0.4 * F.levenshtein("code", "match"))
+            pairs = pairs.where(least <= most + 1e-6)
+            if best is not None:
+                bound = best.where(F.size("best") == 2).select("code", F.get("best", F.lit(1))["loss"].alias("_bound"))
+                pairs = pairs.join(bound, "code", "left")
+                pairs = pairs.where(F.col("_bound").isNull() | (least - 0.8 * F.col("agree") + F.col("clash") <= F.col("_bound") + 1e-6))
+            pairs = pairs.withColumn("cost", cost("code", "match")).where(F.col("cost") <= most)
+            score = F.round(0.8 * F.col("agree") - F.col("clash") - F.col("cost"), 6)
+            found = pairs.select("code", F.struct((-score).alias("loss"), "match", "cost", "clash").cast(candidate).alias("c"))
+            if best is not None:
+                found = found.unionByName(best.select("code", F.explode("best").alias("c")))
+            # the last two of each code by a window, so that no list of all candidates is built
+            order = Window.partitionBy("code").orderBy("c")
+            found = found.withColumn("_at", F.row_number().over(order)).where("_at <= 2")
+            best = shared_table(found.groupBy("code").agg(F.array_sort(F.collect_list("c")).alias("best")))
+            written.append(best)
+    forget(*written[:-1])
     first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
     alone = second.isNull() | (second["loss"] - first["loss"] > 1)
     kind = F.when(F.col("best").isNull(), "NO_MATCH").when((first["cost"] == 0) & (first["clash"] == 0) & alone, "CONFIRM").otherwise("CHOOSE")
-    return mine.select("code").distinct().join(best, "code", "left").select(
+    return codes.select("code").distinct().join(best, "code", "left").select(
         "code", first["match"].alias("first"), second["match"].alias("second"), kind.alias("question")
     )
 

@@ -21,7 +21,7 @@ def fuzzy_code_join(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_name")
     codes = s.select(F.regexp_replace("s_name", "0", "O").alias("code"))
     w = Window.partitionBy("code").orderBy("distance", F.levenshtein("code", "s_name"), "s_name")
-    near = linking.near_codes(codes, s, "code", "s_name", 2).withColumn("rank", F.row_number().over(w))
+    near = linking.near_codes(codes, s, "code", "s_name", 2, best=2).withColumn("rank", F.row_number().over(w))
     return near.where("rank <= 2")
 
 
