@@ -120,3 +120,9 @@ def test_rows_without_values(spark):
     with pytest.raises(ValueError, match="no rows"):
         forest.boost(empty, "y", [0], 2, 0.1)
     empty.forget()
+
+
+def test_levels_read_sums_of_equal_bins_not_rows(spark):
+    rows = spark.range(4000).selectExpr("id as key", "array(cast(id % 3 as tinyint), cast(id % 2 as tinyint)) as bins", "id % 7 as y")
+    got = forest.summed(rows, F.col("y"), 2, True).collect()
+    assert len(got) == 12 and forest.summed(rows, F.col("y"), 1, False).agg(F.sum("n")).collect()[0][0] == 4000

@@ -1,6 +1,7 @@
 """Trees of any depth on binned features: forests of hashed bootstrap members, and boosting, with directions.
 
-Features are binned once by their quantiles, and the binned rows are written. A level of all members is one aggregate by (member, node, feature, bin), partial
+Features are binned once by their quantiles, and the binned rows are written. One pass sums the rows of each member by their bins
+together, and these sums are written too. A level of all members is one aggregate of them by (member, node, feature, bin), partial
 first, so that what is shuffled and collected is bounded by members x nodes x features x bins, whatever the rows. A row's weight in a member is
 Poisson(1) by a hash of its key, so members need no draws to be kept. No table grows with distinct values, and none is left behind.
 """
@@ -79,21 +80,33 @@ def grow(
     on either side stays on its side of the middle of the two, further down too. A side has at least `least` (weighted) rows. Ties: the earlier feature, then the
     smaller bin. Rows with null y take no part.
     """
-    trees, limits = [Tree() for _ in range(count)], [{1: (float("-inf"), float("inf"))} for _ in range(count)]
+    sums = shared_table(summed(binned, y, count, bootstrap))
+    found = _grow(sums, count, directions, depth, least)
+    forget(sums)
+    return found
+
+
+def summed(binned: DataFrame, y: Column, count: int, bootstrap: bool) -> DataFrame:
+    """member, bins, n, s: weights and weighted y of each member's rows with the same bins. One pass over the rows; what follows reads sums."""
     rows = binned.withColumn("_y", y.cast("double")).where("_y is not null")
-    member = F.posexplode("_nodes").alias("member", "node")
+    rows = rows.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))) if count > 1 else rows.withColumn("member", F.lit(0))
     times = weight(F.col("key"), F.col("member")) if bootstrap else F.lit(1)
+    rows = rows.withColumn("w", times).where("w > 0")
+    return rows.groupBy("member", "bins").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("_y")).alias("s"))
+
+
+def _grow(sums: DataFrame, count: int, directions: Sequence[int], depth: int, least: int) -> list[Tree]:
+    trees, limits = [Tree() for _ in range(count)], [{1: (float("-inf"), float("inf"))} for _ in range(count)]
     clip = lambda v, bounds: min(max(v, bounds[0]), bounds[1])
     for level in range(depth + 1):
-        here = rows.withColumn("_nodes", _placed(F.col("bins"), trees, level)).select("key", "bins", "_y", member)
-        here = here.where(F.col("node") >= 2**level).withColumn("w", times).where("w > 0")
+        here = sums.withColumn("node", F.get(_placed(F.col("bins"), trees, level), F.col("member"))).where(F.col("node") >= 2**level)
         if level == depth:
-            sums = here.groupBy("member", "node").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("_y")).alias("s")).collect()
-            for r in sums:
+            leaves = here.groupBy("member", "node").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
+            for r in leaves:
                 trees[r["member"]].values[r["node"]] = clip(r["s"] / r["n"], limits[r["member"]][r["node"]])
             break
-        cells = here.select("member", "node", "w", "_y", F.posexplode("bins").alias("feature", "bin"))
-        cells = cells.groupBy("member", "node", "feature", "bin").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("_y")).alias("s")).collect()
+        cells = here.select("member", "node", "n", "s", F.posexplode("bins").alias("feature", "bin"))
+        cells = cells.groupBy("member", "node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
         nodes: dict[tuple[int, int], dict[tuple[int, int], tuple[int, float]]] = {}
         for r in cells:
             nodes.setdefault((r["member"], r["node"]), {})[r["feature"], r["bin"]] = (r["n"], r["s"])
@@ -156,11 +169,14 @@ def boost(data: Binned, y: str, directions: Sequence[int], rounds: int, rate: fl
     start, trees = data.rows.agg(F.avg(y)).collect()[0][0], []
     if start is None:
         raise ValueError("no rows to fit")
+    sums = shared_table(summed(data.rows, F.col(y), 1, False))
     for _ in range(rounds):
-        tree = grow(data.rows, F.col(y) - boosted(start, trees, rate, depth, F.col("bins")), 1, directions, depth, False, least)[0]
+        left = sums.withColumn("s", F.col("s") - F.col("n") * boosted(start, trees, rate, depth, F.col("bins")))
+        tree = _grow(left, 1, directions, depth, least)[0]
         if not tree.splits:
             break
         trees.append(tree)
+    forget(sums)
     return start, trees
 
 
