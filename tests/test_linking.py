@@ -174,3 +174,22 @@ def test_near_codes_leave_out_names_behind_the_best(spark):
     codes = spark.createDataFrame([("ABCD",)], "code string")
     near = lambda best: {(r["name"], r["distance"]) for r in linking.near_codes(codes, names, "code", "name", 2, best).collect()}
     assert near(1) == {("ABCD", 0)} and near(2) == {("ABCD", 0), ("ABCE", 1), ("ABCF", 1)} and len(near(None)) == 4
+
+
+def test_nearest_hashes_meet_in_small_cells(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice([rnd.getrandbits(64) - 2**63, rnd.randrange(8)])) for i in range(300)] + [(7, 1), (7, 2), (20, 5), (None, 1), (400, None)]
+    hashes = spark.createDataFrame(rows, "id long, h long")
+    expected = []
+    known = [(i, h) for i, h in rows if i is not None and h is not None]
+    for i in {i for i, _ in known if i % 10 == 0}:
+        found = sorted(((x ^ y) & (2**64 - 1)).bit_count() * 1000 + j for k, x in known if k == i for j, y in known if j != i)
+        expected += [(i, f % 1000, f // 1000) for f in found[:3]]
+    order = lambda r: (r["id"], r["distance"], r["other"])
+    for rows_, questions in ((40, 6), (10**6, 10**6)):
+        got, best = linking.nearest_hashes(hashes, F.col("id") % 10 == 0, 3, rows_, questions).collect(), {}
+        for r in sorted(got, key=order):
+            best.setdefault(r["id"], []).append((r["id"], r["other"], r["distance"]))
+        assert sorted(expected) == sorted(x for own in best.values() for x in own[:3])
+        assert len(got) <= 3 * 31 * (-(-len(known) // rows_))  # what a cell leaves, not its pairs
+    assert linking.nearest_hashes(hashes.limit(0), F.col("id") % 10 == 0, 3).count() == 0

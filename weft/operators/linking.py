@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +73,39 @@ def near_codes(codes: DataFrame, registry: DataFrame, code: str, name: str, most
     return left.join(pairs, "_a").join(right, "_b").select(code, name, "distance")
 
 
+def nearest_hashes(hashes: DataFrame, asked: Column, best: int, rows: int = 65_536, questions: int = 8_192) -> DataFrame:
+    """id, other, distance: per cell the `best` rows of another id whose hash differs in the fewest bits, ties to smaller ids; hashes: id, h (longs).
+
+    Every row that `asked` holds for meets all rows, in cells of about `questions` by `rows`. A cell compares one question at a time with its rows, so a task
+    holds one cell and nothing is sorted but what the cells leave: at most `best` rows a question and cell. Rows with nulls take no part.
+    """
+    known = hashes.where("id is not null and h is not null").select(F.col("id").cast("long"), "h")
+    n, m = known.agg(F.count(F.lit(1)), F.count_if(asked)).first()
+    blocks, parts = max(1, -(-n // rows)), max(1, -(-m // questions))
+    deal = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = known.where(asked).withColumn("part", deal(parts)).withColumn("block", each(blocks))
+    right = known.withColumn("block", deal(blocks)).withColumn("part", each(parts))
+
+    def compare(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        theirs = theirs.sort_by("id")
+        ids, h, found = theirs["id"].to_numpy(), theirs["h"].to_numpy().view(np.uint64), []
+        for i, x in zip(mine["id"].to_pylist(), mine["h"].to_numpy().view(np.uint64), strict=True):
+            apart = np.bitwise_count(h ^ x)
+            apart[slice(*np.searchsorted(ids, [i, i + 1]))] = 255
+            for _ in range(min(best, len(ids))):
+                at = apart.argmin()  # the first of the least
+                if apart[at] == 255:
+                    break
+                found.append((i, int(ids[at]), int(apart[at])))
+                apart[at] = 255
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        return pa.table({"id": pa.array(columns[0], pa.int64()), "other": pa.array(columns[1], pa.int64()), "distance": pa.array(columns[2], pa.int32())})
+
+    cells = left.groupBy("part", "block").cogroup(right.groupBy("part", "block"))
+    return cells.applyInArrow(compare, "id long, other long, distance int")
+
+
 def reading_cost(a: str, b: str, cheap: float = 0.4) -> float:
     """Edit distance in which confusable characters cost `cheap`; equal ends cost nothing and are left out first."""
     head = len(os.path.commonprefix([a, b]))

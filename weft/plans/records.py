@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ranks, records, stats
+from ..operators import linking, ranks, records, stats
 from ..registry import query
 from ..sources.io import table
 from ..streaming import jobs
@@ -351,17 +351,10 @@ def phash_hamming(spark, sf_dir):
     """The three nearest rows by sign bits of each vector whose id is divisible by 50, against all rows in blocks."""
     bits = [F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for i in range(64)]
     h = table(spark, sf_dir, "embeddings").select("vec_id", sum(bits[1:], bits[0]).alias("h"))
-    n = h.count()
-    blocks, asked = max(1, n // 65536), max(1, n // 50 // 1024)
-    deal = lambda k: F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    a = h.where("vec_id % 50 = 0").withColumn("qb", deal(asked)).withColumn("cb", each(blocks))
-    b = h.select(F.col("vec_id").alias("other"), F.col("h").alias("o"), deal(blocks).alias("cb")).withColumn("qb", each(asked))
-    pairs = a.join(b, ["cb", "qb"]).where("vec_id <> other")
-    near = F.struct(F.bit_count(F.col("h").bitwiseXOR(F.col("o"))).cast("int").alias("distance"), "other")
-    w = Window.partitionBy("vec_id").orderBy("near.distance", "near.other")
-    best = pairs.select("vec_id", near.alias("near")).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
-    return best.select("vec_id", "near.other", "near.distance", "rank")
+    near = linking.nearest_hashes(h.withColumnRenamed("vec_id", "id"), F.col("id") % 50 == 0, 3)
+    w = Window.partitionBy("id").orderBy("distance", "other")
+    best = near.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    return best.select(F.col("id").alias("vec_id"), "other", "distance", "rank")
 
 
 @query("""
