@@ -193,3 +193,44 @@ def test_nearest_hashes_meet_in_small_cells(spark):
         assert sorted(expected) == sorted(x for own in best.values() for x in own[:3])
         assert len(got) <= 3 * 31 * (-(-len(known) // rows_))  # what a cell leaves, not its pairs
     assert linking.nearest_hashes(hashes.limit(0), F.col("id") % 10 == 0, 3).count() == 0
+
+
+@pytest.mark.parametrize("finish", [0, 10**6])
+def test_nearest_corners_equal_a_pass_in_order(spark, monkeypatch, finish):
+    rnd = random.Random(5)
+
+    def some(n, first, spread):
+        at = lambda: rnd.choice([rnd.randrange(spread), rnd.randrange(spread), round(rnd.uniform(-spread, spread), 3)]) * 1.0
+        rows = [(rnd.randrange(2), first + i, at(), at()) for i in range(n)]
+        return [(p, i, x, y, x + rnd.randrange(4), y + rnd.randrange(1, 6)) for p, i, x, y in rows]
+
+    taken = []
+    one_to_one = linking.one_to_one
+    monkeypatch.setattr(linking, "one_to_one", lambda pairs, f: taken.append(pairs.count()) or one_to_one(pairs, f))
+    for again in (finish > 0,):
+        a, b = some(90, 0, 6), some(80, 50, 6)
+        if again:  # an id on two corners is one end
+            a, b = [*a, (0, 3, 0.0, 0.0, 3.0, 3.0), (0, 3, 9.0, 9.0, 12.0, 12.0)], [*b, (0, 60, 9.5, 9.0, 12.0, 12.0)]
+        pairs = {}
+        for p, i, x0, y0, x1, y1 in a:
+            for q, j, u0, v0, u1, v1 in b:
+                if p == q and max(x0, u0) < min(x1, u1) and max(y0, v0) < min(y1, v1):
+                    cost = abs(x0 - u0) + abs(y0 - v0)
+                    pairs[p, i, j] = min(cost, pairs.get((p, i, j), cost))
+        left, right, expected = set(), set(), set()
+        for cost, p, i, j in sorted((c, *k) for k, c in pairs.items()):
+            if (p, i) not in left and (p, j) not in right:
+                left.add((p, i))
+                right.add((p, j))
+                expected.add((p, i, j, cost))
+        schema = "page int, id long, x0 double, y0 double, x1 double, y1 double"
+        odd = [(None, 1, 0.0, 0.0, 9.0, 9.0), (0, None, 0.0, 0.0, 9.0, 9.0), (0, 999, 0.0, None, 9.0, 9.0)]
+        df = [spark.createDataFrame([*rows, *odd], schema) for rows in (a, b)]
+        got = [tuple(r) for r in linking.nearest_corners(*df, finish=finish).collect()]
+        assert len(got) == len(expected) and set(got) == expected and expected
+        assert linking.nearest_corners(df[0], df[1].limit(0)).count() == 0
+    # a hundred copies of two boxes over each other: the pairs on a corner are never made
+    taken.clear()
+    copies = lambda first: spark.createDataFrame([(0, 2 * i + first, 9.0 * (i % 2), 0.0, 9.0 * (i % 2) + 4, 4.0) for i in range(200)], schema)
+    assert {(r["a"] + 1, r["cost"]) for r in linking.nearest_corners(copies(0), copies(1)).collect()} == {(2 * i + 1, 0.0) for i in range(200)}
+    assert sum(taken) == 0

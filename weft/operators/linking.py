@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import forget, shared_table
-from .rounds import dropped
+from .ranks import running_sums
+from .rounds import FINISH, dropped, one_to_one
 
 # Pairs of characters that readers take for each other, and one member for each chain of such pairs.
 CONFUSABLE = "01 17 38 56 69 49 0O 1I 5S 8B 2Z -/".split()
@@ -191,6 +193,46 @@ def overlapping(boxes: DataFrame, other: DataFrame, size: float) -> DataFrame:
     return pairs.where(share & (F.floor(x / size) == F.col("cx")) & (F.floor(y / size) == F.col("cy"))).drop("cx", "cy")
 
 
+def nearest_corners(boxes: DataFrame, other: DataFrame, bands: int = 5, finish: int = FINISH) -> DataFrame:
+    """page, a, b, cost: boxes that share area, each used once, taken by (cost, a, b); cost: the way between their lower corners along both axes.
+
+    boxes, other: page, id, x0, y0, x1, y1. Pairs are made band by band, each up to twice the cost of the one before, and only of boxes that are still free. On
+    one corner all boxes share area at cost 0, so the first of one side gets the first of the other and so on, without pairs. Rows with nulls take no part.
+    """
+    columns = ["page", "id", "x0", "y0", "x1", "y1"]
+    sides = [shared_table(df.select(*columns).dropna().where("x1 > x0 and y1 > y0")) for df in (boxes, other)]
+    widest = [df.agg(F.max(F.col("x1") - F.col("x0")), F.max(F.col("y1") - F.col("y0")), F.count(F.lit(1)), F.count_distinct("page", "id")).first() for df in sides]
+    if not all(w[2] for w in widest):
+        return sides[0].join(sides[1].select("page", F.col("id").alias("b")), "page").select("page", F.col("id").alias("a"), "b", (F.col("x0") + F.col("y0")).alias("cost")).limit(0)
+    most, found = 1.001 * float(max(w[0] for w in widest) + max(w[1] for w in widest)), []
+
+    def settle(won: DataFrame) -> None:
+        found.append(shared_table(won.select("page", "a", "b", "cost")))
+        for i, end in enumerate("ab"):
+            left = shared_table(sides[i].join(found[-1].select("page", F.col(end).alias("id")), ["page", "id"], "left_anti").select(*columns))
+            forget(sides[i])
+            sides[i] = left
+
+    cost = F.abs(F.col("x0") - F.col("b_x0")) + F.abs(F.col("y0") - F.col("b_y0"))
+    if all(w[2] == w[3] for w in widest):
+        corner = ["page", "x0", "y0"]
+        placed = [running_sums(df.withColumn("n", F.lit(1)), corner, [F.col("id")], ["n"]).select(*corner, "id", "n_upto") for df in sides]
+        same = placed[0].join(placed[1].withColumnRenamed("id", "b"), [*corner, "n_upto"])
+        settle(same.withColumns({"b_x0": F.col("x0"), "b_y0": F.col("y0")}).select("page", F.col("id").alias("a"), "b", cost.alias("cost")))
+    share = (F.greatest("x0", "b_x0") < F.least("x1", "b_x1")) & (F.greatest("y0", "b_y0") < F.least("y1", "b_y1"))
+    low = 0.0
+    for high in (most / 2**k for k in reversed(range(bands))):
+        cell = lambda c, high=high: F.floor(F.col(c) / (1.001 * high))
+        around = lambda c, cell=cell: F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1))
+        left = sides[0].withColumn("cx", around("x0")).withColumn("cy", around("y0"))
+        right = sides[1].withColumnsRenamed({c: f"b_{c}" for c in columns[1:]})
+        pairs = left.join(right.withColumn("cx", cell("b_x0")).withColumn("cy", cell("b_y0")), ["page", "cx", "cy"])
+        pairs = pairs.where(share & (cost >= low) & (cost < high))
+        settle(one_to_one(pairs.select("page", F.col("id").alias("a"), F.col("b_id").alias("b"), cost.alias("cost")), finish))
+        low = high
+    return reduce(DataFrame.unionByName, found)
+
+
 def longest_texts(boxes: DataFrame, size: float, share: float = 0.6) -> DataFrame:
     """Boxes that stay when, from the longest text down, each drops that a kept one covers by more than `share` of its area.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..operators import cascade, linking, rounds
+from ..operators import cascade, linking
 from ..registry import query
 from ..sources.io import table
 
@@ -85,9 +85,7 @@ def box_dedup(spark, sf_dir):
 def greedy_assign(spark, sf_dir):
     """Boxes of even ids paired with boxes of odd ids over them, nearest corners first."""
     b = _boxes(spark, sf_dir)
-    pairs = linking.overlapping(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 16.0)
-    cost = F.abs(F.col("x0") - F.col("b_x0")) + F.abs(F.col("y0") - F.col("b_y0"))
-    return rounds.one_to_one(pairs.select("page", F.col("id").alias("a"), F.col("b_id").alias("b"), cost.alias("cost")))
+    return linking.nearest_corners(b.where("id % 2 = 0"), b.where("id % 2 = 1"))
 
 
 @query("""
