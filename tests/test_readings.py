@@ -133,3 +133,19 @@ def test_readings_are_named_and_repaired(spark):
     assert got["Supplier#00000001"] == ("code", "Supplier#000000001", 10)
     fixed = [r for r in queries.grammar_repair(spark, SF).collect() if r["t"] == "o" and r["id"] % 9 == 1]
     assert fixed and all(r["cost"] % 4 == 0 and r["repaired"] == r["reading"].replace("O", "0") for r in fixed)
+
+
+def test_repairs_of_many_readings_share_the_work(monkeypatch):
+    rnd, g = random.Random(7), queries.grammars()["code"]
+    readings = [f"Customer#{i:09d}"[i % 3 :] + "l" * (i % 2) for i in range(2000)] + ["", "x" * 40]
+    steps = []
+    step = grammar.Grammar._step
+    monkeypatch.setattr(grammar.Grammar, "_step", lambda self, x: steps.append(x) or step(self, x))
+    costs = g.costs(readings)
+    assert 0 < len(steps) < 10_000  # by places and characters, not by readings (some 36,000 characters)
+    fixed = g.repairs(readings)
+    assert [f[0] for f in fixed] == costs.tolist()
+    for k in rnd.sample(range(2000), 30):
+        assert g.accepts([fixed[k][1]])[0] and edit_cost(readings[k], fixed[k][1]) == costs[k]
+    assert fixed[-2] == (180, "Customer#000000000") and g.repair("x" * 40, 20) is None
+    assert grammar.Grammar(grammar.chars("")).repairs(["a"]) == [None]
