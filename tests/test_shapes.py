@@ -59,6 +59,22 @@ def test_booklets_of_orders_equal_all_assignments(spark):
     assert 0 < sum(r["flagged"] for r in got.values()) < len(got)
 
 
+def test_booklets_of_a_batch_go_together(spark):
+    rnd = random.Random(8)
+    values = [math.nan, math.inf, 0.0, -0.0, *map(float, range(-3, 9))]
+    rows = [(b, i, [(rnd.choice(values), rnd.randrange(3)) for _ in range(rnd.randrange(6) * (b % 7 > 0))]) for b in range(120) for i in range(1 + b % 6)]
+    out = booklets.repaired(spark.createDataFrame(rows, OPTIONS), "b", "at", "o", -1, 4, 2, 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan.replace("HashAggregate(", "").replace("ObjectHashAggregate(", "")
+    got = {r["b"]: r for r in out.collect()}
+    assert len(got) == 120
+    for b in got:
+        fields = [o for k, _, o in rows if k == b]
+        cost, choice = cheapest(fields, -1, 4, 2)
+        assert (got[b]["cost"], tuple(got[b]["chosen"])) == (cost, choice)
+        assert str(got[b]["readings"]) == str([o[k][0] if k < len(o) else None for o, k in zip(fields, choice, strict=True)])
+
+
 def brute_rectangle(points):
     """The least area over many angles, a bound from above."""
     p = np.array(points)
