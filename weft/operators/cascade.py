@@ -143,22 +143,22 @@ def match_content(plan: DataFrame, shop: DataFrame, near: float, finish: int = F
     """Elements paired by what they hold: el, other, shared, verdict (`same`, `differs`, null without a partner), distance.
 
     plan, shop: el, kind, place (a number), part (any hashable content; null takes no part). Candidates are of one kind, share a part and lie
-    within `near`. Those that hold every part of the plan come first, by distance; then by the number of missing parts. Each element is used once.
+    within `near`; the rows of an element have one kind and place. Those that hold every part of the plan come first, by distance; then by the number of missing parts. Each element is used once.
     """
     sides = []
     for df in (plan, shop):
         df = df.where("el is not null and kind is not null and place is not null")
         sides.append(shared_table(df.select("el", "kind", "place", "part").distinct()))
     mine, theirs = sides
-    place = lambda df, names: df.groupBy("el").agg(F.min("kind"), F.min("place"), F.count("part")).toDF(*names)
-    a, b = place(mine, ["a", "kind", "place", "n"]), place(theirs, ["b", "b_kind", "b_place", "b_n"])
-    # the slots of `near` that a partner can be in are three; each candidate pair meets in one of them
-    slot = F.floor(F.col("place") / near)
-    left = mine.where("part is not null").select(F.col("el").alias("a"), "kind", "part", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
-    right = theirs.where("part is not null").select(F.col("el").alias("b"), "kind", "part", slot.alias("slot"))
-    pairs = left.join(right, ["kind", "part", "slot"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = pairs.join(a, "a").join(b, "b").withColumn("distance", F.abs(F.col("place") - F.col("b_place"))).where(F.col("distance") <= near)
-    pairs = shared_table(pairs.withColumn("missing", F.col("n") - F.col("shared")))
+    a = mine.groupBy(F.col("el").alias("a")).agg(F.count("part").alias("n"))
+    # slots are wide, so most elements look into one; a pair meets in the slot of its right side, and only if it's near does it count
+    slot = lambda at: F.floor(at / (8 * near)) if near > 0 else at
+    reach = F.array_distinct(F.array(slot(F.col("place") - 1.001 * near), slot(F.col("place") + 1.001 * near)))
+    left = mine.where("part is not null").select(F.col("el").alias("a"), "kind", "part", "place", F.explode(reach).alias("slot"))
+    right = theirs.where("part is not null").select(F.col("el").alias("b"), "kind", "part", F.col("place").alias("b_place"), slot(F.col("place")).alias("slot"))
+    pairs = left.join(right, ["kind", "part", "slot"]).withColumn("distance", F.abs(F.col("place") - F.col("b_place"))).where(F.col("distance") <= near)
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("distance").alias("distance"))
+    pairs = shared_table(pairs.join(a, "a").withColumn("missing", F.col("n") - F.col("shared")))
     cost = F.struct((F.col("missing") > 0).alias("differs"), F.when(F.col("missing") > 0, F.col("missing")).otherwise(0).alias("missing"), "distance")
     won = one_to_one(pairs.select(F.lit(0).alias("page"), "a", "b", cost.alias("cost")), finish).select("a", "b")
     won = won.join(pairs, ["a", "b"])
