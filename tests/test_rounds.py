@@ -192,3 +192,14 @@ def test_revisions_equal_tiers_in_order(spark, finish):
     expected |= {(i, None, "removed") for i in free} | {(None, j, "added") for j in left}
     assert {t for _, _, t in expected} == {"page", "label", "place", "removed", "added"}
     assert len(got) == len(expected) and {(r["old_id"], r["new_id"], r["tier"]) for r in got} == expected
+
+
+@pytest.mark.parametrize("near", [0.0, 2.5])
+def test_content_meets_across_slots(spark, near):
+    step = 2.5 / 4
+    mine = [(i, "k", (i - 40) * 2 * step, f"p{i % 5}") for i in range(80)]
+    theirs = [(100 + i, "k", (i - 40) * step * 2 + step * (i % 3), f"p{i % 5}") for i in range(80)]
+    schema = "el long, kind string, place double, part string"
+    pairs = [(0, abs(x - y), a, b) for a, _, x, p in mine for b, _, y, q in theirs if p == q and abs(x - y) <= near]
+    got = cascade.match_content(spark.createDataFrame(mine, schema), spark.createDataFrame(theirs, schema), near).collect()
+    assert {(r["el"], r["other"], r["distance"]) for r in got if r["other"] is not None} == {(a, b, c) for _, a, b, c in greedy(pairs)} and pairs
