@@ -148,6 +148,56 @@ def test_cascade_of_the_query_and_of_empty_sides(spark):
     assert [r["tier"] for r in cascade.compare_parts(empty, one).collect()] == ["added"]
 
 
+def versions(seed, sizes=(1, 1, 1, 2)):
+    """Parts of elements of which some hold more than 12, with all kinds of changes and zero and negative numbers."""
+    rnd = random.Random(seed)
+    some = lambda values: rnd.choice([None, *values])
+    part = lambda el, i, q: (el, i, some(sizes), some(q), some([100, 150]))
+    plan = [part(el, i, [2, 3, 7, 9, 11]) for el in range(-5, 60) for i in range(rnd.randrange(9 if el % 4 else 4))]
+    return plan, [part(el, 10 * i, [-1, 0, 2, 4, 5, 6]) for el in range(-4, 61) for i in range(rnd.randrange(9 if el % 4 else 5))]
+
+
+def one_tier(monkeypatch):
+    """Lets no pair be chosen by rounds of joins."""
+    monkeypatch.setattr(cascade, "one_to_one", lambda *_: pytest.fail("rounds of joins"))
+
+
+@pytest.mark.parametrize("small", [0, 6, 100])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_small_and_large_elements_go_through_the_same_tiers(spark, monkeypatch, small, kind):
+    plan, shop = versions(small, "aab" if kind == "string" else (1, 1, 1, 2))
+    if small == 100:
+        one_tier(monkeypatch)
+    schema = f"el long, id long, size {kind}, qty long, gap int"
+    rows = lambda parts: spark.createDataFrame([*parts, *parts[::3], (None, 1, None, 1, 1), (1, None, None, 1, 1)], schema)
+    compared(cascade.compare_parts(rows(plan), rows(shop), small=small).collect(), sequential_cascade(plan, shop))
+
+
+def test_small_elements_need_no_rounds_of_joins(spark, monkeypatch):
+    one_tier(monkeypatch)
+    assert queries.version_cascade(spark, SF).count() > 0
+
+
+def test_numbers_that_are_not_whole_are_compared_too(spark):
+    plan, shop = ([(el, i, size, None if qty is None else qty + 0.5, gap) for el, i, size, qty, gap in parts if size] for parts in versions(5))
+    schema = "el long, id long, size long, qty double, gap long"
+    got = cascade.compare_parts(*(spark.createDataFrame(p, schema) for p in (plan, shop))).where("tier = 'exact'").collect()
+    expected = {k: v for k, v in sequential_cascade(plan, shop).items() if v[0] == "exact"}
+    assert {(r["el"], r["plan_id"]): (r["tier"], tuple(r["shop_ids"]), ()) for r in got} == expected
+
+
+@pytest.mark.parametrize("step", [1, 7, 10**6])
+def test_elements_go_on_in_the_next_batch(step):
+    import pyarrow as pa
+
+    plan, shop = versions(step)
+    sides = sorted(((el, side, *rest) for side, parts in enumerate((plan, shop)) for el, *rest in parts), key=lambda r: r[:3])
+    rows = pa.RecordBatch.from_pylist([dict(zip(("el", "side", "id", "size", "qty", "gap"), r, strict=True)) for r in sides])
+    got = cascade._small_elements(rows.slice(i, step) for i in range(0, rows.num_rows, step))
+    compared([r for batch in got for r in batch.to_pylist()], sequential_cascade(plan, shop))
+    assert not list(cascade._small_elements(iter([rows.slice(0, 0)])))
+
+
 @pytest.mark.parametrize("finish", [0, 10**6])
 def test_content_matches_equal_a_pass_in_order(spark, finish):
     rnd = random.Random(2)

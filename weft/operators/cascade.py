@@ -1,7 +1,7 @@
 """Comparison of two versions of the parts of elements, when no key joins the parts: a cascade of tiers.
 
 Parts: el, id (unique in el), size, qty and gap (null: not stated). Two numbers are equal, different or, if one isn't stated, unknown.
-Each tier sees the parts that the earlier ones left open on both sides, and takes one-to-one pairs greedily in rounds (`rounds`):
+Each tier sees the parts that the earlier ones left open on both sides, and takes one-to-one pairs greedily:
 
 1. exact: same size, nothing different, something equal; fewest unknown first. A planned part without quantity may also share a
    drawn one that is taken.
@@ -13,6 +13,10 @@ Each tier sees the parts that the earlier ones left open on both sides, and take
 5. swapped: another size, nothing different, something equal.
 6. absent, or unknown where no quantity was planned. Drawn parts that nothing took are added.
 
+Elements are counted first. Those of at most `small` parts are dealt by el, once, and the elements of a batch go through all tiers together
+(`_tiers`); larger ones go tier by tier through joins and rounds (`rounds`), so that no task holds one. Both give the same rows. Numbers that aren't whole
+are compared by the joins alone.
+
 Defined results: parts with null el or id take no part; a null size is equal to no size; an empty side leaves all of the other absent, unknown or
 added; equal rows with one id count once.
 """
@@ -21,13 +25,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules as R
 from ..tables import forget, shared_table
-from .rounds import FINISH, one_to_one
+from .rounds import FINISH, one_to_one, taken_in_order
+
+SMALL = 100  # parts of an element on both sides, so 2500 pairs at most
+TASK_ROWS = 500_000
+BATCH_ROWS = 10_000
+TIERS = pa.array(["exact", "split", "multiple", "differs", "unknown", "swapped", "absent", "added"])
+DIFFERS = pa.array([[], ["qty"], ["gap"], ["qty", "gap"], ["size"]], pa.list_(pa.string()))
+WHOLE = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType())
 
 FOUND = "el long, plan_id long, tier string, shop_ids array<long>, differs array<string>"
 
@@ -65,6 +78,107 @@ def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["el", "plan_id", "shop_ids"])
 
 
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+
+
+def _tiers(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """All tiers for whole elements; rows: el, side (0 the plan's, 1 the shop's), id, size, qty, gap in this order."""
+    key = [rows.column(c).to_numpy() for c in ("el", "side", "id")]
+    once = np.append(True, np.any([k[1:] != k[:-1] for k in key], axis=0))
+    rows, (el, side, part) = rows.filter(pa.array(once)), (k[once] for k in key)
+    size = rows.column("size").dictionary_encode().indices.fill_null(-1).to_numpy()
+    known = {c: rows.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("qty", "gap")}
+    value = {c: rows.column(c).fill_null(0).to_numpy() for c in ("qty", "gap")}
+
+    # every pair of an element, by their rows
+    element = np.cumsum(np.append(False, el[1:] != el[:-1]))
+    plan, shop = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    many = np.bincount(element[shop], minlength=element[-1] + 1)
+    n, first = many[element[plan]], (np.cumsum(many) - many)[element[plan]]
+    a, b = np.repeat(plan, n), shop[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)]
+
+    both = {c: known[c][a] & known[c][b] for c in known}
+    other = {c: both[c] & (value[c][a] != value[c][b]) for c in known}
+    differing, unstated = sum(other.values(), np.zeros(len(a), int)), sum((~x for x in both.values()), np.zeros(len(a), int))
+    same = (differing == 0) & (unstated < 2)
+    sized = (size[a] == size[b]) & (size[a] >= 0)
+    free, found = np.ones(len(el), bool), []
+
+    def settle(tier: str, of: np.ndarray, ids: np.ndarray, counts: np.ndarray | int = 1, differs: np.ndarray | int = 0) -> None:
+        """Rows with their number of shop parts, and all these parts; neither is open any more."""
+        free[of], free[ids] = False, False
+        code = TIERS.index(tier).as_py()
+        found.append((np.full(len(of), code), of, np.broadcast_to(counts, len(of)), ids, np.broadcast_to(differs, len(of))))
+
+    def pairs(wanted: np.ndarray, *cost: np.ndarray) -> np.ndarray:
+        """Greedy pairs by cost, whose first is the last to be compared; equal costs stay in order of ids."""
+        at = np.flatnonzero(wanted & free[a] & free[b])
+        at = at[np.lexsort([c[at] for c in cost])]
+        return at[taken_in_order(a[at], b[at], len(el))]
+
+    at = pairs(sized & same, unstated)
+    settle("exact", a[at], b[at])
+    at = np.flatnonzero(sized & same & free[a] & ~known["qty"][a])
+    at = at[_starts(a[at])]
+    settle("exact", a[at], b[at])
+
+    qty = value["qty"]
+    at = np.flatnonzero(sized & free[a] & free[b] & both["qty"] & (qty[b] > 0) & (qty[b] <= qty[a]))
+    n, total = np.bincount(a[at], minlength=len(el)), np.zeros(len(el), np.int64)
+    np.add.at(total, a[at], qty[b[at]])
+    at = at[np.where(n > 2, total >= qty, (n == 2) & (total == qty))[a[at]]]
+    split, taken = [], []
+    for one, pool in zip(a[at][_starts(a[at])], np.split(b[at], _starts(a[at])[1:]), strict=False):
+        pool = pool[free[pool]]
+        if chosen := least_parts(qty[pool].tolist(), int(qty[one])):
+            free[pool[chosen]] = False
+            split.append(one)
+            taken.append(pool[chosen])
+    settle("split", np.array(split, int), np.concatenate([np.zeros(0, int), *taken]), np.array([len(x) for x in taken], int))
+
+    apart = sum(np.where(other[c], np.abs(value[c][b] - value[c][a]) / np.maximum(value[c][a], 1), 0.0) for c in known)
+    at = pairs(sized & (differing > 0), apart, differing)
+    p, s = qty[a[at]], qty[b[at]]
+    times = np.where(p > 0, s / np.maximum(p, 1), 0.0)
+    multiple = other["qty"][at] & ~other["gap"][at] & (times == np.floor(times)) & (times >= 2) & (times <= 12)
+    settle("multiple", a[at[multiple]], b[at[multiple]])
+    at = at[~multiple]
+    settle("differs", a[at], b[at], differs=other["qty"][at] + 2 * other["gap"][at])
+
+    none = np.zeros(0, int)
+    settle("unknown", np.unique(a[sized & free[a] & free[b]]), none, 0)
+    at = pairs(~sized & (size[a] >= 0) & (size[b] >= 0) & same, unstated)
+    settle("swapped", a[at], b[at], differs=4)
+    left = np.flatnonzero(free & (side == 0))
+    settle("unknown", left[~known["qty"][left]], none, 0)
+    settle("absent", left[known["qty"][left]], none, 0)
+    left = np.flatnonzero(free)
+    settle("added", left, left)
+
+    tier, of, counts, ids, differs = (np.concatenate(x) for x in zip(*found, strict=True))
+    shop_ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(part[ids]))
+    columns = [pa.array(el[of]), pa.array(part[of], mask=side[of] == 1), TIERS.take(pa.array(tier)), shop_ids, DIFFERS.take(pa.array(differs))]
+    return pa.RecordBatch.from_arrays(columns, ["el", "plan_id", "tier", "shop_ids", "differs"])
+
+
+def _small_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order to what `_tiers` finds; the last element of a batch may go on in the next one."""
+    rest = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            rows = batch.slice(at, BATCH_ROWS)
+            rows = rows if rest is None else pa.concat_batches([rest, rows])
+            el = rows.column("el").to_numpy()
+            cut = int(np.searchsorted(el, el[-1]))
+            rest = rows.slice(cut)
+            if cut:
+                yield _tiers(rows.slice(0, cut))
+    if rest is not None:
+        yield _tiers(rest)
+
+
 class _Open:
     """Parts that are still open on both sides, and what was found."""
 
@@ -91,10 +205,32 @@ class _Open:
         self.plan, self.shop = plan, shop
 
 
-def compare_parts(plan: DataFrame, shop: DataFrame, finish: int = FINISH) -> DataFrame:
+def compare_parts(plan: DataFrame, shop: DataFrame, finish: int = FINISH, small: int = SMALL) -> DataFrame:
     """el, plan_id (null: added), tier, shop_ids, differs (names of what differs); plan and shop: el, id, size, qty, gap."""
     columns = ["el", "id", "size", "qty", "gap"]
-    now = _Open(plan.select(*columns), shop.select(*columns), finish)
+    plan, shop = (df.select(*columns).where("el is not null and id is not null") for df in (plan, shop))
+    kinds = [{c: df.schema[c].dataType for c in columns} for df in (plan, shop)]
+    if kinds[0]["size"] != kinds[1]["size"] or kinds[0]["size"] not in (*WHOLE, T.StringType()) or any(k[c] not in WHOLE for k in kinds for c in columns if c != "size"):
+        return _by_joins(plan, shop, finish)
+    whole = lambda df, side: df.select(
+        F.col("el").cast("long"), F.lit(side).alias("side"), F.col("id").cast("long"), "size", F.col("qty").cast("long"), F.col("gap").cast("long")
+    )
+    sides = shared_table(whole(plan, 0).unionByName(whole(shop, 1)))
+    large = shared_table(sides.groupBy("el").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("el"))
+    some = large.count() > 0
+    dealt = sides.join(large, "el", "left_anti") if some else sides
+    tasks = max(sides.sparkSession.sparkContext.defaultParallelism, sides.count() // TASK_ROWS + 1)
+    dealt = dealt.repartition(tasks, "el").sortWithinPartitions("el", "side", "id", "size", "qty", "gap")
+    out = dealt.mapInArrow(_small_elements, FOUND)
+    if some:
+        kept = sides.join(large, "el", "left_semi")
+        out = out.unionByName(_by_joins(*(kept.where(F.col("side") == i).select(*columns) for i in (0, 1)), finish))
+    return out
+
+
+def _by_joins(plan: DataFrame, shop: DataFrame, finish: int) -> DataFrame:
+    """What `compare_parts` returns, tier by tier over all elements."""
+    now = _Open(plan, shop, finish)
     one, none = F.array("s_id"), F.array().cast("array<long>")
     sized = lambda shop=None: now.plan.join(
         (now.shop if shop is None else shop).withColumn("size", F.col("s_size")), ["el", "size"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,24 @@ from ..tables import forget, shared_table
 FINISH = 20_000
 
 
+def taken_in_order(a: np.ndarray, b: np.ndarray, ends: int) -> np.ndarray:
+    """Positions of the pairs that a pass in order takes while both ends are free, by rounds on arrays.
+
+    Ends are numbers below `ends`; none is left of one pair and right of another.
+    """
+    rest, first, won = np.arange(len(a)), np.zeros(ends, np.int64), [np.zeros(0, np.int64)]
+    while len(rest):
+        back = rest[::-1]
+        first[a[back]] = back  # of equal ends the last one stays: the first in order
+        first[b[back]] = back
+        best = rest[(first[a[rest]] == rest) & (first[b[rest]] == rest)]
+        free = np.ones(ends, bool)
+        free[a[best]], free[b[best]] = False, False
+        rest = rest[free[a[rest]] & free[b[rest]]]
+        won.append(best)
+    return np.concatenate(won)
+
+
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs in order, each while both ends are free."""
     left, right = set(), set()
