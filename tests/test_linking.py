@@ -234,3 +234,44 @@ def test_nearest_corners_equal_a_pass_in_order(spark, monkeypatch, finish):
     copies = lambda first: spark.createDataFrame([(0, 2 * i + first, 9.0 * (i % 2), 0.0, 9.0 * (i % 2) + 4, 4.0) for i in range(200)], schema)
     assert {(r["a"] + 1, r["cost"]) for r in linking.nearest_corners(copies(0), copies(1)).collect()} == {(2 * i + 1, 0.0) for i in range(200)}
     assert sum(taken) == 0
+
+
+@pytest.mark.parametrize("few", [0, 2000])
+def test_codes_and_registry_with_repeated_names_equal_a_scan(spark, few):
+    rnd = random.Random(8)
+    some = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    registry = [(some("0157468", rnd.choice([3, 4])), rnd.choice([None, 0, 1, 2, 3, 4])) for _ in range(60)] + [("77", f) for f in (None, 0, 1, 2, 3, 4)]
+    codes = [(some("0157OIS8X", rnd.choice([3, 4, 5])), rnd.choice([None, 0, 1, 2])) for _ in range(40)] + [("77", 0), ("77", 1), ("7", None), ("", 3), ("XYXYXYX", 1)]
+    registry, codes = [*registry, ("ABABABßß", 1), ("QQQQQQ", 2), (None, 1)], [*codes, ("ABABAB", 1), ("QQQQQQ", 2), (None, 1)]
+    df = lambda rows: spark.createDataFrame(rows, "code string, fact int")
+    expected = {}
+    for code in {c for c, _ in codes if c is not None}:
+        found = []
+        for fact in {f for c, f in codes if c == code}:
+            for name, theirs in {r for r in registry if r[0] is not None}:
+                cost = linking.reading_cost(code, name)
+                if cost <= 2:
+                    known = fact is not None and theirs is not None
+                    found.append((round(-(0.8 * (known and fact == theirs) - (known and fact != theirs) - cost), 6), name, cost, known and fact != theirs))
+        best = sorted(found)[:2]
+        alone = len(best) == 1 or best[1][0] - best[0][0] > 1 if best else False
+        kind = "NO_MATCH" if not best else "CONFIRM" if best[0][2] == 0 and not best[0][3] and alone else "CHOOSE"
+        expected[code] = (*[b[1] for b in best], *[None] * (2 - len(best)), kind)
+    got = linking.linked_codes(df(codes), df([*registry, *registry]), ["fact"], few=few).where("code is not null").collect()
+    assert {r["code"]: (r["first"], r["second"], r["question"]) for r in got} == expected and len(got) == len(expected)
+    assert expected["ABABAB"][0] == "ABABABßß" and {k[2] for k in expected.values()} == {"CONFIRM", "CHOOSE", "NO_MATCH"}
+
+
+def test_codes_that_fold_alike_are_not_all_weighed(spark, monkeypatch):
+    names = [(f"R-{a}{b}{c}{d}",) for a in "4569" for b in "4569" for c in "4569" for d in "4569"]
+    weighed, reading_cost = spark.sparkContext.accumulator(0), linking.reading_cost
+
+    def counted(a, b):
+        weighed.add(1)
+        return reading_cost(a, b)
+
+    monkeypatch.setattr(linking, "reading_cost", counted)
+    df = spark.createDataFrame(names, "code string")
+    got = linking.linked_codes(df, df, []).collect()
+    assert len(got) == 256 and all(r["first"] == r["code"] and r["question"] == "CHOOSE" for r in got)
+    assert 256 <= weighed.value <= 16 * 256  # the square is 65,536

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from functools import reduce
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from .rounds import FINISH, dropped, one_to_one
 CONFUSABLE = "01 17 38 56 69 49 0O 1I 5S 8B 2Z -/".split()
 FOLD_FROM, FOLD_TO = "17OI8B569SZ/", "00003344442-"
 _EITHER_WAY = {p for x in CONFUSABLE for p in (x, x[::-1])}
+_PARTNERS = {c: [p[1] for p in sorted(_EITHER_WAY) if p[0] == c] for c in "".join(CONFUSABLE)}
 
 
 def folded(code: Column) -> Column:
@@ -124,50 +127,121 @@ def reading_cost(a: str, b: str, cheap: float = 0.4) -> float:
     return above[-1]
 
 
-def linked_codes(codes: DataFrame, registry: DataFrame, facts: list[str], most: float = 2.0) -> DataFrame:
+def swapped(text: str, times: int) -> list[str]:
+    """All texts with exactly so many characters replaced by a confusable one."""
+    places = [i for i, x in enumerate(text) if x in _PARTNERS]
+    found = []
+    for at in combinations(places, times):
+        for chosen in product(*(_PARTNERS[text[i]] for i in at)):
+            own = list(text)
+            for i, x in zip(at, chosen, strict=True):
+                own[i] = x
+            found.append("".join(own))
+    return found
+
+
+def linked_codes(codes: DataFrame, registry: DataFrame, facts: list[str], most: float = 2.0, few: int = 2_000) -> DataFrame:
     """code, the best two registry rows by score, and the question that they leave: CONFIRM, CHOOSE or NO_MATCH.
 
     codes and registry: code and facts. score = 0.8 * agreeing facts - clashing facts - cost, ties by registry code.
-    CONFIRM needs cost 0, no clash, and a second candidate more than 1 behind. A cost of at most `most` means at most
-    `most` edits between folded codes, so candidates are complete. They are met by folded distance, first those of which all facts agree; a
-    later one is only weighed if its distance and facts leave it a score that the best two so far don't beat.
+    CONFIRM needs cost 0, no clash, and a second candidate more than 1 behind. A cost is 0.4 * swaps of confusable characters + other edits, so the steps
+    below, from the least cost that each may add, make every pair of a cost of at most `most` (2 at most). Only codes take part in a step whose best two so
+    far don't beat all that it may add; facts that have to agree are keys of the join beside the text. Up to `few` rows of codes are sent to all tasks.
     """
-    mine = codes.select("code", *[F.col(f).alias(f"_own_{f}") for f in facts])
-    theirs = registry.select(F.col("code").alias("match"), *facts)
-    mine = mine.where("code is not null").distinct().withColumn("_a", folded(F.col("code")))
-    theirs = theirs.where("match is not null").distinct().withColumn("_b", folded(F.col("match")))
-    texts = shared_table(near_texts(mine.withColumnRenamed("_a", "_text"), theirs.withColumnRenamed("_b", "_text"), int(most)))
+    if not 0 <= most <= 2:
+        raise ValueError("a cost of at most two")
+    spark = codes.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = [f"_own_{f}" for f in facts]
+    # a fold of single characters, so that each edit of a code is one edit of its folded text
+    fold = lambda c: F.translate(c, FOLD_FROM, FOLD_TO)
+
+    def side(df: DataFrame, name: str, names: list[str]) -> DataFrame:
+        rows = df.select(F.col("code").alias(name), *[F.col(f).alias(g) for f, g in zip(facts, names, strict=True)])
+        return shared_table(rows.where(F.col(name).isNotNull()).distinct().repartition(parts))
+
+    mine, theirs = side(codes, "code", own), side(registry, "match", facts)
+    missing = theirs.agg(F.count(F.lit(1)), *[F.count_if(F.col(f).isNull()) for f in facts]).first()[1:]
 
     @F.arrow_udf("double")
     def cost(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([reading_cost(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.float64())
 
-    total = lambda test: sum((F.coalesce(test(F.col(f"_own_{f}"), F.col(f)), F.lit(False)).cast("int") for f in facts), F.lit(0))
-    clash, agree = total(lambda a, b: a != b), total(lambda a, b: a == b)
-    candidate = "struct<loss:double,match:string,cost:double,clash:int>"
-    best, written = None, [texts]
-    for distance in range(int(most) + 1):
-        for all_agree in (True, False):
-            pairs = mine.join(F.broadcast(texts.where(F.col("distance") == distance)), "_a").join(theirs, "_b")
-            pairs = pairs.withColumn("clash", clash).withColumn("agree", agree).where((F.col("agree") == len(facts)) == all_agree)
-            # an edit costs 0.4 at least, an edit of folded codes 1
-            least = F.greatest(F.lit(float(distance)), 0.4 * F.levenshtein("code", "match"))
-            pairs = pairs.where(least <= most + 1e-6)
+    def swaps(least: int, last: int) -> Callable[[Column], Column]:
+        @F.arrow_udf("array<string>")
+        def texts(a: pa.Array) -> pa.Array:
+            return pa.array([[t for n in range(least, last + 1) for t in swapped(x.as_py(), n)] for x in a], pa.list_(pa.string()))
+
+        return texts
+
+    pieces = lambda n: (lambda c: shortened(c, n),) * 2
+    folded_pieces = lambda n: (lambda c: shortened(fold(c), n),) * 2
+    # the least cost of a pair that no step before has made, and the keys on which codes and registry meet
+    steps = [
+        (0.0, swaps(0, 1), F.array),
+        (0.8, swaps(2, 2), F.array),
+        (1.0, *pieces(1)),  # one edit
+        (1.2, *folded_pieces(0)),  # swaps alone
+        (1.4, *folded_pieces(1)),  # one edit and swaps
+        (2.0, *pieces(2)),  # two edits
+    ]
+    # equal facts narrow a folded text enough: no need to spell out two swaps
+    with_facts = [steps[0], (1.0, *pieces(1)), (0.8, *folded_pieces(0)), *steps[4:]]
+    candidate = F.struct("loss", "match", "cost", "clash", *own, *facts)
+    best = None
+    for states in product(*(("agree", "missing", "other") if n else ("agree", "other") for n in missing)):
+        by = {state: [f for f, s in zip(facts, states, strict=True) if s == state] for state in ("agree", "missing", "other")}
+        rows = theirs
+        for state, fs in by.items():
+            for f in fs:
+                rows = rows.where(F.col(f).isNull() if state == "missing" else F.col(f).isNotNull())
+        asked = mine.where(reduce(Column.__and__, (F.col(f"_own_{f}").isNotNull() for f in by["agree"]), F.lit(True)))
+        asked = asked.withColumn("clash", sum((F.col(f"_own_{f}").isNotNull().cast("int") for f in by["other"]), F.lit(0)))
+        if len(by["other"]) == 1:
+            # three values of a fact leave two that clash with any value
+            order = Window.partitionBy("match", *by["agree"]).orderBy(*by["other"])
+            rows = rows.withColumn("_at", F.row_number().over(order)).where("_at <= 3").drop("_at")
+        # dealt out before each name is taken to pieces; by a key, Spark would leave it as the distinct rows lie
+        rows = shared_table(rows.repartition(parts))
+        names = shared_table(rows.select("match", *by["agree"]).distinct().repartition(parts))
+        for least, left_keys, right_keys in with_facts if by["agree"] else steps:
+            if least > most:
+                continue
+            gain = F.col("clash") - 0.8 * len(by["agree"])
+            still = asked.withColumn("_bound", F.lit(None).cast("double"))
             if best is not None:
-                bound = best.where(F.size("best") == 2).select("code", F.get("best", F.lit(1))["loss"].alias("_bound"))
-                pairs = pairs.join(bound, "code", "left")
-                pairs = pairs.where(F.col("_bound").isNull() | (least - 0.8 * F.col("agree") + F.col("clash") <= F.col("_bound") + 1e-6))
-            pairs = pairs.withColumn("cost", cost("code", "match")).where(F.col("cost") <= most)
-            score = F.round(0.8 * F.col("agree") - F.col("clash") - F.col("cost"), 6)
-            found = pairs.select("code", F.struct((-score).alias("loss"), "match", "cost", "clash").cast(candidate).alias("c"))
+                second = best.where(F.size("best") == 2).select("code", F.get("best", F.lit(1))["loss"].alias("_bound"))
+                still = asked.join(second, "code", "left")
+            still = still.where(F.col("_bound").isNull() | (gain + least <= F.col("_bound") + 1e-6))
+            n = still.count()
+            if not n:
+                continue
+            key = lambda keys, c: F.explode(F.transform(keys(F.col(c)), lambda t: F.xxhash64(t))).alias("_key")
+            left = still.repartition(parts).select("*", *[F.col(f"_own_{f}").alias(f) for f in by["agree"]], key(left_keys, "code"))
+            right = names.select("*", key(right_keys, "match"))
+            on = ["_key", *by["agree"]]
+            left, right = (F.broadcast(left), right) if n <= few else (left.repartition(parts, *on), right.repartition(parts, *on))
+            pairs = left.join(right, on).drop("_key")
+            near = F.greatest(F.lit(0.0), 0.4 * F.levenshtein("code", "match"))
+            pairs = pairs.where((near <= most + 1e-6) & (F.col("_bound").isNull() | (gain + near <= F.col("_bound") + 1e-6))).distinct()
+            pairs = pairs.repartition(parts).withColumn("cost", cost("code", "match")).where(F.col("cost") <= most)
+            pairs = pairs.join(rows, ["match", *by["agree"]]) if by["missing"] or by["other"] else pairs
+            for f in by["other"]:
+                pairs = pairs.where(F.coalesce(F.col(f"_own_{f}") != F.col(f), F.lit(True)))
+            score = F.round(0.8 * F.lit(len(by["agree"])) - F.col("clash") - F.col("cost"), 6)
+            found = pairs.withColumn("loss", -score).select("code", candidate.alias("c"))
             if best is not None:
                 found = found.unionByName(best.select("code", F.explode("best").alias("c")))
-            # the last two of each code by a window, so that no list of all candidates is built
+            # the two least of each code; a pair that two steps make is one, as its facts are part of it
             order = Window.partitionBy("code").orderBy("c")
-            found = found.withColumn("_at", F.row_number().over(order)).where("_at <= 2")
-            best = shared_table(found.groupBy("code").agg(F.array_sort(F.collect_list("c")).alias("best")))
-            written.append(best)
-    forget(*written[:-1])
+            found = found.withColumn("_at", F.dense_rank().over(order)).where("_at <= 2")
+            before, best = best, shared_table(found.groupBy("code").agg(F.array_sort(F.collect_set("c")).alias("best")))
+            if before is not None:
+                forget(before)
+        forget(rows, names)
+    forget(mine, theirs)
+    if best is None:
+        return codes.select("code").distinct().select("code", *[F.lit(None).cast("string").alias(c) for c in ("first", "second")], F.lit("NO_MATCH").alias("question"))
     first, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
     alone = second.isNull() | (second["loss"] - first["loss"] > 1)
     kind = F.when(F.col("best").isNull(), "NO_MATCH").when((first["cost"] == 0) & (first["clash"] == 0) & alone, "CONFIRM").otherwise("CHOOSE")
